@@ -141,3 +141,43 @@ def windows(hashes: np.ndarray, docs: np.ndarray, size: int) -> tuple[np.ndarray
 def doc_keys(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Document and hash in one number that sorts by document (up to 4,096 in a chunk)."""
     return (docs.astype(np.uint64) << np.uint64(52)) | (hashes >> np.uint64(12))
+
+
+def code_points(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of a chunk, and the bounds of its documents in them."""
+    points = np.frombuffer(c.buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    total = np.concatenate(([0], np.cumsum((c.buf & 0xC0) != 0x80)))
+    return points, total[c.bounds]
+
+
+def grams(points: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of each run of size code points; its last size - 1 places are missing."""
+    n = max(len(points) - size + 1, 0)
+    total = np.full(n, size, np.uint64)
+    for k in range(size):
+        total += (points[k : k + n].astype(np.uint64) + np.uint64(1)) * np.uint64(pow(0xD6E8FEB86659FD93, k + 1, 1 << 64))
+    total ^= total >> np.uint64(32)
+    total *= np.uint64(0xFF51AFD7ED558CCD)
+    total ^= total >> np.uint64(29)
+    return total
+
+
+def padded(points: np.ndarray, bounds: np.ndarray, mark: int) -> tuple[np.ndarray, np.ndarray]:
+    """The points with a mark before and after each document, and each place's document."""
+    of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    out, own = np.full(len(points) + len(bounds), mark, np.uint32), np.zeros(len(points) + len(bounds), np.int64)
+    where = np.arange(len(points)) + of + 1
+    out[where], own[where] = points, of
+    return out, own
+
+
+def edge_grams(text: np.ndarray, own: np.ndarray, edge: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Document and hash of the runs of size places that have an edge at one end at most, and none inside."""
+    h = grams(text, size)
+    n = len(h)
+    inner = np.ones(n, bool)
+    for k in range(1, size - 1):
+        inner &= text[k : k + n] != edge
+    first, last = text[:n] != edge, text[size - 1 : size - 1 + n] != edge
+    at = np.flatnonzero(inner & (first | last))
+    return np.where(text[at] != edge, own[at], own[np.minimum(at + 1, len(own) - 1)]), h[at]
