@@ -12,13 +12,36 @@ ordinary shuffled join, which adaptive execution splits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import key128, table
+from .words import Chunk, chunks
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+SALTS = 8
 
-_BLANK = " \t\n\x0b\x0c\r"
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+def keyed_lines(texts: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Document, position and two hashes of the keys of all lines with a key of min_chars code points."""
+    for c in chunks(texts):
+        low = Chunk(_LOWER[c.buf], c.bounds, c.first)
+        starts, ends, of = low.lines()
+        pos = np.arange(len(starts)) - np.searchsorted(of, np.arange(c.n))[of]
+        word_starts, word_ends, _ = low.words()
+        first, last = np.searchsorted(word_starts, starts), np.searchsorted(word_starts, ends) - 1
+        has = np.flatnonzero(last >= first)
+        a, b = word_starts[first[has]], word_ends[last[has]]
+        points = np.concatenate(([0], np.cumsum((low.buf & 0xC0) != 0x80)))
+        long_ = points[b] - points[a] >= min_chars
+        has, a, b = has[long_], a[long_], b[long_]
+        yield c.first + of[has], pos[has], low.hashes(a, b).view(np.int64), low.hashes(a, b, 1).view(np.int64)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -38,27 +61,27 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n", -1)
     row = key128(F.col(id_col), text)
+    fields = [T.StructField("id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("r1", "r2", "pos", "a", "b"))]
 
-    def hashed(line):
-        key = F.translate(F.btrim(line, F.lit(_BLANK)), _UPPER, _UPPER.lower())
-        a, b = key128(key)
-        return F.when(F.length(key) >= min_chars, F.struct(a.alias("a"), b.alias("b")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for of, pos, a, b in keyed_lines(batch.column(3), min_chars):
+                at = pa.array(of)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(pos), pa.array(a), pa.array(b)], names=[f.name for f in fields])
 
-    found = (
-        docs.select(F.col(id_col).alias("id"), row[0].alias("r1"), row[1].alias("r2"), F.posexplode(F.transform(lines, hashed)).alias("pos", "key"))
-        .where("key is not null")
-        .select("id", "r1", "r2", "pos", F.col("key.a").alias("a"), F.col("key.b").alias("b"))
-    )
+    found = docs.select(F.col(id_col).alias("id"), row[0].alias("r1"), row[1].alias("r2"), text.alias("text")).mapInArrow(run, T.StructType(fields))
     shared = (
         found.select("a", "b", "id").distinct()
         .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
-        .where(F.col("n") >= min_docs).select("a", "b", "keeper")
+        .where(F.col("n") >= min_docs)
+        # Each shared key once for each salt, so that the lines of a hot key meet it in several tasks.
+        .select("a", "b", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     )
     dropped = (
-        found.join(shared, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-        .groupBy("r1", "r2").agg(F.collect_set("pos").alias("gone"))
+        found.withColumn("salt", F.pmod("r1", F.lit(SALTS)).cast("int")).join(shared, ["a", "b", "salt"])
+        .where(~F.col("id").eqNullSafe(F.col("keeper")))
+        .groupBy("r1", "r2").agg(F.collect_set(F.col("pos").cast("int")).alias("gone"))
     )
     others = [c for c in docs.columns if c not in (text_col, "n_lines", "n_dropped")]
     left = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), row[0].alias("r1"), row[1].alias("r2"))
@@ -72,7 +95,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(
             *(F.col(f"row.`{c}`").alias(c) for c in others),
             rebuilt.alias(text_col),
-            (F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1).cast("long").alias("n_lines"),
+            F.size(parts).cast("long").alias("n_lines"),
             F.coalesce(F.size(F.col("gone")), F.lit(0)).cast("long").alias("n_dropped"),
         )
     )

@@ -14,8 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}
@@ -54,7 +53,7 @@ class Chunk:
     def __init__(self, buf: np.ndarray, bounds: np.ndarray, first: int):
         self.buf, self.bounds, self.first = buf, bounds, first
         self.n = len(bounds) - 1
-        self._sums = None
+        self._sums: dict[int, np.ndarray] = {}
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many of the flagged bytes each document has."""
@@ -92,13 +91,13 @@ class Chunk:
         ends_of = np.concatenate((of, np.arange(self.n)))
         return starts[order], ends[np.lexsort((ends, ends_of))], docs[order]
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """A 64-bit hash of the bytes of each span."""
-        if self._sums is None:
-            terms = (self.buf.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(self.buf))
-            self._sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-        raw = self._sums[ends] - self._sums[starts]
-        raw *= _power(_INVERSE, len(self.buf) + 1)[starts]
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
+        """A 64-bit hash of the bytes of each span; base 0 and 1 give independent ones."""
+        if base not in self._sums:
+            terms = (self.buf.astype(np.uint64) + np.uint64(1)) * _power(_BASES[base], len(self.buf))
+            self._sums[base] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
+        raw = self._sums[base][ends] - self._sums[base][starts]
+        raw *= _power(pow(_BASES[base], -1, 1 << 64), len(self.buf) + 1)[starts]
         raw += (ends - starts).astype(np.uint64)
         return mix(raw)
 
