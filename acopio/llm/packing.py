@@ -151,7 +151,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
     not read.
     """
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
-    pieces = tokenise(docs, id_col, text_col, path, seq_len, end_id, keep_ids)
+    # Written before the range sort, which reads its input twice.
+    pieces = materialise(tokenise(docs, id_col, text_col, path, seq_len, end_id, keep_ids), "pieces")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = pieces.columns
     schema = T.StructType([*pieces.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("rank", T.LongType())])
