@@ -135,8 +135,12 @@ class Index:
             plan.append((seed, groups))
         return plan
 
-    def matches(self, words: np.ndarray, docs: np.ndarray, first: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
-        """(document, item) -> least edits and the stretch (word places in the document)."""
+    def windows_near(self, words: np.ndarray, docs: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Item length; documents, first words and contexts of the windows around parts of items.
+
+        A context is the window and as many words on both sides as edits are
+        allowed; places outside the document are 2, which is no word.
+        """
         starts = []  # document, item length, first word of the window in the document
         for size, (keys, values, seen) in self.parts.items():
             h, at = windows(words, docs, size)
@@ -147,33 +151,44 @@ class Index:
                 which = np.repeat(np.arange(len(near)), n)
                 place = values[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]]
                 word = at[near][which]
-                starts.append(np.stack([docs[word], place[:, 0], word - first[docs[word]] - place[:, 1]], 1))
+                starts.append((place[:, 0] << 44) | ((word - place[:, 1] + (1 << 20)) << 12) | docs[word])
         if not starts:
-            return {}
-        found, pairs = np.unique(np.concatenate(starts), axis=0), set()
-        for n in np.unique(found[:, 1]).tolist():
-            own = found[found[:, 1] == n]
-            place = own[:, 2:] + np.arange(n)
-            size = (first[own[:, 0] + 1] - first[own[:, 0]])[:, None]
-            inside = (place >= 0) & (place < size)
-            x = np.where(inside, words[np.where(inside, first[own[:, 0]][:, None] + place, 0)], np.uint64(2))
+            return
+        found = np.unique(np.concatenate(starts))
+        length, start, of = found >> 44, ((found >> 12) & ((1 << 32) - 1)) - (1 << 20), found & 0xFFF
+        for n in np.unique(length).tolist():
+            own = length == n
+            doc, at, edits = of[own], start[own], self.edits[self.by_length[n][0]]
+            place = at[:, None] + np.arange(-edits, n + edits)
+            inside = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
+            yield n, doc, at - first[doc], np.where(inside, words[np.where(inside, place, 0)], np.uint64(2))
+
+    def decide(self, found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """(document, item) -> least edits and the stretch (word places in the document)."""
+        out: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, parts in sorted(found.items()):
+            docs, starts, contexts = (np.concatenate(p) for p in zip(*parts, strict=True))
+            edits = self.edits[self.by_length[n][0]]
+            distinct, back = np.unique(contexts, axis=0, return_inverse=True) if len(contexts) > 64 else (contexts, np.arange(len(contexts)))
+            x, pairs, k = distinct[:, edits : edits + n], set(), 0
             plan, tables = self.tables[n]
-            k = 0
             for seed, groups in plan:
                 walked = walk(x, seed)
                 for steps in groups:
-                    for row, key in enumerate(_key(walked, steps).tolist()):
-                        for item in tables[k].get(key, ()):
-                            pairs.add((int(own[row, 0]), item, int(own[row, 2])))
+                    table = tables[k]
                     k += 1
-        out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for doc, item, start in sorted(pairs):
-            edits, n = self.edits[item], len(self.words[item])
-            text = words[first[doc] : first[doc + 1]]
-            a, b = max(0, start - edits), min(len(text), start + n + edits)
-            cost, x, y = edit_distance(self.words[item], text[a:b])
-            if cost <= edits:
-                out[doc, item] = min(out.get((doc, item), (1 << 30, 0, 0)), (cost, a + x, a + y))
+                    for row, key in enumerate(_key(walked, steps).tolist()):
+                        if key in table:
+                            pairs.update((row, item) for item in table[key])
+            where = defaultdict(list)
+            for row, to in enumerate(back.ravel().tolist()):
+                where[to].append(row)
+            for row, item in sorted(pairs):
+                cost, a, b = edit_distance(self.words[item], distinct[row])
+                if cost <= edits:
+                    for one in where[row]:
+                        doc, shift = int(docs[one]), int(starts[one]) - edits
+                        out[doc, item] = min(out.get((doc, item), (1 << 30, 0, 0)), (cost, shift + a, shift + b))
         return out
 
 
@@ -211,12 +226,15 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[lis
 
 def _matcher(index: Index) -> Callable:
     def scan(texts: pa.Array) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+        found = defaultdict(list)
         for c in chunks(texts, lower=True):
             starts, ends, docs = c.spans(_WORD[c.buf])
             words = c.hashes(starts, ends) | np.uint64(1)
             first = np.searchsorted(docs, np.arange(c.n + 1))
-            for (doc, item), match in index.matches(words, docs, first).items():
-                yield c.first + doc, item, match
+            for n, of, at, context in index.windows_near(words, docs, first):
+                found[n].append((of + c.first, at, context))
+        for (doc, item), match in index.decide(found).items():
+            yield doc, item, match
 
     return scan
 
