@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,6 +42,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialise_counted(df: DataFrame, label: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """materialise(), and aggregates of what was written, taken by the same job."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *(c.alias(k) for k, c in counts.items())), label)
+    return out, {k: v or 0 for k, v in seen.get.items()}
+
+
 def drop_materialised(df: DataFrame) -> None:
     """Delete the files behind a frame that materialise() returned."""
     spark = df.sparkSession
