@@ -29,9 +29,9 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_DECISIONS}, f AS (SELECT part, supplier, list_filter([
-  CASE WHEN p_type = 'PROMO' AND 20 >= p_size THEN 'F_compra_perecedero_sin_viabilidad' END, CASE WHEN monto_usd > 5000 AND line % 2 <> 0 THEN 'F_compra_grande_sin_aprobacion_presupuesto_bajo' END, CASE WHEN supplier % 37 = 0 THEN 'F_compra_a_proveedor_desactivado' END, CASE WHEN s_nationkey <> 3 AND p_size % 7 < 2 THEN 'F_importacion_sin_lead_time_para_evento' END], x -> x IS NOT NULL) AS f,
-  list_filter([CASE WHEN p_size > 40 AND proveedores < 2 THEN 'O_sku_critico_dos_proveedores' END, CASE WHEN s_nationkey <> 3 AND n = 1 AND line <= 3 THEN 'O_justificacion_proveedor_exterior_nuevo' END], x -> x IS NOT NULL) AS o,
-  list_filter([CASE WHEN p_size % 10 > 0 THEN 'P_excede_budget_categoria_15_temporada_pico' END, CASE WHEN cantidad > 10 AND descuento_volumen_pct >= 10 THEN 'P_compra_supera_moq_con_descuento_volumen' END, CASE WHEN part % 11 = 0 THEN 'P_relajar_stock_minimo_sku_piloto' END], x -> x IS NOT NULL) AS p FROM x)
+  CASE WHEN p_type = 'PROMO' AND 20 >= p_size THEN 'F_compra_perecedero_sin_viabilidad' END, CASE WHEN monto_usd > 5000 AND line % 2 <> 0 THEN 'F_compra_grande_sin_aprobacion_presupuesto_bajo' END, CASE WHEN supplier % 37 = 0 THEN 'F_compra_a_proveedor_desactivado' END, CASE WHEN s_nationkey <> 3 AND p_size % 7 < 2 THEN 'F_importacion_sin_lead_time_para_evento' END], lambda x: x IS NOT NULL) AS f,
+  list_filter([CASE WHEN p_size > 40 AND proveedores < 2 THEN 'O_sku_critico_dos_proveedores' END, CASE WHEN s_nationkey <> 3 AND n = 1 AND line <= 3 THEN 'O_justificacion_proveedor_exterior_nuevo' END], lambda x: x IS NOT NULL) AS o,
+  list_filter([CASE WHEN p_size % 10 > 0 THEN 'P_excede_budget_categoria_15_temporada_pico' END, CASE WHEN cantidad > 10 AND descuento_volumen_pct >= 10 THEN 'P_compra_supera_moq_con_descuento_volumen' END, CASE WHEN part % 11 = 0 THEN 'P_relajar_stock_minimo_sku_piloto' END], lambda x: x IS NOT NULL) AS p FROM x)
 SELECT part, supplier, array_to_string(list_sort(f || o || p), ',') AS applied, array_to_string(list_sort(f), ',') AS blocked_by, CASE WHEN len(f) > 0 THEN 'blocked' WHEN len(o) > 0 THEN 'conditional' ELSE 'permitted' END AS verdict FROM f""")
 def norm_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All norms on all decisions, as one projection."""

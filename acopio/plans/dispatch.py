@@ -71,7 +71,7 @@ def dispatch(contexts: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: Colu
     base = pick(lambda r: F.lit(r.confidence))
     doubtful = F.when((F.col("tipo_sku") == "new") & (F.col("similar_top_score") < 0.7), base * F.greatest(F.lit(0.3), F.col("similar_top_score")))
     adjusted = doubtful.when((F.col("tipo_sku") == "trending") & (F.col("trend_confidence") >= 0.8), F.least(F.lit(1.0), base * 1.05)).otherwise(base)
-    return contexts.select("*", pick(lambda r: F.lit(r.id)).alias("rule"), pick(lambda r: F.array(*(F.lit(x) for x in parse_stages(r.stages)))).alias("stages"), pick(params).alias("params"), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), adjusted)), 6).alias("confidence"))
+    return contexts.select("*", pick(lambda r: F.lit(r.id)).alias("rule"), pick(lambda r: F.array(*(F.lit(x) for x in parse_stages(r.stages)))).alias("stages"), pick(params).alias("params"), F.when(base.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), adjusted)), 6)).alias("confidence"))
 
 
 def stage_changes(before: Column, after: Column) -> Column:
