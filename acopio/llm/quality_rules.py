@@ -116,48 +116,45 @@ def votes(features: DataFrame) -> list:
 
 
 def fit(patterns: np.ndarray, counts: np.ndarray, prior: float = 0.9, accuracy: float = 0.85, strength: float = 20.0, rounds: int = 500) -> tuple[float, np.ndarray]:
-    """EM over vote patterns (-1, 0, 1): P(good), and by class voted for (bad, good) and rule how often such a vote is right.
+    """EM over vote patterns (-1, 0, 1): P(good), and how often a vote of each rule is right.
 
-    Abstaining says nothing.  Priors worth strength documents say that votes
-    are right with the given accuracy; they fix which class is which and keep
-    tiny corpora from degenerate estimates.
+    Whether a rule abstains says nothing about the document.  Priors worth
+    strength documents say that votes are right with the given accuracy; they
+    fix which class is which and keep tiny corpora from degenerate estimates.
     """
-    theta, good = np.full((2, patterns.shape[1]), accuracy), prior
+    theta, good = np.full(patterns.shape[1], accuracy), prior
+    voted = (counts[:, None] * (patterns != 0)).sum(0)
     for _ in range(rounds):
-        p, before = posterior(patterns, good, theta), good
-        for side, right in ((0, 1 - p), (1, p)):
-            cast = patterns == 2 * side - 1
-            agree, voted = ((counts * right)[:, None] * cast).sum(0), (counts[:, None] * cast).sum(0)
-            theta[side] = (agree + strength * accuracy) / (voted + strength)
-        theta = np.clip(theta, 0.5, 0.999)  # a rule is never taken for its opposite
+        p, before = posterior(patterns, good, theta), (good, theta)
+        agree = (counts[:, None] * (p[:, None] * (patterns == 1) + (1 - p)[:, None] * (patterns == -1))).sum(0)
+        # A rule is never taken for its opposite.
+        theta = np.clip((agree + strength * accuracy) / (voted + strength), 0.5, 0.999)
         good = ((counts * p).sum() + strength * prior) / (counts.sum() + strength)
-        if abs(good - before) < 1e-10:
+        if abs(good - before[0]) < 1e-10 and np.abs(theta - before[1]).max() < 1e-9:
             break
     return good, theta
 
 
 def posterior(patterns: np.ndarray, good: float, theta: np.ndarray) -> np.ndarray:
-    weight = np.log(theta / (1 - theta))
-    odds = np.log(good / (1 - good)) + ((patterns == 1) * weight[1] - (patterns == -1) * weight[0]).sum(1)
+    odds = np.log(good / (1 - good)) + patterns @ np.log(theta / (1 - theta))
     return 1 / (1 + np.exp(-odds))
 
 
 def estimate(features: DataFrame) -> dict:
-    """What EM finds over all documents: P(good), and by rule how often its votes bad and good are right."""
+    """What EM finds over all documents: P(good), and how often the votes of each rule are right."""
     cols = [f"vote_{n}" for n in rules()]
     rows = features.select(*votes(features)).groupBy(*cols).agg(F.count(F.lit(1)).alias("n_documents")).collect()  # at most 3 ** rules rows
     patterns = np.array([[r[c] for c in cols] for r in rows], int).reshape(-1, len(cols))
     good, theta = fit(patterns, np.array([r["n_documents"] for r in rows], float))
-    return {"good": good, "accuracy": {n: {"bad": float(theta[0, k]), "good": float(theta[1, k])} for k, n in enumerate(rules())}}
+    return {"good": good, "accuracy": {n: float(theta[k]) for k, n in enumerate(rules())}}
 
 
 def verdict(features: DataFrame, estimates: dict, threshold: float) -> DataFrame:
     """features with votes, base_failed, quality (the posterior) and kept."""
     out = features.select("*", *votes(features))
     odds = F.lit(float(np.log(estimates["good"] / (1 - estimates["good"]))))
-    for name, by in estimates["accuracy"].items():
-        step = {side: float(np.log(p / (1 - p))) for side, p in by.items()}
-        odds = odds + F.when(F.col(f"vote_{name}") == -1, -step["bad"]).when(F.col(f"vote_{name}") == 1, step["good"]).otherwise(0.0)
+    for name, right in estimates["accuracy"].items():
+        odds = odds + F.col(f"vote_{name}") * float(np.log(right / (1 - right)))
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = out.withColumn("base_failed", failed).withColumn("quality", 1 / (1 + F.exp(-odds)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
