@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 _PUNCTUATION = r"""[!-/:-@\[-`{-~¡¿]"""
 #: Fixed values.
-STOP_WORDS = ("the", "of", "and", "to", "in", "is", "it", "for", "on", "that", "with", "las", "los", "del", "que", "por", "para", "con", "una", "les", "des", "est", "pour", "der", "die", "das", "und", "von", "mit")
+STOP_WORDS = ("de", "la", "el", "le", "un", "en", "the", "of", "and", "to", "in", "is", "it", "for", "on", "that", "with", "las", "los", "del", "que", "por", "para", "con", "una", "les", "des", "est", "pour", "der", "die", "das", "und", "von", "mit")
 PLATFORMS = {"TIKTOK": "TIKTOK", "TIK_TOK": "TIKTOK", "INSTAGRAM": "INSTAGRAM", "IG": "INSTAGRAM", "META": "INSTAGRAM", "PINTEREST": "PINTEREST", "PIN": "PINTEREST", "GOOGLE": "GOOGLE_TRENDS", "GOOGLE_TRENDS": "GOOGLE_TRENDS"}
 
 
@@ -57,9 +57,13 @@ def chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
     return F.filter(parts, lambda x: x != "")
 
 
-def collapsed_chunks(text: Column, size: int = 800, overlap: int = 100) -> Column:
-    """White space collapsed; ends where the text ends, without an overlap-only tail."""
-    clean = F.trim(F.regexp_replace(text, r"\s+", " "))
+def collapsed(text: Column) -> Column:
+    """Runs of white space as one blank."""
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def collapsed_chunks(clean: Column, size: int = 800, overlap: int = 100) -> Column:
+    """Chunks of a collapsed text; ends where the text ends, without an overlap-only tail."""
     starts = F.sequence(F.lit(0), F.greatest(F.length(clean) - overlap - 1, F.lit(0)), F.lit(size - overlap))
     return F.filter(F.transform(starts, lambda i: F.substring(clean, i + 1, F.lit(size))), lambda x: x != "")
 

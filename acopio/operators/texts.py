@@ -20,7 +20,8 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH c AS (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), ' ') AS t FROM documents) SELECT doc_id, count(*) AS n_chunks, sum(length(x)) AS n_chars FROM (SELECT doc_id, substr(t, i * 700 + 1, 800) AS x FROM (SELECT doc_id, t, unnest(range(greatest(length(t) - 101, 0) // 700 + 1)) AS i FROM c)) WHERE x <> '' GROUP BY 1""")
 def collapsed_chunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """X39, A15, A20."""
-    parts = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.collapsed_chunks(F.col("text"))).alias("x"))
+    clean = table(spark, sf_dir, "documents").select("doc_id", X.collapsed(F.col("text")).alias("clean"))
+    parts = clean.select("doc_id", F.explode(X.collapsed_chunks(F.col("clean"))).alias("x"))
     return parts.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("x")).alias("n_chars"))
 
 
