@@ -40,18 +40,19 @@ _RAW = frozenset("script style textarea title noscript template iframe svg math
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 _STOPS = frozenset("ul ol dl table div article section main body".split())
-_DROPPED = frozenset("head form button select option dialog menu".split())
+_DROPPED = frozenset("head form fieldset button select option dialog menu".split())
 
 #: Names that sites give to what encloses content or boilerplate.
-_BAD = frozenset("ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget comment comments disqus reply replies respond toolbar pagination pager skip".split())
+_BAD = frozenset("ad ads advert adverts advertisement advertising adbox adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended widget comment comments disqus reply replies respond toolbar pagination pager skip adsbygoogle adslot adunit rail topbar discussion responses feedback sitemap teaser".split())
 _GOOD = frozenset("article content post entry story body main text".split())
 _BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar form".split())
 
 ARTICLE, MAIN, NAV, HEADER, FOOTER, ASIDE, BAD, GOOD, DROP = (1 << k for k in range(9))
+_AWAY = NAV | HEADER | FOOTER | ASIDE | BAD
 _MARKS = {"article": ARTICLE, "main": MAIN, "nav": NAV, "footer": FOOTER, "aside": ASIDE}
 
 FEATURES = ("bias", "article", "main", "nav", "header", "footer", "aside", "bad_name", "good_name", "link_share", "long", "short", "sentence", "heading", "item")
-PRIOR = np.array([-0.2, 3.0, 2.0, -5.0, -4.0, -5.0, -4.0, -5.0, 1.0, -3.0, 1.5, -0.5, 0.8, 0.3, -0.5])
+PRIOR = np.array([-0.2, 3.0, 2.0, -8.0, -7.0, -8.0, -7.0, -8.0, 1.0, -3.0, 1.5, -0.5, 0.8, 0.3, -0.5])
 
 
 class Block:
@@ -164,14 +165,15 @@ def features(found: list[Block]) -> np.ndarray:
     x[:, 0] = 1
     for k, b in enumerate(found):
         m, n = b.marks, b.text.count(" ") + 1
-        x[k, 1:9] = (m & ARTICLE > 0, m & MAIN > 0, m & NAV > 0, m & HEADER > 0, m & FOOTER > 0, m & ASIDE > 0, m & BAD > 0, m & GOOD > 0)
+        own = not m & _AWAY  # what is set apart inside an article is not the article
+        x[k, 1:9] = (own and m & ARTICLE > 0, own and m & MAIN > 0, m & NAV > 0, m & HEADER > 0, m & FOOTER > 0, m & ASIDE > 0, m & BAD > 0, own and m & GOOD > 0)
         x[k, 9:] = (min(1.0, b.linked / max(1, len(b.text))), min(1.0, n / 30), n < 4, b.text[-1] in ".!?:;\"')", b.tag[:1] == "h" and b.tag[1:].isdigit(), b.tag == "li")
     return x
 
 
 def weak_label(b: Block) -> int:
     """1 content, 0 boilerplate, -1 not known: by what the enclosing elements say."""
-    if b.marks & (NAV | HEADER | FOOTER | ASIDE | BAD):
+    if b.marks & _AWAY:
         return 0
     return 1 if b.marks & (ARTICLE | MAIN) else -1
 

@@ -269,3 +269,11 @@ def test_pipeline(spark):
 
 def test_hash_is_stable():
     assert hashlib.sha256(b"").hexdigest()[:8] == "e3b0c442"
+
+
+def test_html_inside_articles(spark):
+    text = "A sentence of the article that is long enough to look like any other sentence of a page, with a full stop."
+    for junk in ('<div class="ad">{}</div>', '<aside>{}</aside>', '<section class="reader-comments"><p>{}</p><p>{}</p></section>', '<nav><p>{}</p></nav>', '<div class="site-notice"><p>{}</p></div>', '<form><p>{}</p></form>', '<!-- {} -->', '<div hidden>{}</div>', '<footer>{}</footer>'):
+        junk = junk.replace("{}", "Buy our things now, they are good things, and you want many of them, today and tomorrow.")
+        assert html_extract.main_text(f"<body><article><h2>Head</h2><p>{text}</p>{junk}<p>{text}</article>{junk}</body>", html_extract.PRIOR) == f"Head\n{text}\n{text}"
+        assert html_extract.main_text(f'<body><div class="menu"><a href=x>One</a></div><div id="content"><h1>Head</h1><p>{text}</p>{junk}<p>{text}</p></div></body>', html_extract.PRIOR) == f"Head\n{text}\n{text}"
