@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 
 from acopio.functions import text as X
 from acopio.operators.planning import holt_winters, profiles, simulate, trim_to_budget
+from acopio.operators import scenarios as C
 from acopio.operators.similarity import composite, gower
 from acopio.operators.texts import match
 from acopio.plans.dispatch import Rule, dispatch, parse_stages
@@ -177,3 +178,16 @@ def test_streams(spark, tmp_path):
     seen = []
     S.run_batches(S.event_stream(spark, str(tmp_path / "in")), lambda df, k: seen.append(df.count()), str(tmp_path / "b")).awaitTermination(120)
     assert seen == [4]
+
+
+def test_scenarios(spark):
+    fixed = C.nearest_psd(np.array([[1, 0.9, -0.9], [0.9, 1, 0.9], [-0.9, 0.9, 1]]))
+    assert np.linalg.eigvalsh(fixed).min() > -1e-9 and np.allclose(np.diag(fixed), 1)
+    draws = C.correlated_demand(spark, ["a", "b"], np.array([100.0, 50.0]), np.array([5.0, 5.0]), np.array([[1, 0.8], [0.8, 1]]), 3000).groupBy("sim").pivot("name", ["a", "b"]).agg(F.first("demand"))
+    assert abs(draws.select(F.corr("a", "b")).first()[0] - 0.8) < 0.05
+    df = spark.createDataFrame([(1, "chair red"), (2, "red chairs"), (3, None)], "k int, t string")
+    assert C.dataset_hash(df).first()[0] == C.dataset_hash(df.orderBy(F.desc("k"))).first()[0] != C.dataset_hash(df.where("k < 3")).first()[0]
+    v = {r["k"]: np.array(r["embedding"]) for r in C.embed(df, "k", "t").collect()}
+    assert abs(np.linalg.norm(v[1]) - 1) < 1e-5 and v[1] @ v[2] > 0.4
+    row = spark.range(1).select(C.invented_numbers(F.lit("5 units at 3.0"), F.lit("buy 5 for 7")).alias("n"), C.cited(F.lit("by rule_1"), ["rule_1", "rule_2"]).alias("c"), C.explain(F.lit("sku"), F.lit(4)).alias("e")).first()
+    assert row["n"] == ["7"] and row["c"] == ["rule_1"] and "4 unidades" in row["e"]
