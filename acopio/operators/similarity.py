@@ -37,20 +37,22 @@ def composite(scores: dict[str, Column], weights: dict[str, float]) -> tuple[Col
     return F.when(there == 0, 0.0).otherwise(total / there), there
 
 
-def top_k_edges(vectors: DataFrame, id_col: str, vec_col: str, attr_col: str, k: int = 10, block: int = BLOCK) -> DataFrame:
+def top_k_edges(vectors: DataFrame, id_col: str, vec_col: str, attr_col: str, k: int = 10, block: int = BLOCK, wanted: DataFrame | None = None, lexical_share: float = LEXICAL / (LEXICAL + STRUCTURAL)) -> DataFrame:
     """For each vector its k best others by 0.625 cosine + 0.375 equal attribute.
 
-    Rows are dealt into blocks of about block vectors; each task multiplies
+    wanted, some of the vectors, restricts the rows that are searched for,
+    not what is searched.  Rows are dealt into blocks of about block vectors; each task multiplies
     one block with one other and keeps k of each row, so a task holds two
     blocks and n * k * blocks rows leave the tasks, not n * n.
     """
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.col(attr_col).cast("string").alias("a"), F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int").alias("b"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    left = rows.select("*", other).select("id", "v", "a", F.lit(0).alias("side"), F.col("b").alias("p"), F.col("o").alias("q"))
-    right = rows.select("*", other).select("id", "v", "a", F.lit(1).alias("side"), F.col("o").alias("p"), F.col("b").alias("q"))
-    w = LEXICAL / (LEXICAL + STRUCTURAL)
+    wanted = vectors if wanted is None else wanted
+    blocks = max(1, -(-vectors.count() // block))
+    wanted_blocks = max(1, -(-wanted.count() // block))
+    deal = lambda df, m: df.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.col(attr_col).cast("string").alias("a"), F.pmod(F.xxhash64(id_col), F.lit(m)).cast("int").alias("b"))
+    other = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("o")
+    left = deal(wanted, wanted_blocks).select("*", other(blocks)).select("id", "v", "a", F.lit(0).alias("side"), F.col("b").alias("p"), F.col("o").alias("q"))
+    right = deal(vectors, blocks).select("*", other(wanted_blocks)).select("id", "v", "a", F.lit(1).alias("side"), F.col("o").alias("p"), F.col("b").alias("q"))
+    w = lexical_share
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1].sort_values("id")
@@ -110,22 +112,39 @@ def search(vectors: DataFrame, id_col: str, vec_col: str, wanted: list[float], k
     return vectors.select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-@query("""SELECT vec_id, round(score, 4) AS score FROM (SELECT vec_id, round(least(1, greatest(0, list_dot_product(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 7)))), 9) AS score FROM embeddings WHERE label % 2 = 0 ORDER BY score DESC, vec_id LIMIT 10)""")
+@query("""WITH s AS (SELECT a.vec_id AS id, b.vec_id AS other, round(least(1, greatest(0, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 9) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
+SELECT id, other, round(score, 4) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS place FROM s QUALIFY place <= 10""")
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top-10 report for vector 7 among even labels."""
+    """A search, every vector whose id is divisible by 50 against all by cosine alone."""
     vectors = table(spark, sf_dir, "embeddings")
-    wanted = vectors.where("vec_id = 7").select("embedding").first()[0]
-    return search(vectors.where("label % 2 = 0"), "vec_id", "embedding", wanted).select("vec_id", F.round("score", 4).alias("score"))
+    found = top_k_edges(vectors, "vec_id", "embedding", "label", wanted=vectors.where("vec_id % 50 = 0"), lexical_share=1.0)
+    return found.select("id", "other", F.round("score", 4).alias("score"), "place")
 
 
-@query("""WITH p AS (SELECT a.p_partkey AS a, b.p_partkey AS b, (CASE WHEN a.p_type = b.p_type THEN 1.5 ELSE 0 END + CASE WHEN a.p_size = b.p_size THEN 0.5 ELSE 0 END + 1.0) / 3.0 AS s FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey AND a.p_size % 5 = b.p_size % 5 AND abs(a.p_partkey - b.p_partkey) < 50)
-SELECT a, b, round(s, 4)::DOUBLE AS structural, round(0.3 * s / 0.3, 4)::DOUBLE AS score, 0.3::DOUBLE AS confidence FROM p""")
+@query("""WITH c AS (SELECT p_brand AS brand, p_type AS type, p_size AS size, count(*) AS n FROM part GROUP BY 1, 2, 3), p AS (SELECT a.brand, a.type AS a_type, a.size AS a_size, b.type AS b_type, b.size AS b_size,
+CASE WHEN a.type = b.type AND a.size = b.size THEN a.n * (a.n - 1) // 2 ELSE a.n * b.n END AS n_pairs, (CASE WHEN a.type = b.type THEN 1.5 ELSE 0 END + CASE WHEN a.size = b.size THEN 0.5 ELSE 0 END + 1.0) / 3.0 AS s
+FROM c a JOIN c b ON a.brand = b.brand AND (a.type, a.size) <= (b.type, b.size))
+SELECT brand, a_type, a_size, b_type, b_size, n_pairs::BIGINT AS n_pairs, round(s, 4)::DOUBLE AS structural, round(0.3 * s / 0.3, 4)::DOUBLE AS score, 0.3::DOUBLE AS confidence FROM p WHERE n_pairs > 0""")
 def structural_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribute similarity of neighbouring parts of a brand; without other signals the weight is renormalised."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", F.col("p_size").cast("string").alias("size"), (F.col("p_size") % 5).alias("m"), F.floor(F.col("p_partkey") / 50).alias("cell"))
-    a = part.select(*(F.col(c).alias(f"a_{c}") for c in part.columns), F.explode(F.array("cell", F.col("cell") + 1)).alias("c"))
-    b = part.select(*(F.col(c).alias(f"b_{c}") for c in part.columns))
-    near = a.join(b, (F.col("a_p_brand") == F.col("b_p_brand")) & (F.col("a_m") == F.col("b_m")) & (F.col("c") == F.col("b_cell")) & (F.col("a_p_partkey") < F.col("b_p_partkey")) & (F.col("b_p_partkey") - F.col("a_p_partkey") < 50))
-    s = gower([(F.col("a_p_type"), F.col("b_p_type"), 1.5), (F.col("a_size"), F.col("b_size"), 0.5), (F.col("a_p_brand"), F.col("b_p_brand"), 1.0)])
+    """Attribute similarity of all parts of a brand; without other signals the weight is renormalised.
+
+    Parts with the same attributes are one class.  Pairs of classes, with how
+    many pairs of parts they stand for, grow with the attributes' domains and
+    not with the parts.
+    """
+    part = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("type"), F.col("p_size").alias("size")).agg(F.count(F.lit(1)).alias("n"))
+    a, b = (part.select("brand", *(F.col(c).alias(f"{x}_{c}") for c in ("type", "size", "n"))) for x in "ab")
+    first, second = F.struct("a_type", "a_size"), F.struct("b_type", "b_size")
+    pairs = a.join(b, "brand").where(first <= second).withColumn("n_pairs", F.when(first == second, F.expr("a_n * (a_n - 1) div 2")).otherwise(F.col("a_n") * F.col("b_n"))).where("n_pairs > 0")
+    s = gower([(F.col("a_type"), F.col("b_type"), 1.5), (F.col("a_size").cast("string"), F.col("b_size").cast("string"), 0.5), (F.col("brand"), F.col("brand"), 1.0)])
     score, sure = composite({"lexical": F.lit(None).cast("double"), "structural": F.col("s")}, {"lexical": LEXICAL, "structural": STRUCTURAL})
-    return near.withColumn("s", s).select(F.col("a_p_partkey").alias("a"), F.col("b_p_partkey").alias("b"), F.round("s", 4).alias("structural"), F.round(score, 4).alias("score"), sure.alias("confidence"))
+    return pairs.withColumn("s", s).select("brand", "a_type", "a_size", "b_type", "b_size", "n_pairs", F.round("s", 4).alias("structural"), F.round(score, 4).alias("score"), sure.alias("confidence"))
+
+
+@query(f"WITH {_EDGES}, e AS (SELECT id, other, round(score, 6) AS score FROM edges WHERE round(score, 6) >= 0.5), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS place FROM e) SELECT id, other, p_name AS name, round(score, 4) AS score, place FROM r LEFT JOIN part ON other = p_partkey WHERE place <= 5")
+def similar_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best edges of each product over a threshold, with names."""
+    found = edges(spark, sf_dir).select("id", "other", F.round("score", 6).alias("score")).where("score >= 0.5")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
+    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("other"), F.col("p_name").alias("name"))
+    return found.withColumn("place", place).where("place <= 5").join(names, "other", "left").select("id", "other", "name", F.round("score", 4).alias("score"), "place")

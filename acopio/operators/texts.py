@@ -126,8 +126,8 @@ def derived_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flags.select("p_partkey", F.array_join(F.array_compact(held), ",").alias("classes"))
 
 
-@query("""SELECT o_orderkey AS decision, o_custkey AS agent, o_orderdate AS at FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-01' AND o_custkey % 5 = 1""")
+@query("""SELECT o_orderkey AS decision, o_orderpriority AS agent, o_orderdate AS at FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '1996-03-01' AND o_orderpriority = '1-URGENT'""")
 def agent_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A named query with parameters."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("decision_log")
-    return spark.sql("SELECT o_orderkey AS decision, o_custkey AS agent, o_orderdate AS at FROM decision_log WHERE o_orderdate BETWEEN :since AND :until AND o_custkey % 5 = :agent", args={"since": __import__("datetime").datetime(1996, 1, 1), "until": __import__("datetime").datetime(1996, 3, 1), "agent": 1})
+    return spark.sql("SELECT o_orderkey AS decision, o_orderpriority AS agent, o_orderdate AS at FROM decision_log WHERE o_orderdate BETWEEN :since AND :until AND o_orderpriority = :agent", args={"since": __import__("datetime").datetime(1996, 1, 1), "until": __import__("datetime").datetime(1996, 3, 1), "agent": "1-URGENT"})

@@ -94,9 +94,9 @@ def ewma(values: Column, alpha: float = 0.3) -> Column:
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, 0), lambda s, v: alpha * v + (1 - alpha) * s)
 
 
-@query(f"""WITH RECURSIVE w AS ({_WEEKLY}), o AS (SELECT part, units, row_number() OVER (PARTITION BY part ORDER BY year, week) AS k FROM w WHERE part % 20 = 0),
+@query(f"""WITH RECURSIVE w AS ({_WEEKLY}), o AS (SELECT part, units, row_number() OVER (PARTITION BY part ORDER BY year, week) AS k FROM w),
 s(part, k, v) AS (SELECT part, k, units::DOUBLE FROM o WHERE k = 1 UNION ALL SELECT o.part, o.k, 0.3 * o.units + 0.7 * s.v FROM s JOIN o ON o.part = s.part AND o.k = s.k + 1)
-SELECT part, round(max_by(v, k), 4) AS smoothed FROM s GROUP BY 1""".replace(" WHERE part % 20 = 0", ""))
+SELECT part, round(max_by(v, k), 4) AS smoothed FROM s GROUP BY 1""")
 def smoothed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponentially weighted level of each part's series (a series has at most its weeks)."""
     series = F.transform(F.array_sort(F.collect_list(F.struct("year", "week", "units"))), lambda x: x["units"])
