@@ -52,7 +52,7 @@ def event_date(week: Column, start: str = "2026-01-01") -> Column:
 
 def posts(spark: SparkSession, path: str) -> DataFrame:
     """An array of posts, or an object with posts or items; by event time."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.trim("value").alias("v"))
+    raw = spark.read.text(path, wholetext=True).select(F.trim("value", F.lit(" \t\r\n")).alias("v"))
     listed = F.from_json("v", T.ArrayType(POST))
     held = F.from_json("v", T.StructType([T.StructField("posts", T.ArrayType(POST)), T.StructField("items", T.ArrayType(POST))]))
     rows = F.when(F.col("v").startswith("["), listed).otherwise(F.coalesce(held["posts"], held["items"]))
