@@ -99,12 +99,19 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     """
     known = docs.where(learn & F.col(lang_col).isNotNull())
     ranked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
-    # The sample: a bounded number of ids for each language, found without the texts.
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
+    # The sample: a bounded number of ids for each language, found without the
+    # texts.  Hashes under a threshold that some more than per_language ids of
+    # the language are expected to pass come first, so what is ranked is as
+    # small for a language of a third of all documents as for a rare one.
+    held = {r["lang"]: r["n"] for r in ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    if not held:
+        return None
+    spare = per_language + 10 * int(per_language**0.5) + 50
+    limit = F.create_map(*(x for k, n in held.items() for x in (F.lit(k), F.lit(min(1.0, spare / n)))))
+    ranked = ranked.withColumn("hash", F.xxhash64("id")).where((F.col("hash") / 2.0**64 + 0.5) <= F.element_at(limit, F.col("lang")))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "id"))
     sample = ranked.withColumn("place", place).where(F.col("place") <= per_language).select("id", "lang")
     sizes = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
-    if not sizes:
-        return None
     languages = sorted(sizes, key=lambda x: (-sizes[x], x))
     number = {x: k for k, x in enumerate(languages)}
     picked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(sample.distinct()), ["id", "lang"])
