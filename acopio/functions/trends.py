@@ -103,8 +103,9 @@ def of_supplier(items: Column, supplier: Column) -> Column:
 def season_curve(peak: Column, spread: Column) -> Column:
     """52 weekly factors with mean 1."""
     raw = F.transform(F.sequence(F.lit(1), F.lit(52)), lambda w: F.greatest(F.lit(0.1), F.least(F.lit(2.0), F.greatest(F.lit(0.0), F.sin(2 * F.pi() * (w - 47) / 52) + 1)) * peak * spread + (1 - spread)))
-    total = F.aggregate(raw, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(raw, lambda x: x / total * 52)
+    # Held in a struct, so that the sum is not taken again for each week.
+    held = F.struct(raw.alias("raw"), F.aggregate(raw, F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return F.get(F.transform(F.array(held), lambda h: F.transform(h["raw"], lambda x: x / h["total"] * 52)), 0)
 
 
 def week_of_year(week: Column) -> Column:
