@@ -17,7 +17,9 @@ as it has nodes, not as their square.  Where that leaves a bucket with nodes
 of different classes, a small bucket is paired fully between its classes, and
 the nodes of a large one (many texts around one shared passage) are banded
 anew with twice as many samples in a band and more bands, which tells them
-apart and finds pairs at the threshold as surely as the first banding.
+apart and finds pairs at the threshold as surely as the first banding.  What
+still holds several classes is compared block by block, so that every pair of
+different classes that meets in a bucket of the second banding is tested.
 """
 
 from __future__ import annotations
@@ -38,6 +40,7 @@ SIZE, BANDS, ROWS, THRESHOLD = 5, 16, 5, 0.8
 DEEP_BANDS, DEEP_ROWS = 64, 10
 COUNTERS, FLOOR = 1 << 18, 0.01
 SMALL_BUCKET = 24
+BLOCK, COLUMNS = 256, 4096
 _HASH = np.uint64((1 << 52) - 1)
 
 
@@ -224,6 +227,96 @@ def _class_stars(open_: DataFrame) -> DataFrame:
     return drawn.join(leads, "bucket").where("node <> lead").select(F.least("node", "lead").alias("u"), F.greatest("node", "lead").alias("v"))
 
 
+def _blocks(open_: DataFrame) -> DataFrame:
+    """bucket, i, j, node, class, block: the nodes of large buckets, once for each pair of blocks to compare.
+
+    The nodes of the largest class of a bucket meet only blocks of the rest,
+    so that a bucket of copies costs as much as it has nodes.
+    """
+    large = open_.where(F.col("n") > SMALL_BUCKET)
+    top = large.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"))
+    most, rest = (F.ceil(x / BLOCK).cast("int") for x in (F.col("top.size"), F.col("n") - F.col("top.size")))
+    rows = large.join(top, "bucket").select("bucket", "node", "class", (F.col("class") == F.col("top.class")).alias("in_top"), most.alias("most"), rest.alias("rest"))
+    place = F.when(F.col("in_top"), F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.col("most") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
+    others = F.sequence(F.when(F.col("in_top"), F.col("most")).otherwise(F.lit(0)), F.col("most") + F.col("rest") - 1)
+    rows = rows.select("bucket", "node", "class", place.alias("block"), F.explode(others).alias("other"))
+    return rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "class", "block")
+
+
+def shared_weight(left: list[tuple], right: list[tuple]) -> np.ndarray:
+    """Sums of the smaller weights of all pairs of bags (ids, tf, weight of one occurrence), by products of dense slices."""
+
+    def spread(bags: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # The k-th occurrence of an id is a column of its own: a minimum is then a product.
+        tf = np.concatenate([x[1] for x in bags]).astype(np.int64)
+        level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
+        keys = np.repeat(np.concatenate([x[0] for x in bags]), tf) | (level.astype(np.uint64) << np.uint64(44))
+        return np.repeat(np.arange(len(bags)), [int(x[1].sum()) for x in bags]), keys, np.repeat(np.concatenate([x[2] for x in bags]), tf)
+
+    (a, keys_a, w), (b, keys_b, _) = spread(left), spread(right)
+    common = np.intersect1d(keys_a, keys_b)
+    out = np.zeros((len(left), len(right)))
+    sides = []
+    for of, keys, weight in ((a, keys_a, w), (b, keys_b, np.ones(len(keys_b), np.float32))):
+        at = np.searchsorted(common, keys)
+        hit = np.flatnonzero((at < len(common)) & (common[np.minimum(at, len(common) - 1)] == keys)) if len(common) else np.zeros(0, np.int64)
+        hit = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((of[hit], at[hit], weight[hit]))
+    for first in range(0, len(common), COLUMNS):
+        dense = []
+        for (of, at, weight), n in zip(sides, out.shape, strict=True):
+            cut = slice(*np.searchsorted(at, (first, first + COLUMNS)))
+            part = np.zeros((n, min(COLUMNS, len(common) - first)), np.float32)
+            part[of[cut], at[cut] - first] = weight[cut]
+            dense.append(part)
+        out += dense[0] @ dense[1].T
+    return out
+
+
+def verify_blocks(blocks: DataFrame, banded: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """A link (u, v) for each two classes with a pair at threshold or above in a pair of blocks.
+
+    All pairs of different classes are compared, each in the first bucket it
+    shares.  Products in single precision leave out what is clearly below;
+    the rest is computed as in verify().
+    """
+    held = blocks.sparkSession.sparkContext.broadcast(idf)
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        idf, (bucket, i, j) = held.value, (x.as_py() for x in key)
+        rows = rows.sort_by("node")
+        node, kind, block = (np.array(rows[c].to_pylist()) for c in ("node", "class", "block"))
+        bands = np.array(rows["bands"].to_pylist())
+        u, v = np.flatnonzero(block == j), np.flatnonzero(block == i)
+        ask = kind[u][:, None] != kind[v][None, :]
+        if i == j:
+            ask &= u[:, None] < v[None, :]
+        if ask.any():
+            for k in range(int(np.flatnonzero(bands[0] == bucket)[0])):
+                ask &= bands[u, k][:, None] != bands[v, k][None, :]
+        links: list[tuple[str, str]] = []
+        if ask.any():
+            bags = []
+            for x, t in zip(rows["ids"], rows["tf"], strict=True):
+                ids, tf = np.frombuffer(x.as_py(), "<u4").astype(np.uint64), np.frombuffer(t.as_py(), "<u2")
+                bags.append((_apart(ids), tf, weigh(ids, np.ones(len(ids)), idf), weigh(ids, tf, idf)))
+            total = np.array([x[3].sum(dtype=float) for x in bags])
+            both = shared_weight([bags[k] for k in u], [bags[k] for k in v])
+            alike = both / np.maximum(total[u][:, None] + total[v][None, :] - both, 1e-12)
+            near = np.argwhere(ask & (alike >= threshold - 1e-4))
+            met = set()
+            for a, b in near[np.argsort(-alike[near[:, 0], near[:, 1]], kind="stable")]:
+                a, b = u[a], v[b]
+                pair = frozenset((kind[a], kind[b]))
+                if pair not in met and weighted_jaccard(bags[a][0], bags[a][3], bags[b][0], bags[b][3]) >= threshold - 1e-9:
+                    met.add(pair)
+                    links.append((str(min(node[a], node[b])), str(max(node[a], node[b]))))
+        return pa.table({"u": pa.array([x for x, _ in links], pa.string()), "v": pa.array([x for _, x in links], pa.string())})
+
+    rows = blocks.join(banded, "node").join(sets.select("node", "ids", "tf"), "node")
+    return rows.groupBy("bucket", "i", "j").applyInArrow(run, "u string, v string")
+
+
 def node_key(text: Column) -> Column:
     a, b = key128(F.coalesce(text, F.lit("")))
     return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
@@ -310,24 +403,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tried = materialise(_stars(members), "pairs")
     classes = components(verify(tried, sets, idf, threshold))
 
+    def merge(more: DataFrame, found: dict) -> None:
+        nonlocal classes
+        if found["n"]:
+            classes = components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+
     def link(pairs: DataFrame) -> None:
         """Verify pairs that were not tried before, and merge the classes they link."""
-        nonlocal tried, classes
+        nonlocal tried
         new, asked = materialise_counted(pairs.distinct().join(tried, ["u", "v"], "left_anti"), "pairs", n=F.count(F.lit(1)))
         if asked["n"]:
             tried = tried.unionByName(new)
-            more, found = materialise_counted(verify(new, sets, idf, threshold), "links", n=F.count(F.lit(1)))
-            if found["n"]:
-                classes = components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+            merge(*materialise_counted(verify(new, sets, idf, threshold), "links", n=F.count(F.lit(1))))
 
     open_, left = _open(members, classes)
     if left["large"]:
         crowded = open_.where(F.col("n") > SMALL_BUCKET).select("node").distinct()
-        deep = _members(materialise(deep_signatures(sets.join(crowded, "node"), idf), "signatures"))
+        banded = materialise(deep_signatures(sets.join(crowded, "node"), idf), "signatures")
+        deep = _members(banded)
         link(_across(open_).unionByName(_stars(deep)))
         open_, left = _open(deep, classes)
         if left["all"]:
             link(_across(open_).unionByName(_class_stars(open_)) if left["large"] else _across(open_))
+        if left["large"]:
+            open_, left = _open(deep, classes)
+        if left["large"]:
+            merge(*materialise_counted(verify_blocks(_blocks(open_), banded, sets, idf, threshold), "links", n=F.count(F.lit(1))))
     elif left["all"]:
         link(_across(open_))
     placed = nodes.select("node", "rep", "n_copies").join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))

@@ -126,6 +126,36 @@ def test_near_dedup(spark):
     assert all(want[k] == want[c] for k, c in got.items())
 
 
+def test_near_dedup_hot_family(spark):
+    """2,000 texts around one passage (pairs at 0.77), of which 300 have a partner just above 0.8; against all pairs."""
+    draw = np.random.default_rng(7)
+    word = lambda n: [f"w{x}" for x in draw.integers(1 << 40, size=n)]
+    passage, texts = word(404), []
+    for k in range(2000):
+        tail = word(26)
+        if k % 2 and k < 600:
+            tail[:3] = texts[-1][404:407]
+        texts.append(passage + tail)
+    runs = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] for t in texts]
+    df = collections.Counter(x for r in runs for x in r)
+    idf = lambda x: 1 + math.log(1 / max(near_dedup.FLOOR, df[x] / len(texts))) / math.log(1 / near_dedup.FLOOR)
+    column = {x: k for k, x in enumerate(x for x, n in df.items() if n > 1)}
+    has, weight, total = np.zeros((len(texts), len(column))), np.array([idf(x) for x in column]), np.array([sum(map(idf, r)) for r in runs])
+    for k, r in enumerate(runs):
+        has[k, [column[x] for x in r if x in column]] = 1
+    both = (has * weight) @ has.T
+    alike = both / (total[:, None] + total[None, :] - both)
+    near = [(a, b) for a, b in np.argwhere(alike >= 0.8).tolist() if a < b]
+    assert len(near) == 300 and 0.76 < np.median(alike) < 0.8
+    nodes, rows = near_dedup.near_duplicates(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r["id"]: r["class_id"] for r in rows.join(nodes, "node").collect()}
+    partner = dict((b, a) for a, b in near)
+    assert all(c in (k, partner.get(k)) for k, c in got.items())
+    found = sum(got[a] == got[b] for a, b in near)
+    print("found", found)
+    assert found >= 0.99 * len(near)
+
+
 def test_sampling_probability():
     draw = np.random.default_rng(1)
     ids = draw.integers(1 << 40, size=60, dtype=np.uint64)
