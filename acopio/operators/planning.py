@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,28 +154,106 @@ def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly(spark, sf_dir).groupBy("part").applyInPandas(forecast, "part long, step int, mean double, p05 double, p95 double, source string")
 
 
-def simulate(items: DataFrame, n_sims: int, seed: int) -> DataFrame:
-    """Profit of each simulation of a plan.
+class Restriction(NamedTuple):
+    """A norm on plans: its kind, its ID and its parameter (units, money; unused for shelf life)."""
+
+    kind: str
+    norm: str
+    limit: float | None = None
+
+
+def _simulated(items: pd.DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
+    """Profit, revenue and validity of each simulation of one plan, and violations by norm.
+
+    Each item has draws of its own, seeded by plan and part, so that results
+    depend neither on partitions nor on the order of rows.
+    """
+    profit, revenue, valid = np.zeros(n_sims), np.zeros(n_sims), np.ones(n_sims, bool)
+    violations: dict[str, int] = {}
+
+    def mark(norm: str, ok: np.ndarray) -> None:
+        if not ok.all():
+            violations[norm] = violations.get(norm, 0) + int((~ok).sum())
+            valid[:] &= ok
+
+    for x in items.itertuples(index=False):
+        key = int.from_bytes(hashlib.blake2b(f"{x.plan}:{x.sku}".encode(), digest_size=8).digest(), "little")
+        weeks = np.random.default_rng((seed, key)).standard_normal((int(x.weeks), n_sims), np.float32)
+        weeks *= np.float32(x.std / math.sqrt(x.weeks))
+        weeks += np.float32(x.mean / x.weeks)
+        np.maximum(weeks, 0, out=weeks)
+        demand = weeks.sum(axis=0, dtype=float)
+        for r in restrictions:
+            if r.kind == "no_exceder_dias_validez" and x.perishable and not pd.isna(x.shelf_days):
+                within = max(1, int(x.shelf_days) // 7)
+                if within < x.weeks:
+                    mark(r.norm, weeks[:within].sum(axis=0, dtype=float) >= x.quantity)
+            elif r.kind == "cantidad_minima_proveedor":
+                least = r.limit if r.limit is not None else getattr(x, "min_order", None)
+                if least is not None and not pd.isna(least):
+                    mark(r.norm, np.full(n_sims, x.quantity >= int(least)))
+        sold = np.minimum(demand, x.quantity)
+        revenue += sold * x.price
+        profit += sold * x.price - x.quantity * x.cost - (x.quantity - sold) * x.cost * (1.0 if x.perishable else 0.7) - np.maximum(0, demand - x.quantity) * max(0.0, x.price - x.cost)
+    total = float((items["quantity"] * items["cost"]).sum())
+    for r in restrictions:
+        if r.kind == "presupuesto_maximo_pyg" and r.limit is not None:
+            mark(r.norm, np.full(n_sims, total <= r.limit))
+    return profit, revenue, valid, violations
+
+
+def simulate(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...] = ()) -> DataFrame:
+    """Profit, revenue and validity of each simulation of a plan.
+
+    items: plan, sku, quantity, mean, std (both of all weeks), price, cost,
+    shelf_days, weeks, perishable, min_order (if any).  Weekly demand is
+    normal and clipped; what perishes unsold is lost whole, else at 70%;
+    missed sales cost their margin.  A simulation is valid if no item and not
+    the plan violates a restriction; unknown kinds are ignored.
+    """
+    plan = items.schema["plan"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        profit, revenue, valid, _ = _simulated(pdf, n_sims, seed, restrictions)
+        return pd.DataFrame({"plan": pdf["plan"].iloc[0], "sim": np.arange(n_sims), "profit": profit, "revenue": revenue, "valid": valid})
+
+    return items.groupBy("plan").applyInPandas(run, f"plan {plan}, sim int, profit double, revenue double, valid boolean")
+
 
-    items: plan, sku, quantity, mean, std, price, cost, shelf_days, weeks,
-    perishable.  Demand is normal and clipped; what perishes unsold is lost
-    whole, else at 70%; missed sales cost their margin.
+def risk_panel(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...] = ()) -> DataFrame:
+    """M1, M6: a row for each plan, without its simulations as rows.
+
+    The figures of profit are over all simulations (M6).  Those of revenue
+    are over the valid ones, null without any (M1), with the number of valid
+    ones and of violations by norm.
     """
-    sims = items.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_sims - 1))).alias("sim"))
-    usable = F.when(F.col("perishable"), F.least(F.lit(1.0), F.floor(F.col("shelf_days") / 7) / F.col("weeks"))).otherwise(1.0)
-    demand = F.greatest(F.lit(0.0), F.col("mean") + F.col("std") * F.randn(seed)) * usable
-    rows = sims.withColumn("demand", demand).withColumn("sold", F.least("quantity", "demand"))
-    dead = (F.col("quantity") - F.col("sold")) * F.col("cost") * F.when(F.col("perishable"), 1.0).otherwise(0.7)
-    missed = F.greatest(F.lit(0.0), F.col("demand") - F.col("quantity")) * F.greatest(F.lit(0.0), F.col("price") - F.col("cost"))
-    return rows.groupBy("plan", "sim").agg(F.sum(F.col("sold") * F.col("price") - F.col("quantity") * F.col("cost") - dead - missed).alias("profit"))
+    kind = items.schema["plan"].dataType.simpleString()
+    names = ("mean", "std", "p05", "p95", "var", "cvar", "sharpe", "p_loss")
+    taken = ("revenue_mean", "revenue_p05", "revenue_p50", "revenue_p95")
+    schema = f"plan {kind}, " + ", ".join(f"{c} double" for c in names) + ", n_sims int, n_valid int, total_cost double, " + ", ".join(f"{c} double" for c in taken) + ", violations map<string,long>"
+
+    def run(rows: pa.Table) -> pa.Table:
+        pdf = rows.to_pandas()
+        profit, revenue, valid, violations = _simulated(pdf, n_sims, seed, restrictions)
+        cut, high = np.percentile(profit, [5, 95])
+        mean, std, tail = profit.mean(), profit.std(), profit[profit <= cut].mean()
+        risk = (mean, std, cut, high, max(0.0, -cut), max(0.0, -tail), mean / std if std > 1e-9 else None, (profit < 0).mean())
+        won = (revenue[valid].mean(), *np.percentile(revenue[valid], [5, 50, 95])) if valid.any() else (None,) * 4
+        number = lambda x: pa.array([None if x is None else round(float(x), 4)], pa.float64())
+        columns = {"plan": rows["plan"].slice(0, 1)} | {c: number(x) for c, x in zip(names, risk, strict=True)} | {"n_sims": pa.array([n_sims], pa.int32()), "n_valid": pa.array([int(valid.sum())], pa.int32()), "total_cost": number((pdf["quantity"] * pdf["cost"]).sum())}
+        return pa.table(columns | {c: number(x) for c, x in zip(taken, won, strict=True)} | {"violations": pa.array([list(violations.items())], pa.map_(pa.string(), pa.int64()))})
+
+    return items.groupBy("plan").applyInArrow(run, schema)
+
+
+#: Of plan_risk: shelf life, an order minimum of one unit, a budget.
+PLAN_NORMS = (Restriction("no_exceder_dias_validez", "N-001"), Restriction("cantidad_minima_proveedor", "N-002", 1), Restriction("presupuesto_maximo_pyg", "N-003", 10_000_000.0))
 
 
 @query()
 def plan_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The risk panel of 200 simulations of each supplier's assortment.  Rows only."""
-    from .weekly import profit_risk
-
+    """The risk panel of 10,000 simulations of each supplier's assortment.  Rows only."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), (F.col("p_type") == "PROMO").alias("perishable"), F.col("p_size").alias("shelf_days"))
     i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("plan"), F.col("l_partkey").alias("sku")).agg(F.sum("l_quantity").alias("quantity"), (F.avg("l_quantity") * F.count(F.lit(1))).alias("mean"), (F.stddev_pop("l_quantity") + 1).alias("std"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     i = i.withColumn("cost", F.col("price") * 0.65).withColumn("weeks", F.lit(8)).join(part, "sku")
-    return profit_risk(simulate(i, 200, 42), ["plan"], "profit")
+    return risk_panel(i, 10_000, 42, PLAN_NORMS)

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from acopio.functions import text as X
-from acopio.operators.planning import holt_winters, profiles, simulate, trim_to_budget
+from acopio.operators.planning import Restriction, holt_winters, profiles, risk_panel, simulate, trim_to_budget
 from acopio.operators import scenarios as C
 from acopio.operators.similarity import composite, gower
 from acopio.operators.texts import match
@@ -158,6 +158,22 @@ def test_forecast(spark):
     assert {r["profit"] for r in simulate(items, 3, 1).collect()} == {50 * 10 - 600 - 50 * 6.0}
 
 
+def test_restrictions_of_simulations(spark):
+    shape = "plan int, sku int, quantity double, mean double, std double, price double, cost double, shelf_days int, weeks int, perishable boolean, min_order int"
+    items = spark.createDataFrame([(1, 1, 50.0, 400.0, 60.0, 10.0, 6.0, 7, 8, True, None), (1, 2, 30.0, 40.0, 5.0, 8.0, 5.0, 7, 8, False, 20), (2, 1, 5.0, 40.0, 5.0, 10.0, 6.0, 90, 8, True, 20)], shape)
+    shelf, least, budget, other = Restriction("no_exceder_dias_validez", "V"), Restriction("cantidad_minima_proveedor", "Q"), Restriction("presupuesto_maximo_pyg", "B", 100.0), Restriction("otro", "X", 0.0)
+    rows = simulate(items, 4000, 1, (shelf, least, budget, other)).toPandas()
+    got = {r["plan"]: r for r in risk_panel(items, 4000, 1, (shelf, least, budget, other)).collect()}
+    assert got[1]["violations"]["B"] == 4000 and got[1]["n_valid"] == 0 and got[1]["revenue_p05"] is None and set(got[1]["violations"]) == {"V", "B"}
+    assert got[2]["violations"] == {"Q": 4000} and not rows["valid"].any()
+    # Weekly demand of 50 against 50 units on the shelf for one week: half of the simulations are valid.
+    rows, got = simulate(items, 4000, 1, (shelf, other)).where("plan = 1").toPandas(), risk_panel(items, 4000, 1, (shelf, other)).where("plan = 1").first()
+    assert got["n_valid"] == rows["valid"].sum() == 4000 - got["violations"]["V"] and abs(got["n_valid"] - 2000) < 150
+    assert np.allclose([got["revenue_p05"], got["revenue_p50"], got["revenue_p95"]], np.percentile(rows.loc[rows["valid"], "revenue"], [5, 50, 95]), atol=1e-3)
+    assert np.isclose(got["var"], max(0, -np.percentile(rows["profit"], 5)), atol=1e-3) and got["total_cost"] == 450
+    assert risk_panel(items, 200, 1, (Restriction("cantidad_minima_proveedor", "Q", 31),)).where("plan = 1").first()["violations"] == {"Q": 200}
+
+
 def test_streams(spark, tmp_path):
     at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
     rows = [(1, at(0), 7, "click", 1.0, ""), (2, at(24), 7, "purchase", 2.0, ""), (3, at(25), 8, "view", 3.0, ""), (3, at(25), 8, "view", 3.0, "")]
