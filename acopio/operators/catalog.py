@@ -149,12 +149,22 @@ def orphan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT a.p_partkey AS part, b.p_partkey AS substitute, b.rn AS place FROM part a JOIN (SELECT p_partkey, p_type, p_brand, row_number() OVER (PARTITION BY p_type, p_brand ORDER BY p_partkey) AS rn FROM part) b
 ON a.p_type = b.p_type AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE b.rn <= 5""")
 def substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five parts of a part's category and brand, itself left out; ranked before the join."""
+    """The first five parts of a part's category and brand, itself left out afterwards, so that those five have four; J19 is category_substitutes."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
     first = part.withColumn("place", F.row_number().over(Window.partitionBy("p_type", "p_brand").orderBy("p_partkey"))).where("place <= 5").withColumnRenamed("p_partkey", "substitute")
     return part.join(first, ["p_type", "p_brand"]).where("p_partkey <> substitute").select(F.col("p_partkey").alias("part"), "substitute", "place")
 
 
+@query("""SELECT a.p_partkey AS part, b.p_partkey AS substitute, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS place FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_partkey <> b.p_partkey QUALIFY place <= 5""")
+def category_substitutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five other parts of a part's category; six are kept before the join, as one may be the part itself."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    first = part.withColumn("rn", F.row_number().over(Window.partitionBy("p_type").orderBy("p_partkey"))).where("rn <= 6").withColumnRenamed("p_partkey", "substitute")
+    pairs = part.join(F.broadcast(first), "p_type").where("p_partkey <> substitute")
+    place = F.row_number().over(Window.partitionBy("p_partkey").orderBy("substitute"))
+    return pairs.select(F.col("p_partkey").alias("part"), "substitute", place.alias("place")).where("place <= 5")
+
+
 @query("""SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_type = 'PROMO' ORDER BY p_partkey LIMIT 20 OFFSET 20""")
 def part_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of a category's listing."""

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from acopio.functions import text as X
+from acopio.operators.catalog import category_substitutes
 from acopio.operators.planning import Restriction, holt_winters, profiles, risk_panel, simulate, trim_to_budget
 from acopio.operators import scenarios as C
 from acopio.operators.similarity import composite, gower
@@ -174,6 +175,15 @@ def test_restrictions_of_simulations(spark):
     assert risk_panel(items, 200, 1, (Restriction("cantidad_minima_proveedor", "Q", 31),)).where("plan = 1").first()["violations"] == {"Q": 200}
 
 
+def test_category_substitutes(spark, tmp_path):
+    parts = [(k, "A", "x" if k % 2 else "y") for k in range(1, 9)] + [(20, "B", "x"), (21, "B", "y"), (22, "C", "x")]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    got = {}
+    for r in category_substitutes(spark, str(tmp_path)).orderBy("part", "place").collect():
+        got.setdefault(r["part"], []).append(r["substitute"])
+    assert got == {p: [q for q, t, _ in parts if t == kind and q != p][:5] for p, kind, _ in parts if kind != "C"}
+
+
 def test_streams(spark, tmp_path):
     at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
     rows = [(1, at(0), 7, "click", 1.0, ""), (2, at(24), 7, "purchase", 2.0, ""), (3, at(25), 8, "view", 3.0, ""), (3, at(25), 8, "view", 3.0, "")]
