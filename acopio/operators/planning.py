@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -109,49 +110,115 @@ def nearest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.withColumn("place", place).where("place <= 3").select("turn", F.col("id").alias("item_id"), "score", "place")
 
 
-def holt_winters(y: np.ndarray, steps: int, season: int = 52, rates: tuple[float, float, float] = (0.3, 0.05, 0.2)) -> tuple[np.ndarray, float]:
-    """level, trend (from eight points) and additive season (from two cycles); mean and residual spread.
-
-    The smoothing rates are those of a small grid with the least squared
-    error.  Under four points the mean is the forecast.
-    """
-    n = len(y)
-    if n == 0:
-        return np.zeros(steps), 1.0
-    if n < 4:
-        return np.full(steps, y.mean()), float(y.std()) or 1.0
-    m, best = season if n >= 2 * season else 0, None
+def _smoothed(y: np.ndarray, steps: int, m: int, multiplicative: bool, rates: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """Means ahead and residuals of the rates of a small grid with the least squared error; m is the season's length, 0 for none."""
+    n, best = len(y), None
     for alpha in (0.1, rates[0], 0.6):
         for beta in ((0.0, rates[1]) if n >= 8 else (0.0,)):
             level, trend = y[: m or 1].mean(), (y[m : 2 * m].mean() - y[:m].mean()) / m if m else 0.0
-            index = (y[:m] - level).tolist() if m else [0.0]
+            index = (y[:m] / level if multiplicative else y[:m] - level).tolist() if m else [0.0]
             errors = []
             for t, v in enumerate(y.tolist()):
-                s = index[t % (m or 1)]
-                e = v - (level + trend + s)
+                s, base = index[t % (m or 1)], level + trend
+                if m and multiplicative:
+                    e = v - base * s
+                    level, trend = base + alpha * e / max(s, 1e-6), trend + alpha * beta * e / max(s, 1e-6)
+                    index[t % m] = s + rates[2] * (1 - alpha) * e / max(base, 1e-6)
+                else:
+                    e = v - (base + s)
+                    level, trend = base + alpha * e, trend + alpha * beta * e
+                    if m:
+                        index[t % m] = s + rates[2] * (1 - alpha) * e
                 errors.append(e)
-                level, trend = level + trend + alpha * e, trend + alpha * beta * e
-                if m:
-                    index[t % m] = s + rates[2] * (1 - alpha) * e
             sse = float(np.square(errors).sum())
             if best is None or sse < best[0]:
-                ahead = [level + trend * (h + 1) + (index[(n + h) % m] if m else 0.0) for h in range(steps)]
-                best = sse, np.maximum(ahead, 0.0), float(np.std(errors))
-    return best[1], best[2] or max(1.0, 0.3 * float(y.mean()))
+                base = [level + trend * (h + 1) for h in range(steps)]
+                ahead = [x * index[(n + h) % m] if multiplicative else x + index[(n + h) % m] for h, x in enumerate(base)] if m else base
+                best = sse, np.maximum(ahead, 0.0), np.array(errors)
+    return best[1], best[2]
 
 
-@query()
-def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight weeks ahead of each part, with the band of seeded samples.  Rows only."""
+def holt_winters(y: np.ndarray, steps: int, season: int = 52, rates: tuple[float, float, float] = (0.3, 0.05, 0.2)) -> tuple[np.ndarray, float]:
+    """level, trend (from eight points) and multiplicative season (from two cycles); mean and residual spread.
+
+    Under four points, and with a season but values that are not positive,
+    the mean is the forecast.
+    """
+    n = len(y)
+    if n == 0:
+        return np.zeros(steps), 1.0
+    m = season if n >= 2 * season else 0
+    if n < 4 or m and y.min() <= 0:
+        return np.full(steps, y.mean()), float(y.std()) or 1.0
+    mean, errors = _smoothed(y, steps, m, True, rates)
+    return mean, float(np.std(errors)) or max(1.0, 0.3 * float(y.mean()))
+
+
+def ets_samples(y: np.ndarray, steps: int, n_samples: int, seed: int, season: int = 52) -> np.ndarray:
+    """the last step of an additive model (season from two cycles) plus residuals drawn with replacement."""
+    mean, errors = _smoothed(y, steps, season if len(y) >= 2 * season else 0, False, (0.3, 0.05, 0.2))
+    if np.allclose(np.std(errors), 0):
+        errors = np.array([0.0, 1.0, -1.0])
+    return np.maximum(0, mean[-1] + np.random.default_rng(seed).choice(errors, n_samples))
+
+
+def confidence(y: np.ndarray, source: str) -> float:
+    """F8: length, steadiness, lag-52 autocorrelation and source of a series, weighted."""
+    cv = cycle = 0.0
+    if len(y) >= 8:
+        cv = float(y.std() / y.mean()) if y.mean() > 0 else 0.0
+        if len(y) > 53 and y[52:].std() > 0 and y[:-52].std() > 0:
+            cycle = float(np.corrcoef(y[52:], y[:-52])[0, 1])
+    kind = {"own": 1.0, "inherited": 0.7, "category_default": 0.4, "trend_only": 0.3}[source]
+    return min(1.0, max(0.0, 0.3 * min(1.0, len(y) / 104) + 0.25 * max(0.0, 1 - cv) + 0.15 * (cycle + 1) / 2 + 0.3 * kind))
 
-    def forecast(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(["year", "week"])["units"].to_numpy(float)
-        mean, std = holt_winters(y, 8)
-        draws = np.maximum(0, np.random.default_rng(int(pdf["part"].iloc[0])).normal(mean, std, (1000, 8)))
-        low, high = np.percentile(draws, [5, 95], axis=0)
-        return pd.DataFrame({"part": pdf["part"].iloc[0], "step": range(1, 9), "mean": mean, "p05": low, "p95": high, "source": "own" if len(y) >= 12 else "short"})
 
-    return weekly(spark, sf_dir).groupBy("part").applyInPandas(forecast, "part long, step int, mean double, p05 double, p95 double, source string")
+def sourced_series(parts: DataFrame, series: DataFrame, edges: DataFrame, donors: DataFrame | None = None, least: int = 12, low: float = 0.6) -> DataFrame:
+    """The series each part (part, category) is forecast from: part, n_own, y, source, donor.
+
+    An explicit donor (part, donor) goes first, then the part's own series of
+    least weeks or more, the best edge (id, other, score) of low or more, the
+    mean of the category's parts that sold in a week, and nothing.
+    """
+    listed = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("year", "week", x.alias("x")))), lambda r: r["x"])
+    own = series.groupBy("part").agg(listed(F.col("units").cast("double")).alias("y"))
+    mean = series.join(parts, "part").groupBy("category", "year", "week").agg((F.sum("units") / F.countDistinct("part")).alias("units"))
+    category = mean.groupBy("category").agg(listed(F.col("units")).alias("y_category"))
+    best = edges.groupBy(F.col("id").alias("part")).agg(F.max(F.struct("score", (-F.col("other")).alias("other"))).alias("best")).where(F.col("best.score") >= low).select("part", (-F.col("best.other")).alias("found"))
+    none = F.array().cast("array<double>")
+    rows = parts.join(own, "part", "left").join(best, "part", "left").withColumn("y", F.coalesce("y", none)).withColumn("n_own", F.size("y"))
+    rows = rows.join(donors, "part", "left") if donors is not None else rows.withColumn("donor", F.lit(None).cast("long"))
+    has_own = F.col("n_own") >= least
+    donor = F.coalesce("donor", F.when(~has_own, F.col("found")))
+    rows = rows.withColumn("donor", donor).join(own.select(F.col("part").alias("donor"), F.col("y").alias("y_donor")), "donor", "left").join(category, "category", "left")
+    source = F.when(F.col("donor").isNotNull(), "inherited").when(has_own, "own").when(F.col("y_category").isNotNull(), "category_default").otherwise("trend_only")
+    chosen = F.when(F.col("donor").isNotNull(), F.coalesce("y_donor", none)).when(has_own, F.col("y")).otherwise(F.coalesce("y_category", none))
+    return rows.select("part", "n_own", chosen.alias("y"), source.alias("source"), "donor")
+
+
+@query()
+def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight weeks ahead of each part of the catalogue, with the band of seeded samples.  Rows only."""
+    from .similarity import top_k_edges
+
+    def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                y = np.asarray(r.y, float)
+                mean, std = holt_winters(y, 8)
+                draws = np.maximum(0, np.random.default_rng(r.part).normal(mean, std, (1000, 8)))
+                low, high = np.percentile(draws, [5, 95], axis=0)
+                out.append(pd.DataFrame({"part": r.part, "step": range(1, 9), "mean": mean, "p05": low, "p95": high, "source": r.source, "donor": pd.array([None if pd.isna(r.donor) else int(r.donor)] * 8, "Int64"), "n_own": r.n_own, "confidence": confidence(y, r.source)}))
+            if out:
+                yield pd.concat(out)
+
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("category"))
+    series, vectors = weekly(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    # Only parts of under 12 weeks look for a donor.
+    long = series.groupBy(F.col("part").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
+    edges = top_k_edges(vectors, "vec_id", "embedding", "label", k=1, wanted=vectors.join(long, "vec_id", "left_anti"))
+    return sourced_series(parts, series, edges).mapInPandas(forecast, "part long, step int, mean double, p05 double, p95 double, source string, donor long, n_own int, confidence double")
 
 
 class Restriction(NamedTuple):

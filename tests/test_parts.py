@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 
 from acopio.functions import text as X
 from acopio.operators.catalog import category_substitutes
-from acopio.operators.planning import Restriction, holt_winters, profiles, risk_panel, simulate, trim_to_budget
+from acopio.operators.planning import Restriction, confidence, ets_samples, holt_winters, profiles, risk_panel, simulate, sourced_series, trim_to_budget
 from acopio.operators import scenarios as C
 from acopio.operators.similarity import composite, gower
 from acopio.operators.texts import match
@@ -159,6 +159,22 @@ def test_forecast(spark):
     assert {r["profit"] for r in simulate(items, 3, 1).collect()} == {50 * 10 - 600 - 50 * 6.0}
 
 
+def test_forecast_sources(spark):
+    parts = spark.createDataFrame([(1, "A"), (2, "A"), (3, "A"), (4, "B"), (5, "A"), (6, "A")], "part long, category string")
+    series = spark.createDataFrame([(p, 2000, w, float(p * w)) for p, n in ((1, 12), (2, 11), (5, 12), (6, 2)) for w in range(1, n + 1)], "part long, year long, week long, units double")
+    edges = spark.createDataFrame([(1, 2, 0.9), (2, 1, 0.6), (2, 3, 0.5), (3, 1, 0.59), (6, 5, 0.7), (6, 1, 0.7)], "id long, other long, score double")
+    donors = spark.createDataFrame([(5, 1)], "part long, donor long")
+    got = {r["part"]: (r["source"], r["donor"], r["n_own"], r["y"][:2]) for r in sourced_series(parts, series, edges, donors).collect()}
+    assert got == {1: ("own", None, 12, [1, 2]), 2: ("inherited", 1, 11, [1, 2]), 3: ("category_default", None, 0, [3.5, 7]), 4: ("trend_only", None, 0, []), 5: ("inherited", 1, 12, [1, 2]), 6: ("inherited", 1, 2, [1, 2])}
+    y = np.concatenate([k * np.r_[np.ones(40) * 10, np.ones(12) * 30] for k in (1, 2, 4)])
+    ahead = holt_winters(y, 52)[0]
+    assert 2.5 < ahead[45] / ahead[5] < 3.5  # a multiplicative peak grows with its level
+    skewed = np.where(np.arange(60) % 10 == 0, 100.0, 10.0)
+    draws = ets_samples(skewed, 1, 4000, 1)
+    assert len(np.unique(draws)) <= 60 and np.percentile(draws, 98) > 2 * np.percentile(draws, 80)  # residuals, not a normal curve
+    assert np.isclose(confidence(np.array([]), "trend_only"), 0.25 + 0.075 + 0.09)
+
+
 def test_restrictions_of_simulations(spark):
     shape = "plan int, sku int, quantity double, mean double, std double, price double, cost double, shelf_days int, weeks int, perishable boolean, min_order int"
     items = spark.createDataFrame([(1, 1, 50.0, 400.0, 60.0, 10.0, 6.0, 7, 8, True, None), (1, 2, 30.0, 40.0, 5.0, 8.0, 5.0, 7, 8, False, 20), (2, 1, 5.0, 40.0, 5.0, 10.0, 6.0, 90, 8, True, 20)], shape)
