@@ -16,8 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests, notebooks) a temporary folder
-    is set.
+    Only a local master (tests, notebooks) may name none: a temporary folder
+    is set then.  On a cluster that folder would be another on each machine,
+    so there it is an error.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     held = sc.getCheckpointDir()
     if not held:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="acopio-"))
         held = sc.getCheckpointDir()
     return held.rstrip("/")

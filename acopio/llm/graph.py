@@ -8,19 +8,30 @@ from pyspark.sql import functions as F
 from .common import drop_materialised, materialise_counted
 
 
+def _least(rows: DataFrame) -> DataFrame:
+    """rows (u, v) and m, the smallest v of each u, without bringing the rows of one u into one task.
+
+    Rows are dealt to as many salts as there are shuffle partitions; what
+    meets at u is one minimum for each salt that u has, and goes back to it.
+    """
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
+    by_salt = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = by_salt.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
+    return dealt.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select("u", "v", "m")
+
+
 def _large(e: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small(e: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the smallest of these."""
-    down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    down = _least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
+    # The smallest neighbour is itself among the rows: it gives (u, m).
+    return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,8 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     A node without edges is not returned: it is a component of its own.  Each
     round is written to the shared folder; rounds grow with the logarithm of
-    a component's width.  Minima are pre-aggregated in each task, and the
-    joins are shuffled joins that adaptive execution splits at hot nodes.
+    a component's width.  The edges of a hot node are dealt to salts.
     """
     count, mark = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)
     now, before = materialise_counted(edges.select("u", "v").where("u <> v").distinct(), "edges", n=count, mark=mark)

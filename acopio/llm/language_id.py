@@ -25,13 +25,14 @@ from .common import table
 from .words import Chunk, chunks, code_points, edge_grams, mix, padded
 
 SIZES, HASHES, PER_LANGUAGE = (3, 4), 3, 1000
+_LAST = 0x3FFFF  # no plane above has letters
 _letters: list[np.ndarray] = []
 
 
 def _is_letter(points: np.ndarray) -> np.ndarray:
     if not _letters:
-        _letters.append(np.array([chr(k).isalpha() for k in range(0x30000)]))
-    return _letters[0][np.minimum(points, 0x2FFFF)]
+        _letters.append(np.array([chr(k).isalpha() for k in range(_LAST + 1)]))
+    return _letters[0][np.minimum(points, _LAST)]
 
 
 def _ngrams(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,7 @@ SALTS = 8
 
 
 def keyed_lines(texts: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Document, position and two hashes of the keys of all lines with a key of min_chars code points."""
+    """Document, position and the two halves of a 128-bit hash of the keys of all lines with a key of min_chars code points."""
     for c in chunks(texts):
         low = Chunk(_LOWER[c.buf], c.bounds, c.first)
         starts, ends, of = low.lines()
@@ -41,7 +42,8 @@ def keyed_lines(texts: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, .
         points = np.concatenate(([0], np.cumsum((low.buf & 0xC0) != 0x80)))
         long_ = points[b] - points[a] >= min_chars
         has, a, b = has[long_], a[long_], b[long_]
-        yield c.first + of[has], pos[has], low.hashes(a, b).view(np.int64), low.hashes(a, b, 1).view(np.int64)
+        keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(low.buf[x:y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)), np.int64).reshape(-1, 2)
+        yield c.first + of[has], pos[has], keys[:, 0], keys[:, 1]
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:

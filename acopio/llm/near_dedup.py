@@ -188,7 +188,7 @@ def deep_signatures(sets: DataFrame, idf: np.ndarray, bands: int = DEEP_BANDS, r
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 ids = [np.frombuffer(x.as_py(), "<u4") for x in part.column(1)]
-                tf = np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in part.column(2)])
+                tf = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in part.column(2)])
                 of, hashes = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids).astype(np.uint64)
                 present, own = sampler.bands(of, mix(hashes), weigh(hashes, tf, idf), bands, rows)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(present)), pa.array(own.tolist(), pa.list_(pa.int64()))], names=["node", "bands"])
@@ -298,7 +298,7 @@ def verify_blocks(blocks: DataFrame, banded: DataFrame, sets: DataFrame, idf: np
         if ask.any():
             bags = []
             for x, t in zip(rows["ids"], rows["tf"], strict=True):
-                ids, tf = np.frombuffer(x.as_py(), "<u4").astype(np.uint64), np.frombuffer(t.as_py(), "<u2")
+                ids, tf = np.frombuffer(x.as_py(), "<u4").astype(np.uint64), np.frombuffer(t.as_py(), "<u4")
                 bags.append((_apart(ids), tf, weigh(ids, np.ones(len(ids)), idf), weigh(ids, tf, idf)))
             total = np.array([x[3].sum(dtype=float) for x in bags])
             both = shared_weight([bags[k] for k in u], [bags[k] for k in v])
@@ -331,7 +331,7 @@ def bags(texts: DataFrame) -> DataFrame:
             for c in chunks(batch.column(1)):
                 of, hashes, tf = shingles(c)
                 cuts = np.searchsorted(of, np.arange(c.n + 1))
-                low, tf = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(tf, 0xFFFF).astype("<u2")
+                low, tf = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4"), tf.astype("<u4")
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     order = np.argsort(low[a:b], kind="stable")
                     ids.append(low[a:b][order].tobytes())
@@ -364,7 +364,7 @@ def verify(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: float)
             keep = []
             for a, ta, b, tb in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
                 a, b = np.frombuffer(a.as_py(), "<u4").astype(np.uint64), np.frombuffer(b.as_py(), "<u4").astype(np.uint64)
-                wa, wb = weigh(a, np.frombuffer(ta.as_py(), "<u2"), idf), weigh(b, np.frombuffer(tb.as_py(), "<u2"), idf)
+                wa, wb = weigh(a, np.frombuffer(ta.as_py(), "<u4"), idf), weigh(b, np.frombuffer(tb.as_py(), "<u4"), idf)
                 # Two ids that agree in 32 bits in one document are kept apart by place.
                 keep.append(weighted_jaccard(_apart(a), wa, _apart(b), wb) >= threshold - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))

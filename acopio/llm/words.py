@@ -1,9 +1,9 @@
 """Words, lines and word windows of whole Arrow batches as numpy arrays.
 
 Everything works on the UTF-8 bytes of many documents at once.  A word or a
-line is known by a 64-bit polynomial hash of its bytes.  Batches are cut into
-chunks of a few hundred kilobytes, so memory depends on the longest document
-and not on the batch.
+line is known by a 64-bit hash that mixes its bytes, eight at a time (xxh3
+for long ones).  Batches are cut into chunks of a few hundred kilobytes, so
+memory depends on the longest document and not on the batch.
 """
 
 from __future__ import annotations
@@ -13,27 +13,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-_powers: dict[int, np.ndarray] = {}
 CHUNK_BYTES = 1 << 19
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    held = _powers.get(base)
-    if held is None or len(held) < n:
-        size = max(n, CHUNK_BYTES + 1)
-        held = np.ones(size, np.uint64)
-        done = 1
-        while done < size:
-            more = min(done, size - done)
-            np.multiply(held[:more], np.uint64(pow(base, done, 1 << 64)), out=held[done : done + more])
-            done += more
-        _powers[base] = held
-    return held[:n]
+LONG_SPAN = 64  # bytes from which a span is hashed on its own
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -53,7 +43,7 @@ class Chunk:
     def __init__(self, buf: np.ndarray, bounds: np.ndarray, first: int):
         self.buf, self.bounds, self.first = buf, bounds, first
         self.n = len(bounds) - 1
-        self._sums: dict[int, np.ndarray] = {}
+        self._eights: np.ndarray | None = None
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many of the flagged bytes each document has."""
@@ -91,15 +81,26 @@ class Chunk:
         ends_of = np.concatenate((of, np.arange(self.n)))
         return starts[order], ends[np.lexsort((ends, ends_of))], docs[order]
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, base: int = 0) -> np.ndarray:
-        """A 64-bit hash of the bytes of each span; base 0 and 1 give independent ones."""
-        if base not in self._sums:
-            terms = (self.buf.astype(np.uint64) + np.uint64(1)) * _power(_BASES[base], len(self.buf))
-            self._sums[base] = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-        raw = self._sums[base][ends] - self._sums[base][starts]
-        raw *= _power(pow(_BASES[base], -1, 1 << 64), len(self.buf) + 1)[starts]
-        raw += (ends - starts).astype(np.uint64)
-        return mix(raw)
+    def hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A 64-bit hash of the bytes of each span."""
+        size = ends - starts
+        out = mix(size.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        if self._eights is None:  # the eight bytes from each place on, as one number
+            held = np.concatenate((self.buf, np.zeros(15, np.uint8)))
+            self._eights = np.empty(len(self.buf) + 8, np.uint64)
+            for k in range(8):
+                part = held[k : k + (len(held) - k) // 8 * 8].view("<u8")
+                self._eights[k::8] = part[: len(self._eights[k::8])]
+        active = np.flatnonzero(size <= LONG_SPAN)
+        at, left = starts[active], size[active]
+        while len(active):
+            value = self._eights[at] & _MASKS[np.minimum(left, 8)]
+            out[active] = mix(out[active] ^ value * np.uint64(0xC2B2AE3D27D4EB4F))
+            more = left > 8
+            active, at, left = active[more], at[more] + 8, left[more] - 8
+        for k in np.flatnonzero(size > LONG_SPAN):
+            out[k] = xxhash.xxh3_64_intdigest(self.buf[starts[k] : ends[k]])
+        return out
 
 
 def chunks(texts: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES, lower: bool = False) -> Iterator[Chunk]:
