@@ -60,7 +60,6 @@ def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     rows = packing.op4_best_fit_packing(spark, DIR).collect()
     for doc, pieces in itertools.groupby(sorted(rows, key=lambda r: (r["doc_id"], r["piece"])), key=lambda r: r["doc_id"]):
         ids, at = np.array([*tokenizer.encode(texts[doc], add_special_tokens=False).ids, 0], "<u4"), 0
@@ -90,6 +89,40 @@ def test_plan_is_best_fit_decreasing():
     assert len(filled) == len(bins) and max(filled.values()) <= 100 and sum(filled.values()) == sum(lengths)
 
 
+def test_packing_of_hard_texts(spark):
+    """The ids of the plain call for a marker in the text, a million blanks and odd bytes."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    hard = ["hello <|endoftext|> world", " " * 1_000_000, "a" + " " * 1_000_000 + "b", "\x00\u2028 é𝔘ﬁ‮\n\n \t x", "<|endoftext|>", "x" * 50_000, "ＡＢ 漢字かな 한국어 हिन्दी"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(hard)), "doc_id long, text string")).collect()
+    for doc, text in enumerate(hard):
+        ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        own = sorted((r["start"], r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == doc)
+        assert sum(x[1] for x in own) == len(ids) and all(crc == zlib.crc32(ids[a : a + n].tobytes()) for a, n, crc in own)
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "long", "few", "equal"])
+def test_packing_supersteps(spark, kind):
+    """Every piece lies in one place, no sequence overflows, and there are no more sequences than serial best fit decreasing opens."""
+    draw, seq_len = np.random.default_rng(6), 512
+    lengths = {"even": draw.integers(1, 513, 4000), "short": draw.geometric(0.02, 6000).clip(1, 512), "long": draw.integers(150, 400, 3000), "few": np.array([512, 257, 256, 255, 1]), "equal": np.full(1000, 171)}[kind]
+    counts = {int(k): n for k, n in collections.Counter(lengths.tolist()).items()}
+    moves = packing.match(counts, spark, seq_len).collect()
+    placed, spans = collections.defaultdict(list), collections.defaultdict(list)
+    for m in moves:
+        placed[m["length"]] += range(m["rank"], m["rank"] + m["n"])
+        for k in range(m["n"]):
+            spans[m["sequence"] + k].append((m["offset"], m["offset"] + m["length"]))
+    assert {k: sorted(v) for k, v in placed.items()} == {k: list(range(n)) for k, n in counts.items()}
+    for own in spans.values():
+        own.sort()
+        assert own[0][0] == 0 and own[-1][1] <= seq_len and all(a[1] == b[0] for a, b in itertools.pairwise(own))
+    serial = {first + k for _, _, n, first, _ in packing.plan(counts, seq_len) for k in range(n)}
+    print(kind, len(spans), len(serial), math.ceil(lengths.sum() / seq_len))
+    assert len(spans) <= len(serial)
+
+
 def brute_classes(texts):
     """Classes by weighted Jaccard similarity over all pairs, with the operator's definition of weights."""
     bags = {k: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w := words(t)) >= 5 else collections.Counter([tuple(w)] if w else []) for k, t in texts.items()}
