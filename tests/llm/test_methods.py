@@ -270,6 +270,66 @@ def test_license_alignment(spark):
     assert next(r for r in rows if r["doc_id"] == 2)["start_char"] == 2
 
 
+def local_alignment(text, template):
+    """Best (score, matched, first, last + 1) over the whole table, by the plain recurrence."""
+    best, row = (0, 0, -1, -1), [(0, 0, -1)] * (len(text) + 1)
+    for word in template:
+        new = [(0, 0, -1)]
+        for j, x in enumerate(text):
+            s, m, f = row[j]
+            one = (s + 1, m + 1, j if f < 0 else f) if x == word else (s - 1, m, f)
+            one = max(one, (row[j + 1][0] - 1, *row[j + 1][1:]), (new[j][0] - 1, *new[j][1:]), key=lambda v: v[:2])
+            new.append(one if one[0] > 0 else (0, 0, -1))
+            if new[-1][:2] > best[:2]:
+                best = (*new[-1], j + 1)
+        row = new
+    return best
+
+
+def brute_licenses(text, templates):
+    words, found = re.findall(r"[a-z0-9]+", text.lower()), []
+    for rank, (name, template) in enumerate(templates.items()):
+        template, own = re.findall(r"[a-z0-9]+", template.lower()), list(words)
+        while True:
+            _, matched, a, b = local_alignment(own, template)
+            if matched < 0.8 * len(template) - 1e-9:
+                break
+            found.append((-matched / len(template), -matched, rank, a, b, name))
+            own[a:b] = [None] * (b - a)
+    kept = []
+    for f in sorted(found):
+        if all(f[3] >= k[4] or f[4] <= k[3] for k in kept):
+            kept.append(f)
+    return collections.Counter((k[5], -k[1]) for k in kept)
+
+
+def test_license_scan_by_brute_force(spark):
+    """Notices in a row, apart, changed and cut, of one template and of several."""
+    draw, templates = np.random.default_rng(12), license_scan.TEMPLATES
+    short = [k for k, t in templates.items() if len(t.split()) < 60]
+    texts = []
+    for _ in range(60):
+        said = []
+        for _ in range(int(draw.integers(1, 6))):
+            words = templates[short[int(draw.integers(len(short)))]].split()
+            for _ in range(int(draw.integers(0, 2)) * len(words) // 8):
+                words[int(draw.integers(len(words)))] = f"other{int(draw.integers(9))}"
+            said += words + [f"w{k}" for k in draw.integers(400, size=int(draw.choice([0, 2, 30])))]
+        texts.append(" ".join(said))
+    rows = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for k, text in enumerate(texts):
+        got = collections.Counter((r["license"], r["matched_words"]) for r in rows if r["doc_id"] == k)
+        assert got == brute_licenses(text, templates), text
+
+
+@pytest.mark.parametrize("between", ["\n", " and now ", " word" * 40 + " "])
+def test_license_lines_in_a_row(spark, between):
+    for n in (2, 3, 2000):
+        rows = license_scan.scan(spark.createDataFrame([(1, between.join(["Released under the MIT License."] * n))], "doc_id long, text string")).collect()
+        assert [r["license"] for r in rows] == ["MIT-notice"] * n and len({r["start_char"] for r in rows}) == n
+    assert [r["license"] for r in license_scan.scan(spark.createDataFrame([(1, "Released under an MIT License.")], "doc_id long, text string")).collect()] == ["MIT-notice"]
+
+
 def test_minimum_cut():
     draw = np.random.default_rng(4)
     for _ in range(60):
