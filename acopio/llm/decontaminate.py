@@ -8,15 +8,18 @@ Windows as long as an item are walked by the CGK random walk: the step copies
 a word and, by a random bit that depends on step and word, moves on or stays,
 which turns edit distance into Hamming distance.  Windows and items that agree
 in a few sampled steps of a walk are candidates; walks and samples repeat as
-often as a simulation with that many edits needs for the target recall.  Exact
-edit distance decides.
+often as a simulation with that many edits, and with the windows as they are
+found (below; off by some words), needs for the target recall.  Exact edit
+distance decides.
 
 Which windows are walked: an item with at most k edits, cut into k + 1 parts,
 has at least one part left unchanged, so only windows around an occurrence of
-such a part can match.  This loses nothing at any distance up to k.
+such a part can match.  This loses nothing at any distance up to k.  Items of
+fewer than ``MIN_WORDS`` words are one part, and match only word for word.
 
-Items are read to the driver in blocks of at most ``BLOCK`` items; texts are
-scanned where they lie, once for each block, and are never shuffled.
+Items are read to the driver in blocks of about ``BLOCK`` characters, one block
+at a time, so its memory does not grow with the benchmark; texts are scanned
+where they lie, once for each block, and are never shuffled.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import materialise, table
 from .words import chunks, mix, windows
 
-MAX_EDITS, RECALL, SAMPLED, MIN_WORDS, BLOCK = 0.2, 0.99, 3, 8, 20_000
+MAX_EDITS, RECALL, SAMPLED, MIN_WORDS, BLOCK = 0.2, 0.99, 3, 8, 16_000_000
+WALKS = 256  # a simulation that needs more is an error
 _END = np.uint64(0)
 
 _WORD = np.zeros(256, bool)
@@ -84,10 +88,10 @@ class Index:
             h, cuts = c.hashes(starts, ends) | np.uint64(1), np.searchsorted(docs, np.arange(c.n + 1))
             for d in range(c.n):
                 own = h[cuts[d] : cuts[d + 1]]
-                if len(own) >= min_words:
+                if len(own):
                     self.ids.append(items[c.first + d][0])
                     self.words.append(own)
-                    self.edits.append(int(max_edits * len(own) + 1e-9))
+                    self.edits.append(int(max_edits * len(own) + 1e-9) if len(own) >= min_words else 0)
         self.max_edits, self.recall, self.sampled = max_edits, recall, sampled
         parts = defaultdict(list)  # part length -> (hash, item length, place in the item)
         self.by_length = defaultdict(list)
@@ -119,19 +123,34 @@ class Index:
                 tables.append(dict(table))
         return plan, tables
 
-    def _repetitions(self, n: int, items: np.ndarray, draws: int = 96, per_walk: int = 4) -> list[tuple[int, list[np.ndarray]]]:
-        """As many walks, with per_walk samples each, as reach the recall for items with all allowed edits."""
+    def _repetitions(self, n: int, items: np.ndarray, draws: int = 192, per_walk: int = 4) -> list[tuple[int, list[np.ndarray]]]:
+        """As many walks, with per_walk samples each, as reach the recall for items with all allowed edits.
+
+        A drawn item is edited and put among other words; what is walked are
+        the windows that its unchanged parts give, as in windows_near().
+        """
         draw = np.random.default_rng(n)
         edits = self.edits[self.by_length[n][0]]
+        size, pad = n // (edits + 1), n + edits
         base = items[draw.integers(0, len(items), draws)]
-        changed = np.stack([_edited(x, edits, draw) for x in base])
+        of, rows = [], []
+        for k, x in enumerate(base):
+            text = np.concatenate((_fresh(pad, draw), _edited(x, edits, draw), _fresh(pad, draw)))
+            runs = np.lib.stride_tricks.sliding_window_view(text, size)
+            starts = {int(at) - p * size for p in range(edits + 1) for at in np.flatnonzero((runs == x[p * size : (p + 1) * size]).all(1))}
+            for at in sorted(a for a in starts if 0 <= a <= len(text) - n):
+                of.append(k)
+                rows.append(text[at : at + n])
+        of, near = np.array(of), np.stack(rows)
         met, plan = np.zeros(draws, bool), []
-        while len(plan) < 64 and (met.mean() < self.recall or len(plan) < 4):
+        while met.mean() < self.recall or len(plan) < 4:
+            if len(plan) == WALKS:
+                raise ValueError(f"{WALKS} walks find only {met.mean():.3f} of the edited items of {n} words; allow fewer edits or sample fewer steps")
             seed = len(plan) + 1
             groups = [np.sort(draw.choice(2 * n, min(self.sampled, 2 * n), replace=False)) for _ in range(per_walk)]
-            a, b = walk(base, seed), walk(changed, seed)
+            a, b = walk(base, seed), walk(near, seed)
             for steps in groups:
-                met |= (a[:, steps] == b[:, steps]).all(1)
+                met[of[(a[of][:, steps] == b[:, steps]).all(1)]] = True
             plan.append((seed, groups))
         return plan
 
@@ -192,20 +211,23 @@ class Index:
         return out
 
 
+def _fresh(n: int, draw: np.random.Generator) -> np.ndarray:
+    """n words that no item has."""
+    return draw.integers(1 << 62, size=n).astype(np.uint64) | np.uint64(1)
+
+
 def _edited(x: np.ndarray, edits: int, draw: np.random.Generator) -> np.ndarray:
-    """x with random substitutions, insertions and deletions, cut or filled to its length."""
+    """x with so many random substitutions, insertions and deletions."""
     out = x.tolist()
     for _ in range(edits):
-        kind, at = draw.integers(3), int(draw.integers(max(1, len(out))))
-        word = int(draw.integers(1 << 62)) | 1
+        kind, at, word = draw.integers(3), int(draw.integers(max(1, len(out)))), int(_fresh(1, draw)[0])
         if kind == 0 and out:
             out[at] = word
         elif kind == 1:
             out.insert(at, word)
         elif out:
             del out[at]
-    out += [int(draw.integers(1 << 62)) | 1 for _ in range(len(x) - len(out))]
-    return np.array(out[: len(x)], np.uint64)
+    return np.array(out, np.uint64)
 
 
 def _key(walked: np.ndarray, steps: np.ndarray) -> np.ndarray:
@@ -215,13 +237,18 @@ def _key(walked: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return key
 
 
-def _blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[list[tuple]]:
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block: int) -> tuple[int, Iterator[list[tuple]]]:
+    """How many blocks of about block characters there are, and the items of each, read one by one."""
     items = benchmark.select(F.col(item_col).alias("id"), F.col(item_text).alias("text")).where("text is not null")
-    n = items.count()
-    of = -(-n // BLOCK) if n else 0
-    for k in range(of):
-        part = items if of == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(of)) == k)
-        yield sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x))  # about BLOCK items
+    total = items.agg(F.sum(F.length("text"))).first()[0]
+    of = -(-total // block) if total else 0
+
+    def read() -> Iterator[list[tuple]]:
+        for k in range(of):
+            part = items if of == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(of)) == k)
+            yield sorted(((r["id"], r["text"]) for r in part.collect()), key=lambda x: (x[0] is None, x))  # about block characters
+
+    return of, read()
 
 
 def _matcher(index: Index) -> Callable:
@@ -239,19 +266,20 @@ def _matcher(index: Index) -> Callable:
     return scan
 
 
-def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS, recall: float = RECALL, sampled: int = SAMPLED, min_words: int = MIN_WORDS) -> DataFrame:
+def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_edits: float = MAX_EDITS, recall: float = RECALL, sampled: int = SAMPLED, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
     """One row for each document and item in it: id_col, item_col, start_word, end_word, edits, item_words.
 
-    The stretch is the one with fewest edits, then the first.  Null and empty
-    texts match nothing; items that are null or shorter than min_words words
-    are left out.  Null ids are kept; repeated rows and items are reported
-    each; an empty table on either side gives no rows; other columns are not
-    read.
+    The stretch is the one with fewest edits, then the first.  Items of fewer
+    than min_words words match word for word only.  Null and empty texts match
+    nothing, nor do items without words.  Null ids are kept; repeated rows and
+    items are reported each; texts are searched whole, however long; an empty
+    table on either side gives no rows; other columns are not read.
     """
     kind = benchmark.schema[item_col].dataType
     schema = T.StructType([docs.schema[id_col], T.StructField("item", kind), *(T.StructField(c, T.IntegerType()) for c in ("start_word", "end_word", "edits", "item_words"))])
     out = None
-    for items in _blocks(benchmark, item_col, item_text):
+    of, read = _blocks(benchmark, item_col, item_text, block)
+    for items in read:
         held = docs.sparkSession.sparkContext.broadcast(Index(items, max_edits, recall, sampled, min_words))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -265,6 +293,9 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         pa_type = pa.int64() if isinstance(kind, T.LongType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.string()
         part = docs.select(id_col, text_col).mapInArrow(run, schema)
+        if of > 1:  # one block in memory at a time
+            part = materialise(part, "matches")
+            held.destroy()
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = docs.sparkSession.createDataFrame([], schema)
@@ -272,10 +303,16 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", **options) -> DataFrame:
-    """The rows of docs in which no item is found; all columns, no shuffle."""
+    """The rows of docs in which no item is found; all columns, no shuffle.
+
+    Nulls, empty and long texts, short items and empty tables as in
+    find_matches(); repeated rows are judged alike, and columns pass through,
+    whatever their names.
+    """
     options = {"max_edits": MAX_EDITS, "recall": RECALL, "sampled": SAMPLED, "min_words": MIN_WORDS} | options
     at = docs.columns.index(text_col)
-    for items in _blocks(benchmark, item_col, item_text):
+    of, read = _blocks(benchmark, item_col, item_text, options.pop("block", BLOCK))
+    for items in read:
         held = docs.sparkSession.sparkContext.broadcast(Index(items, **options))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -287,6 +324,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 yield batch.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
+        if of > 1:
+            docs = materialise(docs, "clean")
+            held.destroy()
     return docs
 
 

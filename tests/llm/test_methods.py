@@ -238,8 +238,39 @@ def test_decontaminate(spark):
             text[at:at] = passage
         docs.append((d, " ".join(text).upper() + "!"))
         want |= {(d, i) for i, item in enumerate(items) if levenshtein_inside(item, text) <= int(0.2 * len(item) + 1e-9)}
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")).collect()}
-    assert got <= want and len(got) >= 0.95 * len(want)
+    texts, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_matches(texts, benchmark).collect()}
+    print("found", len(got), "of", len(want))
+    assert got <= want and len(got) >= 0.98 * len(want)
+    # Blocks of a few items, one scan each.
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_matches(texts, benchmark, block=800).collect()} == got
+    left = {r["doc_id"] for r in decontaminate.drop_contaminated(texts, benchmark, block=800).collect()}
+    assert left == {d for d, _ in docs} - {d for d, _ in got}
+
+
+def test_decontaminate_short_and_repeated_items(spark):
+    docs = [(1, "say the quick brown fox, twice: The Quick brown fox"), (2, "the quick red fox"), (3, "brown fox the quick"), (4, None)]
+    items = [(7, "The quick brown fox"), (8, "the quick brown fox"), (9, ""), (10, None)]
+    got = decontaminate.find_matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["start_word"], r["end_word"], r["edits"]) for r in got} == {(1, 7, 1, 5, 0), (1, 8, 1, 5, 0)}
+
+
+def test_window_recall():
+    """Windows that start some words off: how many edited items the walks find, against exact verification of every window."""
+    draw = np.random.default_rng(31)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    items = [[vocabulary[k] for k in draw.integers(3000, size=int(n))] for n in draw.choice([15, 30, 61], 40)]
+    index = decontaminate.Index([(k, " ".join(x)) for k, x in enumerate(items)], 0.2, 0.99, 3, 8)
+    asked = found = 0
+    for _ in range(400):
+        k = int(draw.integers(len(items)))
+        x, edits = index.words[k], index.edits[k]
+        text = np.concatenate((decontaminate._fresh(90, draw), decontaminate._edited(x, edits, draw), decontaminate._fresh(90, draw)))
+        got = {n: [(d, at, c)] for n, d, at, c in index.windows_near(text, np.zeros(len(text), int), np.array([0, len(text)]))}
+        asked += 1
+        found += (0, k) in index.decide(got)
+    print("window recall", found, "of", asked)
+    assert found >= 0.98 * asked
 
 
 def test_held_out(spark):
