@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import materialise, table
 from .words import SPACE, chunks, doc_keys, windows
 
-FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_letters", "n_upper", "n_marks", "n_distinct_words", "n_symbol_words", "n_plain_ends", "n_short_words")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_word_lines", "n_letters", "n_upper", "n_marks", "n_distinct_words", "n_symbol_words", "n_plain_ends", "n_short_words", "n_wide")
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _MARK = np.zeros(256, bool)
@@ -31,7 +31,11 @@ _MARK[list(b"!?")] = True
 _UPPER = np.zeros(256, bool)
 _UPPER[65:91] = True
 _LETTER = np.zeros(256, bool)
-_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xE0)]] = True  # leading bytes count once
+# Leading bytes, which count once: Latin, Greek, Cyrillic, Semitic; then scripts from U+0800 on (but punctuation at U+2000 and forms at U+F000).
+_WIDE = np.zeros(256, bool)
+_WIDE[[0xE0, 0xE1, *range(0xE3, 0xEE)]] = True
+_LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xE0)]] = True
+_LETTER |= _WIDE
 _END = np.zeros(256, bool)
 _END[list(b".,;:!?\"')")] = True
 
@@ -46,6 +50,7 @@ def _features(texts: pa.Array) -> dict[str, np.ndarray]:
         got["word_chars"].append(c.per_doc(((c.buf & 0xC0) != 0x80) & ~space))
         got["n_symbols"].append(c.per_doc(symbol))
         got["n_letters"].append(c.per_doc(_LETTER[c.buf]))
+        got["n_wide"].append(c.per_doc(_WIDE[c.buf]))
         got["n_upper"].append(c.per_doc(_UPPER[c.buf]))
         got["n_marks"].append(c.per_doc(_MARK[c.buf]))
         got["n_distinct_words"].append(np.bincount((np.unique(doc_keys(docs, words)) >> np.uint64(52)).astype(np.int64), minlength=c.n))
@@ -93,9 +98,13 @@ def rules() -> dict[str, tuple[str, str]]:
     """name -> (condition for a vote good, condition for a vote bad); neither: the rule abstains.
 
     Conditions are SQL over FEATURES.  Most rules know one sort of junk and
-    abstain elsewhere; the last three also know signs of running prose.
+    abstain elsewhere; the last three also know signs of running prose.  What
+    they know holds for scripts of short letters and spaced words: where over
+    a fifth of the characters are of other scripts (n_wide), they abstain, and
+    so does the rule on capitals.
     """
-    return {
+    known = "5 * n_wide <= word_chars and "
+    found = {
         "symbols": ("false", "10 * n_symbols > n_words"),
         "symbol_words": ("false", "100 * n_symbol_words > 15 * n_words"),
         "word_ends": ("false", "100 * n_plain_ends < 80 * n_words"),
@@ -108,6 +117,9 @@ def rules() -> dict[str, tuple[str, str]]:
         "short_words": ("100 * n_short_words >= 15 * n_words", "n_words >= 30 and 100 * n_short_words < 4 * n_words"),
         "plain_prose": ("100 * n_plain_ends >= 97 * n_words and 100 * n_upper <= 15 * n_letters", "n_letters < n_words"),
     }
+    for name in ("upper_case", "word_ends", "variety", "word_length", "short_words", "plain_prose"):
+        found[name] = tuple(c if c == "false" else f"{known}({c})" for c in found[name])
+    return found
 
 
 def votes(features: DataFrame) -> list:
@@ -175,6 +187,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that quality_rules() keeps, all columns, in any order.
 
+    Nulls, empty texts, null ids, repeats, empty tables and long texts are
+    judged as there; columns pass through, whatever their names.
+
     Once the rules' accuracies are known a verdict depends on the text alone,
     so texts are judged where they are read and nothing is joined.
     """

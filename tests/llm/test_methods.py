@@ -50,6 +50,55 @@ def test_quality_estimates():
     assert abs(share - 0.8) < 0.05 and np.abs(theta - right).max() < 0.1
 
 
+def brute_votes(text):
+    """The votes of the rules, said anew over a text."""
+    w = words(text)
+    n, chars = len(w), sum(map(len, w))
+    if not n:
+        return [0] * 11
+    size = lambda c: len(c.encode())
+    wide = sum(size(c) > 2 and (c.encode()[0] in (0xE0, 0xE1) or 0xE3 <= c.encode()[0] <= 0xED) for c in text)
+    letters, upper = sum("a" <= c <= "z" or "A" <= c <= "Z" or "\u00c0" <= c < "\u0800" for c in text) + wide, sum("A" <= c <= "Z" for c in text)
+    plain = sum("a" <= x[-1] <= "z" or x[-1] >= "\x80" or x[-1] in ".,;:!?\"')" or "0" <= x[-1] <= "9" for x in w)
+    short = sum(size(x) <= 4 and ("a" <= x[0] <= "z" or x[0] >= "\x80") and ("a" <= x[-1] <= "z" or x[-1] >= "\x80" or x[-1] in ",.") for x in w)
+    runs = [tuple(w[i : i + 5]) for i in range(n - 4)]
+    seen = collections.Counter(runs)
+    repeat = len({k for i, r in enumerate(runs) if seen[r] > 1 for k in range(i, i + 5)})
+    lines = [x for x in text.split("\n") if words(x)]
+    known = 5 * wide <= chars
+    bad = [10 * sum(text.count(c) for c in "#*$%&|<>") > n, 100 * sum(any(c in "#*$%&|<>" for c in x) for x in w) > 15 * n, known and 100 * plain < 80 * n, known and 100 * upper > 30 * letters,
+           100 * (text.count("!") + text.count("?")) > 20 * n, 100 * repeat > 20 * n, known and n >= 30 and 100 * len(set(w)) < 10 * n, len(lines) >= 4 and 100 * (len(lines) - len(set(lines))) > 50 * len(lines),
+           known and not 2 * n <= chars <= 15 * n, known and n >= 30 and 100 * short < 4 * n, known and letters < n]
+    good = [False] * 8 + [known and 3 * n <= chars <= 9 * n, known and 100 * short >= 15 * n, known and 100 * plain >= 97 * n and 100 * upper <= 15 * letters]
+    return [-1 if b else int(g) for b, g in zip(bad, good, strict=True)]
+
+
+def test_quality_verdicts_by_brute_force(spark, texts):
+    """Votes said anew, and EM over single documents instead of counts of patterns."""
+    got = {r["doc_id"]: r for r in quality_rules.op2_quality_rules(spark, DIR).collect()}
+    votes = np.array([brute_votes(t or "") for t in texts.values()], float)
+    good, right = 0.9, np.full(11, 0.85)
+    for _ in range(500):
+        p = 1 / (1 + np.exp(-(np.log(good / (1 - good)) + votes @ np.log(right / (1 - right)))))
+        hit = np.where(votes > 0, p[:, None], np.where(votes < 0, 1 - p[:, None], 0)).sum(0)
+        right = np.clip((hit + 17) / ((votes != 0).sum(0) + 20), 0.5, 0.999)
+        good = (p.sum() + 18) / (len(p) + 20)
+    for (doc, text), quality in zip(texts.items(), p, strict=True):
+        assert abs(got[doc]["quality"] - quality) < 1e-4, text
+        assert got[doc]["kept"] == (not got[doc]["base_failed"] and quality >= 0.5)
+
+
+def test_quality_of_other_scripts(spark):
+    draw = np.random.default_rng(3)
+    spoken = lambda low, high, n: " ".join("".join(chr(k) for k in draw.integers(low, high, int(draw.integers(2, 5)))) for _ in range(n)) + "."
+    korean, hindi = spoken(0xAC00, 0xD7A0, 85), spoken(0x0915, 0x0939, 90)
+    japanese = "\n".join(f"第{k}章では、山と川の間にある小さな村の暮らしについて詳しく述べる。" for k in range(40))
+    prose = [(k, t) for k, t in enumerate([f"the town of number {k} lies by a river, and in its old streets people meet to talk of the day" for k in range(200)])]
+    rows = quality_rules.quality_rules(spark.createDataFrame([*prose, (901, korean), (902, hindi), (903, japanese)], "doc_id long, text string")).where("doc_id > 900").collect()
+    assert [r["kept"] for r in rows] == [True] * 3
+    assert all(r[f"vote_{n}"] == 0 for r in rows for n in ("plain_prose", "short_words", "word_length"))
+
+
 def test_line_dedup_sql(spark):
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
     want = set(duckdb.sql(line_dedup.OP3_SQL).select("doc_id, n_lines, n_dropped, kept_sha256").fetchall())
