@@ -1,9 +1,11 @@
 """Operators against brute-force versions, the tokenizers library, held-out rows and the SQL."""
 
 import collections
+import html.parser
 import itertools
 import math
 import re
+import time
 import zlib
 
 import duckdb
@@ -428,6 +430,68 @@ def test_html(spark):
     assert html_extract.main_text(page, html_extract.PRIOR) == "Head&line\nFirst bold text.\nShort."
 
 
+class ArticleBlocks(html.parser.HTMLParser):
+    """The blocks of the article of a page whose only inline tags are b, i, a, br, span, em, strong."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks, self.texts = 0, [], []
+        self.feed(page)
+
+    def flush(self):
+        text = " ".join("".join(self.texts).split())
+        self.blocks += [text] if text else []
+        self.texts = []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            self.texts.append(" ")
+        elif tag not in ("b", "i", "a", "span", "em", "strong"):
+            self.flush()
+        self.inside += tag == "article"
+
+    def handle_endtag(self, tag):
+        if tag not in ("b", "i", "a", "span", "em", "strong"):
+            self.flush()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside:
+            self.texts.append(data)
+
+
+def test_html_query_by_brute_force(spark):
+    pages = dict(duckdb.sql("SELECT page_id, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall())
+    rows = html_extract.op10_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    assert len(rows) == len(pages)
+    for r in rows:
+        assert r["text"] == "\n".join(ArticleBlocks(pages[r["page_id"]] or "").blocks) and r["n_chars"] == len(r["text"])
+
+
+def test_cut_decides():
+    """Blocks whose own sign is wrong, and which their neighbours bring to the other side."""
+    prose = "A sentence of the text, long enough to look like running prose, with commas, and a full stop at the very end of it."
+    page = html_extract.Page(f"<body><div><p>{prose}</p><div>Oh no</div><p>{prose}</p><p>{prose}</p></div><ul><li><a href=x>One</a></li><li>{prose[:60]}.</li><li><a href=x>Two</a></li><li><a href=y>Three</a></li></ul></body>")
+    gain, links = html_extract.gains(page.blocks, html_extract.PRIOR), html_extract.edges(page)
+    reach = sum(abs(g) <= sum(c for i, j, c in links if k in (i, j)) for k, g in enumerate(gain))
+    keep = html_extract.minimum_cut(gain, links)
+    assert reach >= 6 and (keep != (gain > 0)).sum() >= 2
+    assert keep.tolist() == [True] * 4 + [False] * 4
+
+
+@pytest.mark.parametrize("page", ['<body><form id="aspnetForm"><article>{}</article></form>', '<body><div class="post status-publish comments-open">{}</div>', '<div id="share-prices">{}</div>', '<body class="has-sidebar"><div class="no-sidebar content">{}</div></body>'])
+def test_html_around_everything(page):
+    text = "<h1>Head</h1><p>Some text of the article, which is long enough.</p>"
+    assert html_extract.main_text(page.replace("{}", text), html_extract.PRIOR) == "Head\nSome text of the article, which is long enough."
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<div>x" * 100_000, '<a ">"' * 100_000, "<p>x<p>" + "word, " * 30 + "." * 20_000, "<p>" + "<b>" * 50_000 + "<h2>x</h2>" * 20_000, "<div>" * 50_000 + "</x></p>" * 50_000, "<!--" * 100_000, "<script>" * 50_000, "<p>x<p>y, z." * 30_000])
+def test_html_hard_pages(page):
+    start = time.time()
+    html_extract.main_text(page, html_extract.PRIOR)
+    assert time.time() - start < 20
+
+
 def test_surrogates(spark):
     rows = [(1, "Mr. John Hale wrote to j.hale@corp.example.com, card 4111 1111 1111 1111."), (2, "Ms Hale: J.HALE@CORP.EXAMPLE.COM or +1 (017) 555-7713"), (3, "Иван Петров at 10.20.30.40"), (4, "nothing 12 here")]
     out = {r["doc_id"]: r for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
