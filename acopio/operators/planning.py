@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -19,8 +19,8 @@ from ..sources.readers import table
 from .weekly import weekly
 
 
-def trim_to_budget(plans: DataFrame, keys: list[str], budget: Column) -> DataFrame:
-    """O2: items (sku, quantity, price) of each plan cut to its budget.
+def trim_to_budget(plans: DataFrame, keys: list[str], budget: Column, cost: Callable[[Column], Column] = lambda q: F.round(q * F.col("price"), 2)) -> DataFrame:
+    """O2: items (sku, quantity, price) of each plan cut to its budget; cost: what a quantity costs.
 
     From the most costly item down, quantities are halved while the total is
     too high; if it still is, items are dropped from the top until it fits.
@@ -28,12 +28,13 @@ def trim_to_budget(plans: DataFrame, keys: list[str], budget: Column) -> DataFra
     """
     w = Window.partitionBy(*keys).orderBy(F.desc("cost"), "sku")
     every, upto = Window.partitionBy(*keys), w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = plans.withColumn("cost", F.round(F.col("quantity") * F.col("price"), 2)).withColumn("budget", budget)
-    rows = rows.withColumn("half", F.greatest(F.lit(1), F.floor(F.col("quantity") * 0.5)).cast("long")).withColumn("saves", F.when(F.col("half") < F.col("quantity"), F.col("cost") - F.round(F.col("half") * F.col("price"), 2)).otherwise(0.0))
-    over = F.sum("cost").over(every) - F.coalesce(F.sum("saves").over(upto), F.lit(0.0)) > F.col("budget")
+    before = lambda c: F.coalesce(F.sum(c).over(upto), F.lit(0))
+    rows = plans.withColumn("cost", cost(F.col("quantity"))).withColumn("most", budget)
+    rows = rows.withColumn("half", F.greatest(F.lit(1), F.floor(F.col("quantity") * 0.5)).cast("long")).withColumn("saves", F.when(F.col("half") < F.col("quantity"), F.col("cost") - cost(F.col("half"))).otherwise(F.col("cost") - F.col("cost")))
+    over = F.sum("cost").over(every) - before("saves") > F.col("most")
     rows = rows.withColumn("cut", over & (F.col("saves") > 0)).withColumn("quantity", F.when(F.col("cut"), F.col("half")).otherwise(F.col("quantity"))).withColumn("left", F.when(F.col("cut"), F.col("cost") - F.col("saves")).otherwise(F.col("cost")))
-    kept = F.sum("left").over(every) - F.coalesce(F.sum("left").over(upto), F.lit(0.0)) <= F.col("budget")
-    return rows.withColumn("kept", kept).where("kept").drop("half", "saves", "cut", "kept", "budget", "cost").withColumnRenamed("left", "cost")
+    kept = F.sum("left").over(every) - before("left") <= F.col("most")
+    return rows.withColumn("kept", kept).where("kept").drop("half", "saves", "cut", "kept", "most", "cost").withColumnRenamed("left", "cost")
 
 
 @query("""WITH p AS (SELECT l_orderkey AS plan, l_partkey AS sku, sum(l_quantity)::BIGINT AS quantity, floor(max(l_extendedprice / l_quantity) * 100) / 100 AS price FROM lineitem GROUP BY 1, 2), c AS (SELECT *, round(quantity * price, 2) AS cost, greatest(1, floor(quantity * 0.5))::BIGINT AS half FROM p),
@@ -41,7 +42,7 @@ s AS (SELECT *, CASE WHEN half < quantity THEN cost - round(half * price, 2) ELS
 u AS (SELECT *, CASE WHEN cut THEN cost - saves ELSE cost END AS new FROM t), v AS (SELECT *, sum(new) OVER (PARTITION BY plan) - coalesce(sum(new) OVER (PARTITION BY plan ORDER BY cost DESC, sku ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= 60000 AS kept FROM u)
 SELECT plan, sku, CASE WHEN cut THEN half ELSE quantity END AS quantity, round(new, 2) AS cost FROM v WHERE kept""")
 def trimmed_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O2, O3."""
+    """O2."""
     p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_partkey").alias("sku")).agg(F.sum("l_quantity").cast("long").alias("quantity"), (F.floor(F.max(F.col("l_extendedprice") / F.col("l_quantity")) * 100) / 100).alias("price"))
     return trim_to_budget(p, ["plan"], F.lit(60000.0)).select("plan", "sku", "quantity", F.round("cost", 2).alias("cost"))
 
@@ -49,7 +50,7 @@ def trimmed_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH s AS (SELECT l_orderkey AS plan, l_suppkey AS supplier, sum(l_extendedprice) AS cost FROM lineitem GROUP BY 1, 2), r AS (SELECT *, sum(cost) OVER (PARTITION BY plan) AS total, row_number() OVER (PARTITION BY plan ORDER BY cost DESC, supplier) AS place FROM s)
 SELECT plan, supplier, round(cost / total, 4) AS share, round(cost * 0.15, 4) AS impact, CASE WHEN cost * 0.15 < 20000 THEN 'MEDIA' ELSE 'ALTA' END AS severity FROM r WHERE place = 1 AND cost / total >= 0.4""")
 def supplier_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Plans that depend on one supplier for 40% of their cost or more."""
+    """Plans that depend on one supplier for 40% of their cost or more."""
     s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("plan"), F.col("l_suppkey").alias("supplier")).agg(F.sum("l_extendedprice").alias("cost"))
     top = s.groupBy("plan").agg(F.sum("cost").alias("total"), F.max(F.struct("cost", (-F.col("supplier")).alias("s"))).alias("top")).withColumn("share", F.col("top.cost") / F.col("total"))
     impact = F.col("top.cost") * 0.15
@@ -319,7 +320,7 @@ PLAN_NORMS = (Restriction("no_exceder_dias_validez", "N-001"), Restriction("cant
 
 @query()
 def plan_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The risk panel of 10,000 simulations of each supplier's assortment.  Rows only."""
+    """The risk panel of 10,000 simulations of each supplier's assortment.  Rows only."""
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), (F.col("p_type") == "PROMO").alias("perishable"), F.col("p_size").alias("shelf_days"))
     i = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("plan"), F.col("l_partkey").alias("sku")).agg(F.sum("l_quantity").alias("quantity"), (F.avg("l_quantity") * F.count(F.lit(1))).alias("mean"), (F.stddev_pop("l_quantity") + 1).alias("std"), F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"))
     i = i.withColumn("cost", F.col("price") * 0.65).withColumn("weeks", F.lit(8)).join(part, "sku")

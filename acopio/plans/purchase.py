@@ -1,4 +1,4 @@
-"""Purchase plans: supplier scores, ordering algorithms, buffers and caps as column expressions."""
+"""Purchase plans: supplier scores, ordering algorithms, buffers and caps as column expressions."""
 
 from __future__ import annotations
 
@@ -67,9 +67,25 @@ def order(items: DataFrame, algorithm: str, service: float = 0.95) -> DataFrame:
     return out.withColumn("cost", F.round(F.col("price") * F.col("quantity"), 2)).withColumn("var", F.round(F.greatest(F.lit(0.0), over), 2)).withColumn("cvar", F.round(1.2 * F.greatest(F.lit(0.0), over) + 0.5 * F.greatest(F.lit(0.0), under), 2)).withColumn("result_confidence", F.round(F.col("confidence") * stays, 6))
 
 
-def choose_algorithm(weeks: Column, volatility: Column, has_donor: Column, perishable: Column, cash_tight: Column) -> Column:
-    """The first algorithm whose preconditions hold, else open_loop."""
-    return F.when(has_donor & (weeks < 12), "cold_inherit").when(cash_tight, "robust_satisficing").when((weeks >= 52) & (volatility <= 0.45), "affine_simple").when(perishable, "inv_buffer").when(volatility > 0.45, "safety_stock").otherwise("open_loop")
+def choose_algorithm(weeks: Column, volatility: Column, inherited: Column, perishable: Column, cash_tight: Column) -> Column:
+    """The first algorithm that fits; one whose preconditions fail gives way to open_loop."""
+    return (
+        F.when(cash_tight, "robust_satisficing").when(inherited, "cold_inherit").when((weeks >= 52) & (volatility <= 0.45), "affine_simple")
+        .when(perishable | ((weeks >= 8) & (volatility <= 0.4)), F.when(weeks >= 8, "inv_buffer").otherwise("open_loop")).when(weeks >= 4, "safety_stock").otherwise("open_loop")
+    )
+
+
+def applicable(weeks: Column, volatility: Column, inherited: Column, funded: Column) -> Column:
+    """The algorithms whose preconditions hold, by name."""
+    held = (("affine_simple", (weeks >= 52) & (volatility <= 0.45)), ("cold_inherit", inherited), ("inv_buffer", weeks >= 8), ("open_loop", F.lit(True)), ("robust_satisficing", funded), ("safety_stock", weeks >= 4))
+    return F.array_compact(F.array(*(F.when(when, name) for name, when in held)))
+
+
+def enough_suppliers(restrictions: Column, available: Column) -> Column:
+    """The suppliers that the restrictions ask for (1 without any), and whether there are as many."""
+    asked = F.transform(F.filter(restrictions, lambda r: r["kind"] == "min_proveedores"), lambda r: r["value"].cast("int"))
+    least = F.greatest(F.lit(1), F.coalesce(F.array_max(asked), F.lit(1)))
+    return F.struct(least.alias("least"), (available >= least).alias("enough"))
 
 
 def plan_confidence(p_loss: Column, notes: Column) -> Column:
