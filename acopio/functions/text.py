@@ -6,8 +6,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _PUNCTUATION = r"""[!-/:-@\[-`{-~¡¿]"""
-#: Fixed values.
-STOP_WORDS = ("de", "la", "el", "le", "un", "en", "the", "of", "and", "to", "in", "is", "it", "for", "on", "that", "with", "las", "los", "del", "que", "por", "para", "con", "una", "les", "des", "est", "pour", "der", "die", "das", "und", "von", "mit")
+#: Words that say nothing in a description (Spanish, English, the season), and in a list of keywords.
+STOP_WORDS = (
+    "el", "la", "los", "las", "un", "una", "unos", "unas",
+    "de", "del", "al", "a", "en", "y", "o", "u", "que", "es", "son",
+    "con", "por", "para", "pero", "sin", "sobre", "tras", "ante",
+    "se", "su", "sus", "le", "les", "lo", "yo", "tu", "ella",
+    "esta", "este", "estas", "estos", "ese", "esa", "esos", "esas",
+    "aquel", "aquella", "aquellos", "aquellas",
+    "muy", "mas", "menos", "mucho", "poco",
+    "the", "an", "of", "in", "on", "at", "to", "for", "by",
+    "with", "from", "and", "or", "but", "is", "are", "was", "were",
+    "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "this", "that", "these", "those",
+    "navidad", "navideno", "navidena", "navidenos", "navidenas",
+    "christmas", "xmas", "noel", "santa",
+)
+KEYWORD_STOP_WORDS = (
+    "el", "la", "de", "y", "a", "en", "que", "es", "con", "por", "para",
+    "un", "una", "los", "las", "del", "al", "se", "su", "sus", "esta",
+    "estos", "estas", "este", "ese", "esa", "esos", "esas",
+)
 PLATFORMS = {"TIKTOK": "TIKTOK", "TIK_TOK": "TIKTOK", "INSTAGRAM": "INSTAGRAM", "IG": "INSTAGRAM", "META": "INSTAGRAM", "PINTEREST": "PINTEREST", "PIN": "PINTEREST", "GOOGLE": "GOOGLE_TRENDS", "GOOGLE_TRENDS": "GOOGLE_TRENDS"}
 
 
@@ -27,10 +46,10 @@ def empty_description(text: Column, least: int = 2) -> Column:
 
 
 def keywords(text: Column, limit: int = 10) -> Column:
-    """The first distinct words of over three characters (before punctuation is stripped)."""
+    """The first distinct words of over three characters (before , . ! ? ; : # are stripped)."""
     long_ = F.filter(F.split(F.lower(text), r"\s+"), lambda x: F.length(x) > 3)
-    bare = F.transform(long_, lambda x: F.regexp_replace(x, rf"^{_PUNCTUATION}+|{_PUNCTUATION}+$", ""))
-    return F.slice(F.array_distinct(F.filter(bare, lambda x: (x != "") & ~x.isin(*STOP_WORDS))), 1, limit)
+    bare = F.transform(long_, lambda x: F.btrim(x, F.lit(",.!?;:#")))
+    return F.slice(F.array_distinct(F.filter(bare, lambda x: (x != "") & ~x.isin(*KEYWORD_STOP_WORDS))), 1, limit)
 
 
 def token_set(text: Column) -> Column:

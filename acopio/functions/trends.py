@@ -13,7 +13,10 @@ SEASON_WORDS = (
     "led", "wifi", "smart", "bluetooth", "inflable", "minimalista", "nordico", "rustico", "boho", "regalo", "envoltorio", "pesebre", "corona",
 )
 SOURCES = {"TIK_TOK": "TIKTOK", "META": "INSTAGRAM", "IG": "INSTAGRAM", "PIN": "PINTEREST", "GOOGLE": "GOOGLE_TRENDS", "TRENDS": "GOOGLE_TRENDS"}
-_LIGHT, _CERAMIC, _GARLAND = "vela|led|termocrom|luz|lumin", "cerámica|ceramica|japones|japandi|minimal", "guirnalda|flores secas|cottagecore|eucalipto|lavanda"
+#: What a description says, and what the category or the name of an article says, of a theme of the season.
+LIGHTS = ("vela", "velas", "led", "termocrom", "luz", "lumin")
+CERAMICS = ("cerámica", "ceramica", "japones", "japonesa", "japandi", "minimal")
+GARLANDS = ("guirnalda", "flores secas", "cottagecore", "eucalipto", "lavanda")
 
 
 def product_text(name: Column, short: Column, category: Column, group: Column, country: Column) -> Column:
@@ -28,11 +31,22 @@ def product_text(name: Column, short: Column, category: Column, group: Column, c
     return F.trim(text)
 
 
+def _has(text: Column, *words: str) -> Column:
+    return text.rlike("|".join(words))
+
+
+def season_themes(category: Column, name: Column) -> Column:
+    """The themes (bits 1, 2, 4) that an article belongs to."""
+    c, n = F.upper(category), F.lower(name)
+    of = (_has(c, "LUCES", "LUZ") | _has(n, "led", "luz", "lumin"), _has(c, "ORNAMENT") | _has(n, "adorno"), _has(c, "ARBOL") | _has(n, "guirn"))
+    return sum((F.when(x, 1 << k).otherwise(0) for k, x in enumerate(of)), F.lit(0))
+
+
 def season_bonus(description: Column, category: Column, name: Column) -> Column:
-    """0.2 for each theme that a description and a product share, at most 0.35."""
-    d, c, n = F.lower(description), F.upper(category), F.lower(name)
-    hits = (d.rlike(_LIGHT) & (c.rlike("LUCES|LUZ") | n.rlike("led|luz|lumin")), d.rlike(_CERAMIC) & (c.contains("ORNAMENT") | n.contains("adorno")), d.rlike(_GARLAND) & (c.contains("ARBOL") | n.contains("guirn")))
-    return F.least(F.lit(0.35), sum((F.when(h, 0.2).otherwise(0.0) for h in hits), F.lit(0.0)))
+    """0.2 for each theme that a description and an article share, at most 0.35."""
+    themes = season_themes(category, name)
+    said = (_has(F.lower(description), *words) for words in (LIGHTS, CERAMICS, GARLANDS))
+    return F.least(F.lit(0.35), sum((F.when(x & (themes.bitwiseAND(1 << k) > 0), 0.2).otherwise(0.0) for k, x in enumerate(said)), F.lit(0.0)))
 
 
 def season_words(*fields: Column) -> Column:

@@ -53,7 +53,7 @@ WHEN tipo_sku = 'existing' AND semanas >= 12 THEN 'regla_003_existing_historia_c
 b AS (SELECT *, CASE left(rule, 9) WHEN 'regla_001' THEN 0.9 WHEN 'regla_030' THEN 0.78 WHEN 'regla_002' THEN 0.8 WHEN 'regla_010' THEN 0.65 WHEN 'regla_020' THEN 0.75 WHEN 'regla_011' THEN 0.4 WHEN 'regla_003' THEN 0.65 WHEN 'regla_021' THEN 0.7 WHEN 'regla_999' THEN 0.3 END::DOUBLE AS base FROM r)
 SELECT part, rule, round(CASE WHEN tipo_sku = 'new' AND sim < 0.7 THEN base * greatest(0.3, sim) WHEN tipo_sku = 'trending' AND trend >= 0.8 THEN least(1.0, base * 1.05) ELSE base END, 6)::DOUBLE AS confidence FROM b""")
 def dispatched_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rule of each context; blocked contexts have none."""
+    """The rule of each context; blocked contexts have none."""
     return dispatch(contexts(spark, sf_dir), blocked=F.col("stopped")).select("part", "rule", "confidence")
 
 
@@ -71,13 +71,14 @@ o AS (SELECT part, price, least(round_even(round_even(mean, 0) * 1.2, 0), floor(
 SELECT part, quantity, least(low, quantity) AS quantity_p5, greatest(high, quantity) AS quantity_p95, round(price * quantity, 2) AS cost, round(greatest(0, price * (greatest(high, quantity) - quantity)), 2)::DOUBLE AS var FROM o""")
 def open_loop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open-loop quantities under a buffer and a budget."""
-    w = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
-    f = w.groupBy("part").agg(F.avg("q").alias("mean"), F.percentile("q", 0.05).alias("p5"), F.percentile("q", 0.95).alias("p95"), F.round(F.avg("p"), 2).alias("price"))
+    # Counted by quantity first: a part's percentiles need its distinct quantities, not its rows.
+    w = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
+    f = w.groupBy("part").agg((F.sum(F.col("q") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("q", 0.05, F.col("n")).alias("p5"), F.percentile("q", 0.95, F.col("n")).alias("p95"), F.round(F.sum("p") / F.sum("n"), 2).alias("price"))
     f = f.withColumns({"p50": F.col("mean"), "std": F.lit(0.0), "confidence": F.lit(0.8), "budget": F.lit(40000.0), "buffer": F.lit(1.2), "perishable": F.lit(False)})
     return order(f, "open_loop").select("part", "quantity", "quantity_p5", "quantity_p95", "cost", "var")
 
 
 @query(f"""WITH {_CONTEXTS} SELECT tipo_sku AS category, CASE WHEN semanas >= 52 THEN 'affine' ELSE 'open' END AS algorithm, count(*) AS n FROM c GROUP BY 1, 2""")
 def algorithms_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of decisions by category and algorithm."""
+    """Counts of decisions by category and algorithm."""
     return contexts(spark, sf_dir).groupBy(F.col("tipo_sku").alias("category"), F.when(F.col("semanas_historia") >= 52, "affine").otherwise("open").alias("algorithm")).agg(F.count(F.lit(1)).alias("n"))

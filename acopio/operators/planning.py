@@ -13,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as X
 from ..registry import query
 from ..sources.readers import table
 from .weekly import weekly
@@ -58,11 +57,23 @@ def supplier_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profiles(signals: DataFrame) -> DataFrame:
-    """O23, ST9: each operator's confidence and version after its signals (operator, at, id, action), in order."""
-    step = lambda a: F.when(a == "APROBAR", 0.03).when(a == "RECHAZAR", -0.06).when(a == "MODIFICAR", 0.02).otherwise(0.0)
+    """O23, ST9: each operator's confidence and version after its signals (operator, at, id, action), in order.
+
+    A step adds and clamps, and so do steps in a row: x -> min(high, max(low,
+    x + add)).  The signals of a day become one such step, and an operator's
+    days are then put together, so no list is longer than a day's signals or
+    an operator's days.
+    """
+    delta = lambda a: F.when(a == "APROBAR", 0.03).when(a == "RECHAZAR", -0.06).when(a == "MODIFICAR", 0.02).otherwise(0.0)
+    clamp = lambda x, low, high: F.least(high, F.greatest(low, x))
+    start = F.struct(F.lit(0.0).alias("add"), F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    then = lambda s, add, low, high: F.struct((s["add"] + add).alias("add"), clamp(s["low"] + add, low, high).alias("low"), clamp(s["high"] + add, low, high).alias("high"))
     told = F.array_sort(F.collect_list(F.struct("at", "id", "action")))
-    level = F.aggregate(told, F.lit(0.5), lambda s, x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), s + step(x["action"]))))
-    return signals.groupBy("operator").agg(F.round(level, 6).alias("confidence"), (F.count(F.lit(1)) + 1).alias("version"))
+    days = signals.groupBy("operator", F.to_date("at").alias("day")).agg(F.aggregate(told, start, lambda s, x: then(s, delta(x["action"]), F.lit(0.0), F.lit(1.0))).alias("step"), F.count(F.lit(1)).alias("n"))
+    steps = F.array_sort(F.collect_list(F.struct("day", "step")))
+    whole = F.aggregate(steps, start, lambda s, x: then(s, x["step"]["add"], x["step"]["low"], x["step"]["high"]))
+    out = days.groupBy("operator").agg(whole.alias("s"), F.sum("n").alias("n"))
+    return out.select("operator", F.round(clamp(F.lit(0.5) + F.col("s.add"), F.col("s.low"), F.col("s.high")), 6).alias("confidence"), (F.col("n") + 1).alias("version"))
 
 
 @query("""WITH e AS (SELECT user_id AS operator, list(CASE WHEN event_type = 'purchase' THEN 0.03 WHEN event_type = 'click' THEN -0.06 WHEN event_type = 'view' THEN 0.02 ELSE 0.0 END::DOUBLE ORDER BY ts, event_id) AS steps FROM events GROUP BY 1)
@@ -86,31 +97,6 @@ def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("plan", "e.source", "e.target", "e.kind").agg(F.round(F.sum("e.x") / F.max("e.t"), 4).alias("weight"))
 
 
-def tfidf(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Unit vectors of (1, 2)-grams as (id, term, weight), idf = ln((1 + n) / (1 + df)) + 1."""
-    words = X.tokens(F.col(text_col))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    terms = docs.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.explode(F.concat("w", pairs)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = docs.count()
-    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = terms.join(df, "term").withColumn("x", F.col("tf") * F.col("idf"))
-    norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "id").select("id", "term", (F.col("x") / F.col("norm")).alias("weight"))
-
-
-@query()
-def nearest_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three benchmark texts nearest to each user turn of the conversations that shares a term with them.
-
-    Rows only: logarithms are summed in another order in SQL.
-    """
-    vectors = tfidf(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws(":", "conv_id", "turn").alias("turn"), F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("term"))
-    score = turns.join(F.broadcast(vectors), "term").groupBy("turn", "id").agg(F.round(F.sum("weight"), 4).alias("score"))
-    place = F.row_number().over(Window.partitionBy("turn").orderBy(F.desc("score"), "id"))
-    return score.withColumn("place", place).where("place <= 3").select("turn", F.col("id").alias("item_id"), "score", "place")
-
-
 def _smoothed(y: np.ndarray, steps: int, m: int, multiplicative: bool, rates: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
     """Means ahead and residuals of the rates of a small grid with the least squared error; m is the season's length, 0 for none."""
     n, best = len(y), None

@@ -201,7 +201,7 @@ def _simulated(items: DataFrame, norms: tuple[Restriction, ...], sims: int) -> D
     x = x.withColumn("share", share)
     drawn = lambda part, seed: F.greatest(F.lit(0.0), F.col("mean") * part + F.col("std") * F.sqrt(part) * normal(seed, F.col("plan"), F.col("sku"), F.col("sim")))
     x = x.withColumn("early", drawn(F.col("share"), 11)).withColumn("demand", F.col("early") + drawn(1 - F.col("share"), 23))
-    sold, cost, price = F.least(F.col("demand"), F.col("quantity").cast("double")), F.col("unit") / 10000.0, F.col("cents") * 0.013
+    sold, cost, price = F.least(F.col("demand"), F.col("quantity").cast("double")), F.col("unit") / 10000.0, F.col("cents") * 0.013171317
     x = x.withColumn("sold", sold).withColumn("revenue", sold * price)
     lost = F.when(F.col("shelf").isNull(), 0.7).otherwise(1.0)
     profit = F.col("sold") * price - F.col("quantity") * cost - (F.col("quantity") - F.col("sold")) * cost * lost - F.greatest(F.lit(0.0), F.col("demand") - F.col("quantity")) * F.greatest(F.lit(0.0), price - cost)
@@ -247,7 +247,7 @@ def _notes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 _SHELF = "CASE WHEN p_type = 'PROMO' THEN greatest(1, p_size // 7) END"
 _SIMS = f"""s AS (SELECT h.*, {_SHELF} AS shelf, unnest(range(1, {SIMS + 1})) AS sim FROM h JOIN part ON p_partkey = h.sku), s1 AS (SELECT *, CASE WHEN shelf IS NULL OR shelf >= {WEEKS} THEN 0.5::DOUBLE ELSE shelf / {WEEKS} END AS share FROM s),
-s2 AS (SELECT *, greatest(0, mean * share + std * sqrt(share) * {normal_sql(11, 'plan', 'sku', 'sim')}) AS early, greatest(0, mean * (1 - share) + std * sqrt(1 - share) * {normal_sql(23, 'plan', 'sku', 'sim')}) AS late, unit / 10000.0::DOUBLE AS uc, cents * 0.013::DOUBLE AS price FROM s1),
+s2 AS (SELECT *, greatest(0, mean * share + std * sqrt(share) * {normal_sql(11, 'plan', 'sku', 'sim')}) AS early, greatest(0, mean * (1 - share) + std * sqrt(1 - share) * {normal_sql(23, 'plan', 'sku', 'sim')}) AS late, unit / 10000.0::DOUBLE AS uc, cents * 0.013171317::DOUBLE AS price FROM s1),
 s3 AS (SELECT *, early + late AS demand, least(early + late, quantity::DOUBLE) AS sold FROM s2),
 s4 AS (SELECT *, sold * price AS revenue, sold * price - quantity * uc - (quantity - sold) * uc * CASE WHEN shelf IS NULL THEN 0.7::DOUBLE ELSE 1.0::DOUBLE END - greatest(0, demand - quantity) * greatest(0, price - uc) AS profit, coalesce(shelf < {WEEKS} AND early < quantity, false)::INT AS b1, (quantity < moq)::INT AS b2 FROM s3)"""
 

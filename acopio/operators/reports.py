@@ -122,7 +122,10 @@ v AS (SELECT r.*, 7 + supplier % 40 AS lead_min, 14 + supplier % 40 AS lead_max,
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts, their suppliers and terms."""
-    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).agg(F.percentile("l_quantity", 0.5).alias("p50"), F.stddev_pop("l_quantity").alias("std"), F.min("l_quantity").alias("moq"))
+    w = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("q")).agg(F.count(F.lit(1)).alias("n"))
+    q, n = F.col("q"), F.col("n")
+    mean = F.sum(q * n) / F.sum(n)
+    r = w.groupBy("part", "supplier").agg(F.percentile("q", 0.5, n).alias("p50"), F.sqrt(F.greatest(F.lit(0.0), F.sum(q * q * n) / F.sum(n) - mean * mean)).alias("std"), F.min("q").alias("moq"))
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), (F.col("s_acctbal") > 0).alias("active"))
     return r.join(s, "supplier").withColumns({"lead_min": 7 + F.col("supplier") % 40, "lead_max": 14 + F.col("supplier") % 40, "reliability": F.col("supplier") % 10 / 10.0})
 

@@ -51,7 +51,8 @@ def cash_limited(items: DataFrame, service: float = 0.95) -> DataFrame:
 SELECT part, quantity, round(CASE WHEN quantity >= p95 THEN 0.95 WHEN quantity >= p50 THEN 0.5 + 0.45 * (quantity - p50) / greatest(1, p95 - p50) WHEN quantity >= p5 THEN 0.05 + 0.45 * (quantity - p5) / greatest(1, p50 - p5) ELSE 0.05 END, 4)::DOUBLE AS service, least(greatest(quantity, round_even(p95, 0)::BIGINT), most) AS quantity_p95 FROM q""")
 def cash_limited_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O16, A25."""
-    f = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(*(F.percentile("l_quantity", p).alias(n) for n, p in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))), F.floor(F.avg(F.col("l_extendedprice") / F.col("l_quantity"))).alias("price")).withColumn("budget", F.lit(45000.0))
+    w = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
+    f = w.groupBy("part").agg(*(F.percentile("q", p, F.col("n")).alias(n) for n, p in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95))), F.floor(F.sum("p") / F.sum("n")).alias("price")).withColumn("budget", F.lit(45000.0))
     return cash_limited(f).select("part", "quantity", "service", "quantity_p95")
 
 

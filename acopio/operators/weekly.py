@@ -50,13 +50,17 @@ SELECT part, velocity, velocity > 0 AND velocity >= (SELECT max(velocity) FROM p
 def high_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """At or over the 75th percentile by lower nearest rank of the positive velocities.
 
-    Velocities are counted by value first, so that the ranking needs no sort
-    of all parts.
+    Velocities are counted in bins of a thousandth of their logarithm, of
+    which there are some ten thousand whatever the number of parts; only the
+    bin that holds the rank is then ranked by value.
     """
     v = velocities(spark, sf_dir)
-    counts = v.where("velocity > 0").groupBy("velocity").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.select("velocity", F.sum("n").over(Window.orderBy("velocity")).alias("to"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
-    p75 = ranked.where("to >= floor(0.75 * (all - 1)) + 1").agg(F.min("velocity").alias("p75"))
+    counts = v.where("velocity > 0").groupBy(F.floor(F.log1p("velocity") * 1000).alias("bin"), "velocity").agg(F.count(F.lit(1)).alias("n"))
+    bins = counts.groupBy("bin").agg(F.sum("n").alias("n"))
+    run = bins.select("bin", "n", F.sum("n").over(Window.orderBy("bin")).alias("to"), F.sum("n").over(Window.partitionBy(F.lit(1))).alias("all"))
+    held = run.where("to >= floor(0.75 * (all - 1)) + 1").agg(F.min_by(F.struct("bin", (F.floor(0.75 * (F.col("all") - 1)) + 1 - (F.col("to") - F.col("n"))).alias("rank")), "bin").alias("b")).select("b.*")
+    inside = counts.select("bin", "velocity", "n").join(F.broadcast(held), "bin").withColumn("to", F.sum("n").over(Window.partitionBy("bin").orderBy("velocity")))
+    p75 = inside.where("to >= rank").agg(F.min("velocity").alias("p75"))
     return v.join(F.broadcast(p75), how="cross").select("part", "velocity", ((F.col("velocity") > 0) & (F.col("velocity") >= F.col("p75"))).alias("high_rotation"))
 
 
@@ -103,16 +107,17 @@ def smoothed_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weekly(spark, sf_dir).groupBy("part").agg(series.alias("y")).select("part", F.round(ewma(F.col("y")), 4).alias("smoothed"))
 
 
-@query(f"""WITH w AS ({_WEEKLY}), c AS (SELECT category, week, units FROM (SELECT DISTINCT p_type AS category FROM part) CROSS JOIN (SELECT range + 1 AS week FROM range(53)) LEFT JOIN (SELECT p_type AS category, week, sum(units) AS units FROM w JOIN part ON p_partkey = part WHERE year = 1998 GROUP BY 1, 2) USING (category, week))
-SELECT category, week, coalesce(last_value(units IGNORE NULLS) OVER (PARTITION BY category ORDER BY week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(units IGNORE NULLS) OVER (PARTITION BY category ORDER BY week ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS units FROM c""")
+@query(f"""WITH w AS ({_WEEKLY}), c AS (SELECT category, year, week, units FROM (SELECT DISTINCT p_type AS category FROM part) CROSS JOIN (SELECT DISTINCT year FROM w) CROSS JOIN (SELECT range + 1 AS week FROM range(53)) LEFT JOIN (SELECT p_type AS category, year, week, sum(units) AS units FROM w JOIN part ON p_partkey = part GROUP BY 1, 2, 3) USING (category, year, week))
+SELECT category, year, week, coalesce(last_value(units IGNORE NULLS) OVER (PARTITION BY category ORDER BY year, week ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(units IGNORE NULLS) OVER (PARTITION BY category ORDER BY year, week ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS units FROM c""")
 def filled_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weeks filled forward, then backward, then 0."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("category"))
-    sums = weekly(spark, sf_dir).where("year = 1998").join(part, "part").groupBy("category", "week").agg(F.sum("units").alias("units"))
-    grid = part.select("category").distinct().select("category", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(53).cast("long"))).alias("week"))
-    w = Window.partitionBy("category").orderBy("week")
+    """The weeks of all years filled forward, then backward, then 0; a category has as many rows as there are weeks."""
+    part, sold = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("category")), weekly(spark, sf_dir)
+    sums = sold.join(part, "part").groupBy("category", "year", "week").agg(F.sum("units").alias("units"))
+    years = sold.select("year").distinct().agg(F.collect_list("year").alias("years"))
+    grid = part.select("category").distinct().join(F.broadcast(years), how="cross").select("category", F.explode("years").alias("year")).select("category", "year", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(53).cast("long"))).alias("week"))
+    w = Window.partitionBy("category").orderBy("year", "week")
     back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    return grid.join(sums, ["category", "week"], "left").select("category", "week", F.coalesce(F.last("units", True).over(back), F.first("units", True).over(ahead), F.lit(0.0)).alias("units"))
+    return grid.join(sums, ["category", "year", "week"], "left").select("category", "year", "week", F.coalesce(F.last("units", True).over(back), F.first("units", True).over(ahead), F.lit(0.0)).alias("units"))
 
 
 @query(f"""WITH w AS ({_WEEKLY}), o AS (SELECT part, avg(units) AS own FROM w GROUP BY 1), c AS (SELECT p_type, avg(units) AS cat, stddev_pop(units) AS sd FROM w JOIN part ON p_partkey = part GROUP BY 1)
@@ -127,15 +132,33 @@ def cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profit_risk(df: DataFrame, keys: list[str], profit: str, alpha: float = 0.95) -> DataFrame:
-    """Mean, spread, percentiles, VaR, CVaR, Sharpe and probability of loss of each group's samples."""
-    low = df.groupBy(*keys).agg(F.percentile(profit, 1 - alpha).alias("cut"), F.avg(profit).alias("mean"), F.stddev_pop(profit).alias("std"), F.percentile(profit, 0.95).alias("p95"), F.avg((F.col(profit) < 0).cast("double")).alias("p_loss"))
-    tail = df.join(low.select(*keys, "cut"), keys).where(F.col(profit) <= F.col("cut")).groupBy(*keys).agg(F.avg(profit).alias("tail"))
+    """Mean, spread, percentiles, VaR, CVaR, Sharpe and probability of loss of each group's samples.
+
+    The samples of a group are sorted once, in a window that spills; the
+    percentiles are the values at their ranks, and the tail is summed in the
+    same pass, so the input is read once and no map of values is held.
+    """
+    x, every = F.col(profit), Window.partitionBy(*keys)
+    rows = df.withColumn("__rn", F.row_number().over(every.orderBy(profit))).withColumn("__n", F.count(profit).over(every)).where(x.isNotNull())
+
+    def value(q: float) -> tuple:
+        """The place before the percentile, how far it is from there, and its two neighbours' values."""
+        at = (F.col("__n") - 1) * F.round(F.lit(q), 9)
+        low = F.floor(at).cast("long") + 1
+        part = lambda k: F.max(F.when(F.col("__rn") == low + k, x)).over(every)
+        return part(0) + (at - F.floor(at)) * (F.coalesce(part(1), part(0)) - part(0))
+
+    rows = rows.withColumn("__cut", value(1 - alpha)).withColumn("__p95", value(0.95))
+    # Decimals: neither the order of the rows nor a tie at the fifth digit decides how a mean is rounded.
+    mean = lambda c: (F.sum(c.cast("decimal(28,8)")).cast("double") / F.count(c)).cast("decimal(28,8)")
+    out = rows.groupBy(*keys).agg(mean(x).alias("mean"), F.stddev_pop(x).alias("std"), F.max("__cut").alias("cut"), F.max("__p95").alias("p95"), F.avg((x < 0).cast("double")).alias("p_loss"), mean(F.when(x <= F.col("__cut"), x)).alias("tail"))
     r = lambda c: F.round(c, 4)
-    return low.join(tail, keys).select(*keys, r("mean").alias("mean"), r("std").alias("std"), r("cut").alias("p05"), r("p95").alias("p95"), r(F.greatest(F.lit(0.0), -F.col("cut"))).alias("var"), r(F.greatest(F.lit(0.0), -F.col("tail"))).alias("cvar"), r(F.when(F.col("std") > 1e-9, F.col("mean") / F.col("std"))).alias("sharpe"), r("p_loss").alias("p_loss"))
+    return out.select(*keys, r("mean").cast("double").alias("mean"), r("std").alias("std"), r("cut").alias("p05"), r("p95").alias("p95"), r(F.greatest(F.lit(0.0), -F.col("cut"))).alias("var"), F.greatest(F.lit(0.0), (-r("tail")).cast("double")).alias("cvar"), r(F.when(F.col("std") > 1e-9, F.col("mean").cast("double") / F.col("std"))).alias("sharpe"), r("p_loss").alias("p_loss"))
 
 
-@query("""WITH p AS (SELECT l_suppkey AS supplier, l_extendedprice * (1 - l_discount) - l_quantity * 1100 AS profit FROM lineitem), q AS (SELECT supplier, quantile_cont(profit, 0.05) AS cut, avg(profit) AS mean, stddev_pop(profit) AS std, quantile_cont(profit, 0.95) AS p95, avg((profit < 0)::INT) AS p_loss FROM p GROUP BY 1)
-SELECT supplier, round(any_value(mean), 4) AS mean, round(any_value(std), 4) AS std, round(any_value(cut), 4) AS p05, round(any_value(p95), 4) AS p95, round(greatest(0.0, -any_value(cut)), 4) AS var, round(greatest(0.0, -avg(profit) FILTER (profit <= cut)), 4) AS cvar, round(CASE WHEN any_value(std) > 1e-9 THEN any_value(mean) / any_value(std) END, 4) AS sharpe, round(any_value(p_loss), 4) AS p_loss FROM p JOIN q USING (supplier) GROUP BY 1""")
+@query("""WITH p AS (SELECT l_suppkey AS supplier, l_extendedprice * (1 - l_discount) - l_quantity * 1100 AS profit FROM lineitem), q AS (SELECT supplier, quantile_cont(profit, 0.05) AS cut, (sum(profit::DECIMAL(28, 8))::DOUBLE / count(*))::DECIMAL(28, 8) AS mean, stddev_pop(profit) AS std, quantile_cont(profit, 0.95) AS p95, avg((profit < 0)::INT) AS p_loss FROM p GROUP BY 1),
+t AS (SELECT supplier, (sum(profit::DECIMAL(28, 8))::DOUBLE / count(*))::DECIMAL(28, 8) AS tail FROM p JOIN q USING (supplier) WHERE profit <= cut GROUP BY 1)
+SELECT supplier, round(mean, 4)::DOUBLE AS mean, round(std, 4) AS std, round(cut, 4) AS p05, round(p95, 4) AS p95, round(greatest(0.0, -cut), 4) AS var, greatest(0, -round(tail, 4))::DOUBLE AS cvar, round(CASE WHEN std > 1e-9 THEN mean::DOUBLE / std END, 4) AS sharpe, round(p_loss, 4) AS p_loss FROM q JOIN t USING (supplier)""")
 def supplier_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A25-A29, M6."""
     profit = F.col("l_extendedprice") * (1 - F.col("l_discount")) - F.col("l_quantity") * 1100

@@ -1,13 +1,15 @@
-"""Rule dispatch: prioritised rules compiled to one chain of conditions."""
+"""Rule dispatch: prioritised rules compiled to one chain of conditions."""
 
 from __future__ import annotations
 
+import ast
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .expressions import compile_column, template
+from .catalogue import DESCRIPTORS
+from .expressions import TEMPLATE, UnsafeExpression, compile_column, parse, template
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,37 @@ def parse_stages(text: str) -> list[str]:
     return parts
 
 
+def lint(rules: tuple[Rule, ...], names: set[str] | None = None) -> list[str]:
+    """Everything that is wrong with a catalogue of rules, all of it and not only the first.
+
+    Ids repeat, a stage is no descriptor, two stages are of one kind, a
+    condition or a template is unsafe (or names an unknown field, if names
+    are given), parameters go to a stage that the rule does not have.
+    """
+    kinds = {i: kind for i, kind, _ in DESCRIPTORS}
+    out, seen = [], set()
+    for r in rules:
+        if r.id in seen:
+            out.append(f"{r.id}: the id repeats")
+        seen.add(r.id)
+        try:
+            stages = parse_stages(r.stages)
+        except ValueError as error:
+            out.append(f"{r.id}: {error}")
+            stages = []
+        out += [f"{r.id}: unknown descriptor {s}" for s in stages if s not in kinds]
+        held = [kinds[s] for s in stages if s in kinds]
+        out += [f"{r.id}: two stages of kind {k}" for k in sorted({k for k in held if held.count(k) > 1})]
+        out += [f"{r.id}: parameter {p} has no stage" for p in r.params if p.split(".")[0] not in stages]
+        for text in (*r.when, *(m[1] for v in r.params.values() if isinstance(v, str) and (m := TEMPLATE.fullmatch(v)))):
+            try:
+                tree = parse(text)
+                out += [f"{r.id}: unknown field {n.attr}" for n in ast.walk(tree) if names is not None and isinstance(n, ast.Attribute) and n.attr not in names]
+            except UnsafeExpression as error:
+                out.append(f"{r.id}: {error}")
+    return out
+
+
 def _case(pairs: list[tuple[Column, Column]]) -> Column:
     out = F
     for condition, value in pairs:

@@ -11,8 +11,12 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NODES = (ast.Expression, ast.BoolOp, ast.And, ast.Or, ast.UnaryOp, ast.Not, ast.USub, ast.Compare, ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.In, ast.NotIn, ast.Is, ast.IsNot, ast.BinOp, ast.Add, ast.Sub, ast.Mult, ast.Div, ast.Mod, ast.IfExp, ast.Name, ast.Attribute, ast.Constant, ast.List, ast.Tuple, ast.Call, ast.Load)
-_CALLS = {"abs": F.abs, "min": lambda *a: F.least(*a), "max": lambda *a: F.greatest(*a), "len": F.size, "round": F.bround, "float": lambda c: c.cast("double"), "int": lambda c: c.cast("long"), "str": lambda c: c.cast("string"), "bool": lambda c: c.cast("boolean")}
+_NODES = (ast.Expression, ast.BoolOp, ast.And, ast.Or, ast.UnaryOp, ast.Not, ast.USub, ast.UAdd, ast.Compare, ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.In, ast.NotIn, ast.Is, ast.IsNot, ast.IfExp, ast.Name, ast.Attribute, ast.Constant, ast.List, ast.Tuple, ast.Set, ast.Dict, ast.Subscript, ast.Slice, ast.Call, ast.Load)
+_CALLS = {"abs": F.abs, "min": lambda *a: F.least(*a), "max": lambda *a: F.greatest(*a), "len": F.size, "round": F.bround, "float": lambda c: c.cast("double"), "int": lambda c: c.cast("long"), "str": lambda c: c.cast("string"), "bool": lambda c: c.cast("boolean"),
+          "sum": lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")), "any": lambda a: F.exists(a, lambda x: x.cast("boolean")), "all": lambda a: F.forall(a, lambda x: x.cast("boolean"))}
+
+
+TEMPLATE = re.compile(r"\s*\{\{(.+)\}\}\s*", re.S)
 
 
 class UnsafeExpression(ValueError):
@@ -64,16 +68,35 @@ def compile_column(text: str, names: dict[str, Column | dict]) -> Column:
                     out = out & p if isinstance(node.op, ast.And) else out | p
                 return out
             case ast.UnaryOp():
-                return ~_wrap(go(node.operand)) if isinstance(node.op, ast.Not) else -_wrap(go(node.operand))
-            case ast.BinOp():
-                a, b = _wrap(go(node.left)), _wrap(go(node.right))
-                return {ast.Add: a.__add__, ast.Sub: a.__sub__, ast.Mult: a.__mul__, ast.Div: a.__truediv__, ast.Mod: a.__mod__}[type(node.op)](b)
+                held = _wrap(go(node.operand))
+                return ~held if isinstance(node.op, ast.Not) else held if isinstance(node.op, ast.UAdd) else -held
             case ast.IfExp():
                 return F.when(_wrap(go(node.test)), _wrap(go(node.body))).otherwise(_wrap(go(node.orelse)))
-            case ast.List() | ast.Tuple():
+            case ast.List() | ast.Tuple() | ast.Set():
                 return [go(v) for v in node.elts]
+            case ast.Dict():
+                return {go(k): go(v) for k, v in zip(node.keys, node.values, strict=True)}
+            case ast.Subscript():
+                held = go(node.value)
+                if isinstance(node.slice, ast.Slice):
+                    a, b = (go(x) if x is not None else None for x in (node.slice.lower, node.slice.upper))
+                    if isinstance(held, list):
+                        return held[a:b]
+                    if node.slice.step is not None or isinstance(a, Column) or isinstance(b, Column) or (a or 0) < 0 or (b or 0) < 0:
+                        raise UnsafeExpression("slices have fixed bounds from the start")
+                    return F.slice(held, (a or 0) + 1, max(0, b - (a or 0)) if b is not None else F.size(held))
+                at = go(node.slice)
+                if isinstance(held, (list, dict)) and not isinstance(at, Column):
+                    return held[at]
+                if isinstance(at, int):  # a place of an array, from its end if below 0
+                    return F.try_element_at(held, F.lit(at + 1 if at >= 0 else at))
+                return F.try_element_at(held, _wrap(at)) if isinstance(held, Column) else F.try_element_at(F.create_map(*(_wrap(x) for kv in held.items() for x in kv)), _wrap(at))
             case ast.Call():
-                return _CALLS[node.func.id](*(_wrap(go(a)) for a in node.args))
+                given = [go(a) for a in node.args]
+                given = [F.array(*(_wrap(x) for x in a)) if isinstance(a, list) else _wrap(a) for a in given]
+                if node.func.id in ("min", "max") and len(given) == 1:
+                    return (F.array_min if node.func.id == "min" else F.array_max)(given[0])
+                return _CALLS[node.func.id](*given)
             case ast.Compare():
                 out, left = None, go(node.left)
                 for op, right in zip(node.ops, node.comparators, strict=True):
@@ -88,7 +111,7 @@ def compile_column(text: str, names: dict[str, Column | dict]) -> Column:
 
 def _compare(op: ast.cmpop, a, b) -> Column:
     if isinstance(op, (ast.In, ast.NotIn)):
-        held = _wrap(a).isin(*b) if isinstance(b, list) else F.array_contains(b, _wrap(a))
+        held = _wrap(a).isin(*b) if isinstance(b, (list, dict)) else F.array_contains(b, _wrap(a))
         return ~held if isinstance(op, ast.NotIn) else held
     if isinstance(op, (ast.Is, ast.IsNot)):
         same = _wrap(a).eqNullSafe(_wrap(b))
@@ -99,5 +122,5 @@ def _compare(op: ast.cmpop, a, b) -> Column:
 
 def template(value: object, names: dict[str, Column | dict]) -> Column:
     """B8: '{{ expr }}' compiled, all else a literal."""
-    found = re.fullmatch(r"\s*\{\{(.+)\}\}\s*", value, re.S) if isinstance(value, str) else None
+    found = TEMPLATE.fullmatch(value) if isinstance(value, str) else None
     return compile_column(found[1], names) if found else F.lit(value)

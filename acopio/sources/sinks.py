@@ -6,9 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of new replace rows of old with the same keys; one row of new for each key."""
-    new = new.dropDuplicates(keys)
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of new replace rows of old with the same keys.
+
+    Of rows of new with the same keys the last by order wins, and of equal
+    ones, or without an order, the one with the largest values.
+    """
+    others = [c for c in new.columns if c not in keys]
+    if others:
+        row = F.struct(*(F.col(c).alias(f"c{k}") for k, c in enumerate(others)))
+        last = new.groupBy(*keys).agg(F.max(F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order or [])), row.alias("row"))).alias("__last"))
+        new = last.select(*keys, *(F.col(f"__last.row.c{k}").alias(c) for k, c in enumerate(others))).select(*new.columns)
+    else:
+        new = new.distinct()
     return new.unionByName(old.join(new.select(*keys), keys, "left_anti"), allowMissingColumns=True)
 
 
