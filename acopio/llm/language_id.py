@@ -142,7 +142,9 @@ def identify(docs: DataFrame, model: Filter | None, id_col: str = "doc_id", text
 
     ``und`` with score 0 if the text is null or has no letter, or if nothing
     was learned.  Ties go to the language with more sampled documents, then
-    by name.  Null ids are kept; rows that repeat are judged alike.
+    by name.  Null ids are kept; rows that repeat are judged alike; long texts
+    are read whole; an empty table gives an empty one; other columns are not
+    read.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[id_col], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

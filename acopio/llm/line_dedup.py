@@ -6,8 +6,8 @@ them, and each document is put together again from the positions that stay.
 
 Only hashes, ids and positions are shuffled for the counting; a text moves
 once, in the join that reassembles it.  A key that a third of all rows share
-is counted from per-task partial counts; the join that finds its lines is an
-ordinary shuffled join, which adaptive execution splits.
+is counted from per-task partial counts, and its lines are dealt to as many
+salts as there are shuffle partitions for the join that finds them.
 """
 
 from __future__ import annotations
@@ -26,7 +26,6 @@ from .words import Chunk, chunks
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-SALTS = 8
 
 
 def keyed_lines(texts: pa.Array, min_chars: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -73,15 +72,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), pa.array(pos), pa.array(a), pa.array(b)], names=[f.name for f in fields])
 
     found = docs.select(F.col(id_col).alias("id"), row[0].alias("r1"), row[1].alias("r2"), text.alias("text")).mapInArrow(run, T.StructType(fields))
+    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int"))
     shared = (
-        found.select("a", "b", "id").distinct()
-        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"))
+        found.select("a", "b", "id", "salt").distinct()
+        .groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("keeper"), F.collect_set("salt").alias("salts"))
         .where(F.col("n") >= min_docs)
-        # Each shared key once for each salt, so that the lines of a hot key meet it in several tasks.
-        .select("a", "b", "keeper", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        # Each shared key once for each salt that its lines have, so that the lines of a hot key meet it in as many tasks as there are.
+        .select("a", "b", "keeper", F.explode("salts").alias("salt"))
     )
     dropped = (
-        found.withColumn("salt", F.pmod("r1", F.lit(SALTS)).cast("int")).join(shared, ["a", "b", "salt"])
+        found.join(shared, ["a", "b", "salt"])
         .where(~F.col("id").eqNullSafe(F.col("keeper")))
         .groupBy("r1", "r2").agg(F.collect_set(F.col("pos").cast("int")).alias("gone"))
     )

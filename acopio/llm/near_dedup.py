@@ -438,7 +438,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that represent their class: the one with the smallest id, once; all columns."""
+    """The rows of docs that represent their class: the one with the smallest id, once; all columns.
+
+    Of rows that repeat an id and a text one stays.  Null ids come last, null
+    texts are empty ones, and an empty table stays empty; columns pass
+    through, whatever their names.
+    """
     nodes, _ = near_duplicates(docs, id_col, text_col, threshold)
     kept = materialise(nodes.where("kept").select(F.col("node").alias("key"), F.col("rep").alias("rep")), "kept")
     rows = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), node_key(F.col(text_col)).alias("key"), F.col(id_col).alias("id"))

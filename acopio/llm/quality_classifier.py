@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from .common import table
 from .words import Chunk, chunks, code_points, edge_grams, mix, padded
 
-BUCKETS, DIM, MAX_ROWS = 1 << 18, 8, 4000
+BUCKETS, DIM, MAX_ROWS, VISITS = 1 << 18, 8, 4000, 24_000
 SIZES = (2, 3, 4)
 _BLANK = np.array([9, 10, 11, 12, 13, 32], np.uint32)
 
@@ -71,8 +71,15 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS
     return vectors @ (out[1] - out[0]), float(bias[1] - bias[0])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, buckets: int = BUCKETS, dim: int = DIM) -> tuple[np.ndarray, float]:
-    """Train on at most max_rows labelled documents for which learn (on labels) holds."""
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, visits: int = VISITS, buckets: int = BUCKETS, dim: int = DIM) -> tuple[np.ndarray, float]:
+    """Train on at most max_rows labelled documents for which learn (on labels) holds.
+
+    Documents are visited about visits times in all, each four times at least
+    and forty times at most, so that few labels are learned as well as many.
+    Null ids and labels other than 0 and 1 are left out, as are texts without
+    features; of rows that repeat each counts.  Without rows the model is the
+    untrained one.
+    """
     sample = (
         labels.where(learn & F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
         .select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
@@ -99,15 +106,16 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
         counts = np.frombuffer(r["n"], "<i4").astype(np.float32)
         if len(counts):
             rows.append((np.frombuffer(r["at"], "<i4"), counts / counts.sum(), r["label"]))
-    # Fewer rows take more epochs, so that small corpora learn as well.
-    return train(rows, buckets, dim, epochs=max(4, min(40, 24000 // max(1, len(rows)))))
+    return train(rows, buckets, dim, epochs=max(4, min(40, visits // max(1, len(rows)))))
 
 
 def classify(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, score (probability of label 1) and predicted of every whole text.
 
     Null and empty texts have no features and get the score of the bias
-    alone.  Null ids are kept; rows that repeat score alike.
+    alone.  Null ids are kept; rows that repeat score alike; a score of 0.5 is
+    1; long texts are read whole; an empty table gives an empty one; other
+    columns are not read.
     """
     held = docs.sparkSession.sparkContext.broadcast((model[0].astype(np.float32), model[1]))
     schema = T.StructType([docs.schema[id_col], T.StructField("score", T.DoubleType())])
