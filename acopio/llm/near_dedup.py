@@ -8,9 +8,11 @@ probability of their weighted Jaccard similarity.  Samples are banded, nodes
 that meet in a bucket become candidate pairs, and exact weighted Jaccard
 similarity of at least ``threshold`` makes a link.  Linked nodes form classes.
 
-Document frequencies are counted over all documents in 2**18 counters by
-shingle hash (a table of fixed size, the same at every size of the corpus) and
-floored at one document in a hundred: below that, shingles weigh alike.
+Document frequencies are counted over all documents in two rows of 2**18
+counters by shingle hash (a table of fixed size, the same at every size of the
+corpus) and floored at one document in a hundred: below that, shingles weigh
+alike.  Without the floor the text that a large group of copies shares would
+lose weight against their small differences as the group grows.
 
 In a bucket every node is paired with one leader, so a bucket costs as much
 as it has nodes, not as their square.  Where that leaves a bucket with nodes
@@ -61,34 +63,43 @@ def shingles(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (keys >> np.uint64(52)).astype(np.int64), keys & _HASH, tf
 
 
+def _counter(hashes: np.ndarray, row: int) -> np.ndarray:
+    """The counter of each hash in a row; of the lower 32 bits, which is what is kept of it."""
+    return ((hashes >> np.uint64(14 * row)) & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+
 def idf_table(docs: DataFrame, text_col: str) -> np.ndarray:
     """The weight of each counter: 1 for shingles in all documents, 2 for those in a share of FLOOR or less.
 
-    Equal to 1 + ln(N / df) / ln(1 / floor), with df floored.
+    Equal to 1 + ln(N / df) / ln(1 / floor), with df floored.  A shingle has a
+    counter in each of two rows, and the smaller count is its own (weigh()),
+    so that a rare shingle looks frequent only if it meets frequent ones in
+    both rows: with f frequent shingles in the corpus at (f / COUNTERS)**2.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, n = np.zeros(COUNTERS, np.int64), 0
+        counts, n = np.zeros((2, COUNTERS), np.int64), 0
         for batch in batches:
             for c in chunks(batch.column(0)):
                 docs, hashes, _ = shingles(c)
-                counts += np.bincount((hashes & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                for row in range(2):
+                    counts[row] += np.bincount(_counter(hashes, row), minlength=COUNTERS)
                 n += len(np.unique(docs))
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts[at], n))], names=["counter", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts.ravel()[at], n))], names=["counter", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS + 1 rows at most
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # 2 * COUNTERS + 1 rows at most
     total = max(1, int(rows.loc[rows["counter"] < 0, "n"].sum()))
-    df = np.zeros(COUNTERS)
+    df = np.zeros(2 * COUNTERS)
     rows = rows[rows["counter"] >= 0]
     df[rows["counter"].to_numpy()] = rows["n"].to_numpy()
     # Counters that many rare shingles share must not look like a frequent one.
     floor = min(0.5, max(FLOOR, 1 / total, 4 * float(np.median(df)) / total))
-    return (1 + np.log(1 / np.clip(df / total, floor, 1)) / np.log(1 / floor)).astype(np.float32)
+    return (1 + np.log(1 / np.clip(df / total, floor, 1)) / np.log(1 / floor)).astype(np.float32).reshape(2, COUNTERS)
 
 
 def weigh(hashes: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return idf[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)] * tf.astype(np.float32)
+    return np.maximum(idf[0][_counter(hashes, 0)], idf[1][_counter(hashes, 1)]) * tf.astype(np.float32)
 
 
 class Sampler:
@@ -187,9 +198,9 @@ def deep_signatures(sets: DataFrame, idf: np.ndarray, bands: int = DEEP_BANDS, r
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids = [np.frombuffer(x.as_py(), "<u4") for x in part.column(1)]
+                ids = [np.frombuffer(x.as_py(), "<u8") for x in part.column(1)]
                 tf = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in part.column(2)])
-                of, hashes = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids).astype(np.uint64)
+                of, hashes = np.repeat(np.arange(len(ids)), [len(x) for x in ids]), np.concatenate(ids)
                 present, own = sampler.bands(of, mix(hashes), weigh(hashes, tf, idf), bands, rows)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(present)), pa.array(own.tolist(), pa.list_(pa.int64()))], names=["node", "bands"])
 
@@ -250,7 +261,7 @@ def shared_weight(left: list[tuple], right: list[tuple]) -> np.ndarray:
         # The k-th occurrence of an id is a column of its own: a minimum is then a product.
         tf = np.concatenate([x[1] for x in bags]).astype(np.int64)
         level = np.arange(tf.sum()) - np.repeat(np.cumsum(tf) - tf, tf)
-        keys = np.repeat(np.concatenate([x[0] for x in bags]), tf) | (level.astype(np.uint64) << np.uint64(44))
+        keys = mix(np.repeat(np.concatenate([x[0] for x in bags]), tf) + level.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         return np.repeat(np.arange(len(bags)), [int(x[1].sum()) for x in bags]), keys, np.repeat(np.concatenate([x[2] for x in bags]), tf)
 
     (a, keys_a, w), (b, keys_b, _) = spread(left), spread(right)
@@ -298,8 +309,8 @@ def verify_blocks(blocks: DataFrame, banded: DataFrame, sets: DataFrame, idf: np
         if ask.any():
             bags = []
             for x, t in zip(rows["ids"], rows["tf"], strict=True):
-                ids, tf = np.frombuffer(x.as_py(), "<u4").astype(np.uint64), np.frombuffer(t.as_py(), "<u4")
-                bags.append((_apart(ids), tf, weigh(ids, np.ones(len(ids)), idf), weigh(ids, tf, idf)))
+                ids, tf = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(t.as_py(), "<u4")
+                bags.append((ids, tf, weigh(ids, np.ones(len(ids)), idf), weigh(ids, tf, idf)))
             total = np.array([x[3].sum(dtype=float) for x in bags])
             both = shared_weight([bags[k] for k in u], [bags[k] for k in v])
             alike = both / np.maximum(total[u][:, None] + total[v][None, :] - both, 1e-12)
@@ -323,7 +334,7 @@ def node_key(text: Column) -> Column:
 
 
 def bags(texts: DataFrame) -> DataFrame:
-    """(node, text) -> (node, ids, tf): sorted 32-bit shingle ids and term frequencies as bytes."""
+    """(node, text) -> (node, ids, tf): the sorted ids (hashes of 52 bits) and term frequencies of the shingles, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -331,11 +342,10 @@ def bags(texts: DataFrame) -> DataFrame:
             for c in chunks(batch.column(1)):
                 of, hashes, tf = shingles(c)
                 cuts = np.searchsorted(of, np.arange(c.n + 1))
-                low, tf = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4"), tf.astype("<u4")
+                hashes, tf = hashes.astype("<u8"), tf.astype("<u4")
                 for a, b in zip(cuts, cuts[1:], strict=False):
-                    order = np.argsort(low[a:b], kind="stable")
-                    ids.append(low[a:b][order].tobytes())
-                    tfs.append(tf[a:b][order].tobytes())
+                    ids.append(hashes[a:b].tobytes())
+                    tfs.append(tf[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(tfs, pa.binary())], names=["node", "ids", "tf"])
 
     return texts.select("node", "text").mapInArrow(run, "node string, ids binary, tf binary")
@@ -363,20 +373,14 @@ def verify(pairs: DataFrame, sets: DataFrame, idf: np.ndarray, threshold: float)
         for batch in batches:
             keep = []
             for a, ta, b, tb in zip(*(batch.column(k) for k in range(2, 6)), strict=True):
-                a, b = np.frombuffer(a.as_py(), "<u4").astype(np.uint64), np.frombuffer(b.as_py(), "<u4").astype(np.uint64)
+                a, b = np.frombuffer(a.as_py(), "<u8"), np.frombuffer(b.as_py(), "<u8")
                 wa, wb = weigh(a, np.frombuffer(ta.as_py(), "<u4"), idf), weigh(b, np.frombuffer(tb.as_py(), "<u4"), idf)
-                # Two ids that agree in 32 bits in one document are kept apart by place.
-                keep.append(weighted_jaccard(_apart(a), wa, _apart(b), wb) >= threshold - 1e-9)
+                keep.append(weighted_jaccard(a, wa, b, wb) >= threshold - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return joined.mapInArrow(run, "u string, v string")
 
 
-def _apart(ids: np.ndarray) -> np.ndarray:
-    same = np.concatenate(([False], ids[1:] == ids[:-1]))
-    return ids | (same.astype(np.uint64) << np.uint64(40)) if same.any() else ids
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Classes of near duplicates.
 
