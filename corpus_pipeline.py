@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept.  Results are written as Parquet to the shared folder and reread between
 stages, so a lost executor costs a reread of one stage at most.
+
+Every stage takes nulls, empty and very long texts, ties, repeated rows, empty
+tables and further columns as the operator that it calls says: a null text is
+an empty one, which the rules reject; rows that repeat are judged alike, and
+near deduplication keeps one of them; an empty table stays empty; columns of
+documents pass through all stages but the last.
 """
 
 from __future__ import annotations
