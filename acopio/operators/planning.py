@@ -98,31 +98,40 @@ def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _smoothed(y: np.ndarray, steps: int, m: int, multiplicative: bool, rates: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Means ahead and residuals of the rates of a small grid with the least squared error; m is the season's length, 0 for none."""
-    n, best = len(y), None
+    """Means ahead (steps) and residuals (n) of each series in y (n, or series x n), with the rates of a small grid that have the least squared error; m is the season's length, 0 for none.
+
+    The recursion goes over the points once for all series together.
+    """
+    rows = np.atleast_2d(y).astype(float)
+    count, n = rows.shape
+    best, means, residuals = np.full(count, np.inf), np.zeros((count, steps)), np.zeros((count, n))
     for alpha in (0.1, rates[0], 0.6):
         for beta in ((0.0, rates[1]) if n >= 8 else (0.0,)):
-            level, trend = y[: m or 1].mean(), (y[m : 2 * m].mean() - y[:m].mean()) / m if m else 0.0
-            index = (y[:m] / level if multiplicative else y[:m] - level).tolist() if m else [0.0]
-            errors = []
-            for t, v in enumerate(y.tolist()):
-                s, base = index[t % (m or 1)], level + trend
+            level = rows[:, : m or 1].mean(1)
+            trend = (rows[:, m : 2 * m].mean(1) - rows[:, :m].mean(1)) / m if m else np.zeros(count)
+            index = (rows[:, :m] / level[:, None] if multiplicative else rows[:, :m] - level[:, None]) if m else np.zeros((count, 1))
+            errors = np.empty((count, n))
+            for t in range(n):
+                s, base = index[:, t % (m or 1)].copy(), level + trend
                 if m and multiplicative:
-                    e = v - base * s
-                    level, trend = base + alpha * e / max(s, 1e-6), trend + alpha * beta * e / max(s, 1e-6)
-                    index[t % m] = s + rates[2] * (1 - alpha) * e / max(base, 1e-6)
+                    e = rows[:, t] - base * s
+                    level, trend = base + alpha * e / np.maximum(s, 1e-6), trend + alpha * beta * e / np.maximum(s, 1e-6)
+                    index[:, t % m] = s + rates[2] * (1 - alpha) * e / np.maximum(base, 1e-6)
                 else:
-                    e = v - (base + s)
+                    e = rows[:, t] - (base + s)
                     level, trend = base + alpha * e, trend + alpha * beta * e
                     if m:
-                        index[t % m] = s + rates[2] * (1 - alpha) * e
-                errors.append(e)
-            sse = float(np.square(errors).sum())
-            if best is None or sse < best[0]:
-                base = [level + trend * (h + 1) for h in range(steps)]
-                ahead = [x * index[(n + h) % m] if multiplicative else x + index[(n + h) % m] for h, x in enumerate(base)] if m else base
-                best = sse, np.maximum(ahead, 0.0), np.array(errors)
-    return best[1], best[2]
+                        index[:, t % m] = s + rates[2] * (1 - alpha) * e
+                errors[:, t] = e
+            sse = np.square(errors).sum(1)
+            ahead = level[:, None] + trend[:, None] * np.arange(1, steps + 1)
+            if m:
+                season = index[:, (n + np.arange(steps)) % m]
+                ahead = ahead * season if multiplicative else ahead + season
+            better = sse < best
+            best = np.where(better, sse, best)
+            means[better], residuals[better] = np.maximum(ahead, 0.0)[better], errors[better]
+    return (means, residuals) if np.ndim(y) == 2 else (means[0], residuals[0])
 
 
 def holt_winters(y: np.ndarray, steps: int, season: int = 52, rates: tuple[float, float, float] = (0.3, 0.05, 0.2)) -> tuple[np.ndarray, float]:
@@ -131,14 +140,29 @@ def holt_winters(y: np.ndarray, steps: int, season: int = 52, rates: tuple[float
     Under four points, and with a season but values that are not positive,
     the mean is the forecast.
     """
-    n = len(y)
-    if n == 0:
-        return np.zeros(steps), 1.0
-    m = season if n >= 2 * season else 0
-    if n < 4 or m and y.min() <= 0:
-        return np.full(steps, y.mean()), float(y.std()) or 1.0
-    mean, errors = _smoothed(y, steps, m, True, rates)
-    return mean, float(np.std(errors)) or max(1.0, 0.3 * float(y.mean()))
+    mean, std = forecast_many([y], steps, season, rates)
+    return mean[0], float(std[0])
+
+
+def forecast_many(series: list[np.ndarray], steps: int, season: int = 52, rates: tuple[float, float, float] = (0.3, 0.05, 0.2)) -> tuple[np.ndarray, np.ndarray]:
+    """holt_winters() of many series; those of one length go together."""
+    means, spread = np.zeros((len(series), steps)), np.ones(len(series))
+    by_length: dict[int, list[int]] = {}
+    for k, y in enumerate(series):
+        by_length.setdefault(len(y), []).append(k)
+    for n, at in by_length.items():
+        if n == 0:
+            continue
+        where, y = np.array(at), np.stack([np.asarray(series[k], float) for k in at])
+        m = season if n >= 2 * season else 0
+        flat = np.full(len(at), n < 4) | ((y.min(1) <= 0) if m else False)
+        if flat.any():
+            means[where[flat]], spread[where[flat]] = y[flat].mean(1)[:, None], np.where(y[flat].std(1) == 0, 1.0, y[flat].std(1))
+        if not flat.all():
+            ahead, errors = _smoothed(y[~flat], steps, m, True, rates)
+            std = errors.std(1)
+            means[where[~flat]], spread[where[~flat]] = ahead, np.where(std == 0, np.maximum(1.0, 0.3 * y[~flat].mean(1)), std)
+    return means, spread
 
 
 def ets_samples(y: np.ndarray, steps: int, n_samples: int, seed: int, season: int = 52) -> np.ndarray:
@@ -190,15 +214,18 @@ def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            series = [np.asarray(y, float) for y in pdf["y"]]
+            means, spread = forecast_many(series, 8)
             out = []
-            for r in pdf.itertuples(index=False):
-                y = np.asarray(r.y, float)
-                mean, std = holt_winters(y, 8)
+            for r, y, mean, std in zip(pdf.itertuples(index=False), series, means, spread, strict=True):
                 draws = np.maximum(0, np.random.default_rng(r.part).normal(mean, std, (1000, 8)))
                 low, high = np.percentile(draws, [5, 95], axis=0)
-                out.append(pd.DataFrame({"part": r.part, "step": range(1, 9), "mean": mean, "p05": low, "p95": high, "source": r.source, "donor": pd.array([None if pd.isna(r.donor) else int(r.donor)] * 8, "Int64"), "n_own": r.n_own, "confidence": confidence(y, r.source)}))
+                out.append((r.part, mean, low, high, r.source, None if pd.isna(r.donor) else int(r.donor), r.n_own, confidence(y, r.source)))
             if out:
-                yield pd.concat(out)
+                part, mean, low, high, source, donor, n_own, sure = zip(*out, strict=True)
+                rows = {"part": np.repeat(part, 8), "step": np.tile(np.arange(1, 9), len(part)), "mean": np.concatenate(mean), "p05": np.concatenate(low), "p95": np.concatenate(high)}
+                rows |= {"source": np.repeat(source, 8), "donor": pd.array([d for d in donor for _ in range(8)], "Int64"), "n_own": np.repeat(n_own, 8), "confidence": np.repeat(sure, 8)}
+                yield pd.DataFrame(rows)
 
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("category"))
     series, vectors = weekly(spark, sf_dir), table(spark, sf_dir, "embeddings")
