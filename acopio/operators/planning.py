@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -12,6 +13,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..registry import query
 from ..sources.readers import table
@@ -201,7 +204,10 @@ def sourced_series(parts: DataFrame, series: DataFrame, edges: DataFrame, donors
     rows = rows.join(donors, "part", "left") if donors is not None else rows.withColumn("donor", F.lit(None).cast("long"))
     has_own = F.col("n_own") >= least
     donor = F.coalesce("donor", F.when(~has_own, F.col("found")))
-    rows = rows.withColumn("donor", donor).join(own.select(F.col("part").alias("donor"), F.col("y").alias("y_donor")), "donor", "left").join(category, "category", "left")
+    # Parts without a donor, most of them, are dealt by their own key: a null donor is one key.
+    rows = rows.withColumn("donor", donor).withColumn("deal", F.when(donor.isNull(), F.col("part")))
+    given = own.select(F.col("part").alias("from"), F.col("y").alias("y_donor"), F.lit(None).cast("long").alias("none"))
+    rows = rows.join(given, (F.col("donor") == F.col("from")) & F.col("deal").eqNullSafe(F.col("none")), "left").drop("from", "none", "deal").join(category, "category", "left")
     source = F.when(F.col("donor").isNotNull(), "inherited").when(has_own, "own").when(F.col("y_category").isNotNull(), "category_default").otherwise("trend_only")
     chosen = F.when(F.col("donor").isNotNull(), F.coalesce("y_donor", none)).when(has_own, F.col("y")).otherwise(F.coalesce("y_category", none))
     return rows.select("part", "n_own", chosen.alias("y"), source.alias("source"), "donor")
@@ -232,7 +238,9 @@ def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Only parts of under 12 weeks look for a donor.
     long = series.groupBy(F.col("part").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
     edges = top_k_edges(vectors, "vec_id", "embedding", "label", k=1, wanted=vectors.join(long, "vec_id", "left_anti"))
-    return sourced_series(parts, series, edges).mapInPandas(forecast, "part long, step int, mean double, p05 double, p95 double, source string, donor long, n_own int, confidence double")
+    # The forecasts are the work, not the rows: as many tasks as shuffle partitions, which adaptive execution leaves alone.
+    dealt = sourced_series(parts, series, edges).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
+    return dealt.mapInPandas(forecast, "part long, step int, mean double, p05 double, p95 double, source string, donor long, n_own int, confidence double")
 
 
 class Restriction(NamedTuple):
@@ -243,47 +251,162 @@ class Restriction(NamedTuple):
     limit: float | None = None
 
 
-def _simulated(items: pd.DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, int]]:
-    """Profit, revenue and validity of each simulation of one plan, and violations by norm.
+#: From so many standard deviations of a week on, no week's demand is clipped (a chance of 3 in 10 million).
+CLEAR = 5.0
+#: Items of a plan that one task simulates at once.
+CHUNK = 4096
 
-    Each item has draws of its own, seeded by plan and part, so that results
-    depend neither on partitions nor on the order of rows.
+
+class _Outcome(NamedTuple):
+    """Sums over items for each simulation, and what the whole plan costs."""
+
+    profit: np.ndarray
+    revenue: np.ndarray
+    valid: np.ndarray
+    violations: dict[str, int]
+    total: float
+
+
+@lru_cache(maxsize=4096)
+def _clipped_sum(n: int, step: int) -> np.ndarray:
+    """The sum of n normal numbers of spread 1 and mean step / 32, each clipped at 0, as a function of a normal number, at 1025 points from -5.5 to 5.5.
+
+    The sum's distribution is the n-fold convolution of one week's, on a grid
+    of 8,192 cells.
+    """
+    mean, cells = step / 32, 8192
+    width = n * (mean + 7) / cells
+    below = lambda x: np.array([0.5 * (1 + math.erf(v / math.sqrt(2))) for v in x])
+    edges = (np.arange(cells) + 0.5) * width
+    week = np.diff(below(edges - mean), prepend=0.0)
+    total = np.maximum.accumulate(np.cumsum(np.fft.irfft(np.fft.rfft(week) ** n, cells)))
+    return np.interp(below(np.linspace(-5.5, 5.5, 1025)), total, edges, left=0.0)
+
+
+def _demand_sum(rng: np.random.Generator, x: NamedTuple, n_sims: int, n: int) -> np.ndarray:
+    """Demand of n of an item's weeks: a sum of normal weeks, each clipped at 0.
+
+    Weeks that are never clipped add up to a normal number; else a normal
+    number is bent to the distribution of the sum (interpolated, exact to a
+    hundredth of a week's spread).  Means below 0 are drawn week by week.
+    """
+    weeks = int(x.weeks)
+    unit, mean = x.std / math.sqrt(weeks), x.mean / weeks
+    if mean >= CLEAR * unit:
+        return rng.standard_normal(n_sims, np.float32) * float(unit * math.sqrt(n)) + mean * n
+    if not mean >= 0:
+        return np.maximum(0, rng.standard_normal((n, n_sims)) * unit + mean).sum(0)
+    step, part = divmod(mean / unit * 32, 1)
+    bent = unit * ((1 - part) * _clipped_sum(n, int(step)) + part * _clipped_sum(n, int(step) + 1))
+    place = np.clip((rng.standard_normal(n_sims, np.float32) + np.float32(5.5)) * np.float32(1024 / 11), 0, np.float32(1023.99))
+    cell = place.astype(np.intp)
+    place -= cell
+    return bent[cell] + place * np.diff(bent)[cell]
+
+
+def _weekly_demand(rng: np.random.Generator, x: NamedTuple, n_sims: int, within: int) -> tuple[np.ndarray, np.ndarray | None]:
+    """Demand of all weeks and, if within is not 0, of the first so many."""
+    if not within:
+        return np.asarray(_demand_sum(rng, x, n_sims, int(x.weeks)), float), None
+    early = np.asarray(_demand_sum(rng, x, n_sims, within), float)
+    return early + _demand_sum(rng, x, n_sims, int(x.weeks) - within), early
+
+
+def _keyed(generator: np.random.Generator, seed: int, key: str) -> np.random.Generator:
+    """The generator (of SFC64 bits), set to the start of a key's own draws."""
+    words = np.frombuffer(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=24).digest(), np.uint64)
+    generator.bit_generator.state = {"bit_generator": "SFC64", "state": {"state": np.append(words, np.uint64(1))}, "has_uint32": 0, "uinteger": 0}
+    generator.bit_generator.random_raw(18, output=False)
+    return generator
+
+
+def _simulated(items: pd.DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...]) -> _Outcome:
+    """Profit, revenue and validity of each simulation of a plan's items, and violations by norm; the budget is not looked at.
+
+    Each item has draws of its own, seeded by plan and part, and is added in
+    the order of parts, so that results depend on neither partitions nor the
+    order of rows.
     """
-    profit, revenue, valid = np.zeros(n_sims), np.zeros(n_sims), np.ones(n_sims, bool)
+    profit, revenue, valid, fixed = np.zeros(n_sims), np.zeros(n_sims), np.ones(n_sims, bool), []
     violations: dict[str, int] = {}
+    generator = np.random.Generator(np.random.SFC64(0))
 
     def mark(norm: str, ok: np.ndarray) -> None:
         if not ok.all():
             violations[norm] = violations.get(norm, 0) + int((~ok).sum())
             valid[:] &= ok
 
-    for x in items.itertuples(index=False):
-        key = int.from_bytes(hashlib.blake2b(f"{x.plan}:{x.sku}".encode(), digest_size=8).digest(), "little")
-        weeks = np.random.default_rng((seed, key)).standard_normal((int(x.weeks), n_sims), np.float32)
-        weeks *= np.float32(x.std / math.sqrt(x.weeks))
-        weeks += np.float32(x.mean / x.weeks)
-        np.maximum(weeks, 0, out=weeks)
-        demand = weeks.sum(axis=0, dtype=float)
+    shelf = [r.norm for r in restrictions if r.kind == "no_exceder_dias_validez"]
+    for x in items.sort_values("sku", kind="stable").itertuples(index=False):
+        within = max(1, int(x.shelf_days) // 7) if shelf and x.perishable and not pd.isna(x.shelf_days) else 0
+        demand, early = _weekly_demand(_keyed(generator, seed, f"{x.plan}:{x.sku}"), x, n_sims, within if within < x.weeks else 0)
+        if early is not None:
+            for norm in shelf:
+                mark(norm, early >= x.quantity)
         for r in restrictions:
-            if r.kind == "no_exceder_dias_validez" and x.perishable and not pd.isna(x.shelf_days):
-                within = max(1, int(x.shelf_days) // 7)
-                if within < x.weeks:
-                    mark(r.norm, weeks[:within].sum(axis=0, dtype=float) >= x.quantity)
-            elif r.kind == "cantidad_minima_proveedor":
+            if r.kind == "cantidad_minima_proveedor":
                 least = r.limit if r.limit is not None else getattr(x, "min_order", None)
                 if least is not None and not pd.isna(least):
                     mark(r.norm, np.full(n_sims, x.quantity >= int(least)))
+        # What is left over loses its cost or a share of it, what is missed its margin.
+        lost, margin = x.cost * (1.0 if x.perishable else 0.7), max(0.0, x.price - x.cost)
         sold = np.minimum(demand, x.quantity)
         revenue += sold * x.price
-        profit += sold * x.price - x.quantity * x.cost - (x.quantity - sold) * x.cost * (1.0 if x.perishable else 0.7) - np.maximum(0, demand - x.quantity) * max(0.0, x.price - x.cost)
-    total = float((items["quantity"] * items["cost"]).sum())
-    for r in restrictions:
-        if r.kind == "presupuesto_maximo_pyg" and r.limit is not None:
-            mark(r.norm, np.full(n_sims, total <= r.limit))
-    return profit, revenue, valid, violations
+        sold *= x.price + lost + margin
+        demand *= margin
+        sold -= demand
+        profit += sold
+        fixed.append(x.quantity * (x.cost + lost))
+    return _Outcome(profit - math.fsum(fixed), revenue, valid, violations, math.fsum(items["quantity"] * items["cost"]))
+
+
+def _by_plan(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...], finish: Callable[[pa.Scalar, _Outcome], pa.Table], schema: str, chunk: int = CHUNK) -> DataFrame:
+    """finish(plan, outcome) of each plan.
 
+    Plans of over chunk items are dealt to several tasks, whose sums are added
+    afterwards, in the order of the chunks.
+    """
+    plan = items.schema["plan"].dataType.simpleString()
+    sizes = items.groupBy(F.col("plan").alias("_of")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_chunks"))
+    dealt = items.join(sizes, F.col("plan").eqNullSafe(F.col("_of"))).withColumn("_chunk", F.pmod(F.xxhash64("sku"), "_chunks").cast("int")).drop("_of")
+    sums = {"_chunk": pa.int32(), "_profit": pa.binary(), "_revenue": pa.binary(), "_valid": pa.binary(), "_violations": pa.map_(pa.string(), pa.int64()), "_total": pa.float64()}
 
-def simulate(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...] = ()) -> DataFrame:
+    def closed(key: pa.Scalar, o: _Outcome) -> pa.Table:
+        for r in restrictions:
+            if r.kind == "presupuesto_maximo_pyg" and r.limit is not None and o.total > r.limit:
+                o.violations[r.norm] = o.violations.get(r.norm, 0) + n_sims
+                o.valid[:] = False
+        return finish(key, o)
+
+    def part(rows: pa.Table) -> pa.Table:
+        key, many, place = rows["plan"][0], rows["_chunks"][0].as_py() > 1, rows["_chunk"][0].as_py()
+        o = _simulated(rows.drop_columns(["_chunks", "_chunk"]).to_pandas(), n_sims, seed, restrictions)
+        if not many:
+            done = closed(key, o)
+            return pa.table({c: done[c] for c in done.column_names} | {c: pa.nulls(len(done), kind) for c, kind in sums.items()})
+        told = (place, o.profit.tobytes(), o.revenue.tobytes(), o.valid.tobytes(), list(o.violations.items()), o.total)
+        return pa.table({f.name: rows["plan"].slice(0, 1) if f.name == "plan" else pa.nulls(1, f.type) for f in fields} | {c: pa.array([v], kind) for (c, kind), v in zip(sums.items(), told, strict=True)})
+
+    def whole(rows: pa.Table) -> pa.Table:
+        if not rows["_profit"][0].is_valid:
+            return rows.select([f.name for f in fields])
+        profit, revenue, valid, violations, totals = np.zeros(n_sims), np.zeros(n_sims), np.ones(n_sims, bool), {}, []
+        for r in rows.sort_by("_chunk").select(list(sums)).to_pylist():
+            profit += np.frombuffer(r["_profit"])
+            revenue += np.frombuffer(r["_revenue"])
+            valid &= np.frombuffer(r["_valid"], bool)
+            for norm, n in r["_violations"]:
+                violations[norm] = violations.get(norm, 0) + n
+            totals.append(r["_total"])
+        return closed(rows["plan"][0], _Outcome(profit, revenue, valid, violations, math.fsum(totals)))
+
+    declared = f"plan {plan}, {schema}"
+    fields = to_arrow_schema(StructType.fromDDL(declared))
+    partly = dealt.groupBy("plan", "_chunk").applyInArrow(part, declared + ", _chunk int, _profit binary, _revenue binary, _valid binary, _violations map<string,bigint>, _total double")
+    return partly.groupBy("plan").applyInArrow(whole, declared)
+
+
+def simulate(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """Profit, revenue and validity of each simulation of a plan.
 
     items: plan, sku, quantity, mean, std (both of all weeks), price, cost,
@@ -292,39 +415,35 @@ def simulate(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restr
     missed sales cost their margin.  A simulation is valid if no item and not
     the plan violates a restriction; unknown kinds are ignored.
     """
-    plan = items.schema["plan"].dataType.simpleString()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        profit, revenue, valid, _ = _simulated(pdf, n_sims, seed, restrictions)
-        return pd.DataFrame({"plan": pdf["plan"].iloc[0], "sim": np.arange(n_sims), "profit": profit, "revenue": revenue, "valid": valid})
+    def rows(plan: pa.Scalar, o: _Outcome) -> pa.Table:
+        return pa.table({"plan": pa.repeat(plan, n_sims), "sim": pa.array(np.arange(n_sims, dtype=np.int32)), "profit": o.profit, "revenue": o.revenue, "valid": o.valid})
 
-    return items.groupBy("plan").applyInPandas(run, f"plan {plan}, sim int, profit double, revenue double, valid boolean")
+    return _by_plan(items, n_sims, seed, restrictions, rows, "sim int, profit double, revenue double, valid boolean", chunk)
 
 
-def risk_panel(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...] = ()) -> DataFrame:
+def risk_panel(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...] = (), chunk: int = CHUNK) -> DataFrame:
     """M1, M6: a row for each plan, without its simulations as rows.
 
     The figures of profit are over all simulations (M6).  Those of revenue
     are over the valid ones, null without any (M1), with the number of valid
     ones and of violations by norm.
     """
-    kind = items.schema["plan"].dataType.simpleString()
     names = ("mean", "std", "p05", "p95", "var", "cvar", "sharpe", "p_loss")
     taken = ("revenue_mean", "revenue_p05", "revenue_p50", "revenue_p95")
-    schema = f"plan {kind}, " + ", ".join(f"{c} double" for c in names) + ", n_sims int, n_valid int, total_cost double, " + ", ".join(f"{c} double" for c in taken) + ", violations map<string,long>"
+    schema = ", ".join(f"{c} double" for c in names) + ", n_sims int, n_valid int, total_cost double, " + ", ".join(f"{c} double" for c in taken) + ", violations map<string,bigint>"
 
-    def run(rows: pa.Table) -> pa.Table:
-        pdf = rows.to_pandas()
-        profit, revenue, valid, violations = _simulated(pdf, n_sims, seed, restrictions)
+    def panel(plan: pa.Scalar, o: _Outcome) -> pa.Table:
+        profit, won = o.profit, o.revenue[o.valid]
         cut, high = np.percentile(profit, [5, 95])
         mean, std, tail = profit.mean(), profit.std(), profit[profit <= cut].mean()
         risk = (mean, std, cut, high, max(0.0, -cut), max(0.0, -tail), mean / std if std > 1e-9 else None, (profit < 0).mean())
-        won = (revenue[valid].mean(), *np.percentile(revenue[valid], [5, 50, 95])) if valid.any() else (None,) * 4
+        gained = (won.mean(), *np.percentile(won, [5, 50, 95])) if len(won) else (None,) * 4
         number = lambda x: pa.array([None if x is None else round(float(x), 4)], pa.float64())
-        columns = {"plan": rows["plan"].slice(0, 1)} | {c: number(x) for c, x in zip(names, risk, strict=True)} | {"n_sims": pa.array([n_sims], pa.int32()), "n_valid": pa.array([int(valid.sum())], pa.int32()), "total_cost": number((pdf["quantity"] * pdf["cost"]).sum())}
-        return pa.table(columns | {c: number(x) for c, x in zip(taken, won, strict=True)} | {"violations": pa.array([list(violations.items())], pa.map_(pa.string(), pa.int64()))})
+        columns = {"plan": pa.repeat(plan, 1)} | {c: number(x) for c, x in zip(names, risk, strict=True)} | {"n_sims": pa.array([n_sims], pa.int32()), "n_valid": pa.array([int(o.valid.sum())], pa.int32()), "total_cost": number(o.total)}
+        return pa.table(columns | {c: number(x) for c, x in zip(taken, gained, strict=True)} | {"violations": pa.array([list(o.violations.items())], pa.map_(pa.string(), pa.int64()))})
 
-    return items.groupBy("plan").applyInArrow(run, schema)
+    return _by_plan(items, n_sims, seed, restrictions, panel, schema, chunk)
 
 
 #: Of plan_risk: shelf life, an order minimum of one unit, a budget.
