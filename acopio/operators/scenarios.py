@@ -71,6 +71,11 @@ def perturbed_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perturbed(f, 0.4, {"5": 2.0}, "part").select("part", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Of two columns, as an aggregate; null if one has no variance, where corr() fails."""
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 def nearest_psd(matrix: np.ndarray) -> np.ndarray:
     """M9: eigenvalues lifted to a small positive number, then unit diagonal again."""
     values, vectors = np.linalg.eigh((matrix + matrix.T) / 2)
@@ -99,7 +104,7 @@ def category_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.col("p_type").alias("category"))
     w = weekly(spark, sf_dir).join(part, "part").groupBy("category", (F.col("year") * 100 + F.col("week")).alias("k")).agg(F.sum("units").alias("units"))
     a, b = w.select(F.col("category").alias("a"), "k", F.col("units").alias("x")), w.select(F.col("category").alias("b"), "k", F.col("units").alias("y"))
-    return a.join(b, "k").where("a < b").groupBy("a", "b").agg((F.round(F.corr("x", "y"), 4) + F.lit(0.0)).alias("correlation"))
+    return a.join(b, "k").where("a < b").groupBy("a", "b").agg((F.round(correlation("x", "y"), 4) + F.lit(0.0)).alias("correlation"))
 
 
 @query("""SELECT a.s_suppkey AS supplier, b.s_suppkey AS other, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS place FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey QUALIFY place <= 3""")

@@ -121,14 +121,14 @@ def filled_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH w AS ({_WEEKLY}), o AS (SELECT part, avg(units) AS own FROM w GROUP BY 1), c AS (SELECT p_type, avg(units) AS cat, stddev_pop(units) AS sd FROM w JOIN part ON p_partkey = part GROUP BY 1)
-SELECT p_partkey AS part, round(CASE WHEN own IS NULL AND cat IS NULL THEN 5.0 ELSE greatest(1.0, coalesce(own, cat)) END, 4) AS level, round(1.5 * greatest(coalesce(sd, 1.0), 1.0), 4) AS spread FROM part LEFT JOIN o ON o.part = p_partkey LEFT JOIN c USING (p_type)""")
+SELECT p_partkey AS part, round(CASE WHEN own IS NULL AND cat IS NULL THEN 5.0 ELSE greatest(1.0, coalesce(own, cat)) END, 4) AS level, round(greatest(1.0, 1.5 * coalesce(sd, 2.0)), 4) AS spread FROM part LEFT JOIN o ON o.part = p_partkey LEFT JOIN c USING (p_type)""")
 def cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own mean, else the category's, else 5; spread with its penalty."""
     part, w = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_type"), weekly(spark, sf_dir)
     own = w.groupBy("part").agg(F.avg("units").alias("own"))
     cat = w.join(part, "part").groupBy("p_type").agg(F.avg("units").alias("cat"), F.stddev_pop("units").alias("sd"))
     level = F.when(F.col("own").isNull() & F.col("cat").isNull(), 5.0).otherwise(F.greatest(F.lit(1.0), F.coalesce("own", "cat")))
-    return part.join(own, "part", "left").join(cat, "p_type", "left").select("part", F.round(level, 4).alias("level"), F.round(1.5 * F.greatest(F.coalesce("sd", F.lit(1.0)), F.lit(1.0)), 4).alias("spread"))
+    return part.join(own, "part", "left").join(cat, "p_type", "left").select("part", F.round(level, 4).alias("level"), F.round(F.greatest(F.lit(1.0), 1.5 * F.coalesce("sd", F.lit(2.0))), 4).alias("spread"))
 
 
 def profit_risk(df: DataFrame, keys: list[str], profit: str, alpha: float = 0.95) -> DataFrame:

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 
 from acopio.functions import text as X
 from acopio.operators.catalog import category_substitutes
+from acopio.operators.contracts import by_method, contexts_from_json, correlation_matrix, forecast_faults, intake
 from acopio.operators.planning import Restriction, _weekly_demand, confidence, ets_samples, holt_winters, profiles, risk_panel, simulate, sourced_series, trim_to_budget
 from acopio.operators import scenarios as C
 from acopio.operators.similarity import composite, gower
@@ -220,6 +221,41 @@ def test_sums_of_clipped_weeks():
     assert (_weekly_demand(np.random.default_rng(1), item(5.0, 0.0, 8), 10, 0)[0] == 5).all()
 
 
+def test_methods_of_forecasts(spark):
+    curve = [2.0] * 26 + [0.5] * 26
+    parts = spark.createDataFrame([(1, "A", curve), (2, "A", curve), (3, "A", curve), (4, "B", curve)], "part long, category string, curve array<double>")
+    weeks = [(1, 1 + w // 52, 1 + w % 52, 20.0 + w % 3) for w in range(52)] + [(2, 1, w, 4.0 * w) for w in range(1, 4)]
+    series = spark.createDataFrame(weeks, "part long, year long, week long, units double")
+    got = {r["part"]: r for r in by_method(parts, series, n_samples=20_000).collect()}
+    assert [(got[k]["method"], got[k]["calibrated"]) for k in (1, 2, 3, 4)] == [("ets", True)] + [("categoria_cold_start", False)] * 3
+    assert {r["week"] for r in got.values()} == {1}  # the week after the last one of all series, which is the year's 52nd
+    units = np.array([w[3] for w in weeks])
+    assert 19 < got[1]["mean"] < 23 and got[1]["p5"] <= got[1]["p50"] <= got[1]["p95"]
+    assert abs(got[2]["p50"] - 2 * 8) < 0.3 and abs(got[3]["p50"] - 2 * units.mean()) < 0.3 and np.isclose(got[3]["std"], 1.5 * units.std(), rtol=0.05) and abs(got[4]["p50"] - 2 * 5) < 0.1
+    assert {r["method"] for r in by_method(parts, series.limit(0)).collect()} == {"categoria_cold_start"} and by_method(parts.limit(0), series).count() == 0
+
+
+def test_contracts(spark):
+    shape = "part long, mean array<double>, std array<double>, p5 array<double>, p50 array<double>, p95 array<double>, source string, donor long, n_own int, confidence double"
+    one = ([1.0],) * 5
+    rows = [(1, *one, "own", None, 3, 0.5), (2, [1.0], [], [1.0], None, [1.0, 2.0], "own", None, 0, 1.0), (3, *one, "inherited", None, 0, 0.0), (4, *one, "inherited", 4, 0, 0.2), (5, *one, "inherited", 4, -1, 1.5), (6, *one, None, None, None, None)]
+    got = {r["part"]: r["f"] for r in spark.createDataFrame(rows, shape).select("part", forecast_faults().alias("f")).collect()}
+    assert got == {1: [], 2: ["length of std", "length of p50", "length of p95"], 3: ["donor is missing"], 4: ["donor is the part itself"], 5: ["n_own", "confidence"], 6: ["source", "n_own", "confidence"]}
+    texts = ['{"part": 1, "tipo_sku": "new", "similar_top_k": [{"sku": "a", "score": 0.5}], "evaluated_at": "2026-01-02T03:04:05Z", "eval_deontica": {"permitida": false}}', '{"part": 2, "tipo_sku": "new", "eval_deontica": {}}', '{"part": 3, "tipo_sku": "?"}', "no object", None]
+    read = contexts_from_json(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, json string")).orderBy("k").collect()
+    assert [(r["part"], r["stopped"], r["error"]) for r in read] == [(1, True, None), (2, False, None), (3, False, "tipo_sku"), (None, False, "tipo_sku"), (None, False, "tipo_sku")]
+    assert read[0]["similar_top_k"][0]["score"] == 0.5 and read[0]["evaluated_at"] == datetime.datetime(2026, 1, 2, 3, 4, 5) and read[0]["eval_deontica"]["bloqueada_por"] == [] and read[1]["eval_deontica"]["permitida"]
+    shape = "trend_id string, descripcion string, palabras_clave array<string>, fuente string, fecha_deteccion timestamp, metadata_fuente map<string,string>, velocidad_crecimiento int, confianza_extraccion double, productos_existentes_similares array<struct<sku:int,score:int,nombre:string,categoria:string,precio_referencia:int>>, validado_shacl boolean, provisional boolean, more int"
+    taken = intake(spark.createDataFrame([("t", "d", ["x"], f, None, {}, 2, 0.5, [(7, 1, "n", "c", 3)], True, False, 1) for f in ("PINTEREST", "TUMBLR", None)], shape)).collect()
+    assert [r["fuente"] for r in taken] == ["PINTEREST", "OTHER", "OTHER"] and taken[0]["productos_existentes_similares"][0]["sku"] == "7" and "more" not in taken[0]
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=30), rng.normal(size=30)
+    filled = spark.createDataFrame([(n, 1, w, float(v[w])) for n, v in (("a", x), ("b", x + y), ("c", np.ones(30))) for w in range(30)], "category string, year int, week int, units double")
+    assert np.allclose(correlation_matrix(filled, ["b", "c", "a", "d"]), [[1, 0, np.corrcoef(x, x + y)[0, 1], 0], [0, 1, 0, 0], [np.corrcoef(x, x + y)[0, 1], 0, 1, 0], [0, 0, 0, 1]], atol=1e-6)
+    with pytest.raises(ValueError):
+        correlation_matrix(filled, [str(k) for k in range(2001)])
+
+
 def test_category_substitutes(spark, tmp_path):
     parts = [(k, "A", "x" if k % 2 else "y") for k in range(1, 9)] + [(20, "B", "x"), (21, "B", "y"), (22, "C", "x")]
     spark.createDataFrame(parts, "p_partkey long, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
