@@ -109,7 +109,7 @@ def category_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT a.s_suppkey AS supplier, b.s_suppkey AS other, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS place FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey QUALIFY place <= 3""")
 def nearest_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three suppliers of a supplier's nation with the nearest balance.
+    """The three suppliers of a supplier's nation with the nearest balance.
 
     They are among the three on either side of it in balance order, so a
     window gives them and no pairs are formed.
@@ -122,6 +122,47 @@ def nearest_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("supplier", F.col("n.other").alias("other"), place.alias("place")).where("place <= 3")
 
 
+def similar_rows(rows: DataFrame, k: int = 3) -> DataFrame:
+    """(id, other, place) of the k most similar others of each row: of the same region first, then by difference of reliability, of reputation, and by id.
+
+    rows: id, region, reliability, reputation; none is null.  Classes of equal
+    reliability are ranked; a row looks into its own and k classes on either
+    side, and meets there the k nearest reputations on either side, found by
+    counts in their order, so that no pairs are formed.  Rows of regions with
+    k others or fewer look into all regions too.
+    """
+
+    def near(asked: DataFrame, scope: Column, k: int) -> DataFrame:
+        held, asked = rows.withColumn("scope", scope), asked.withColumn("scope", scope)
+        ranks = held.select("scope", "reliability").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("scope").orderBy("reliability")))
+        keys = ["scope", "rank"]
+        ranked = held.join(ranks, ["scope", "reliability"])
+        probes = asked.join(ranks, ["scope", "reliability"]).withColumn("own", F.col("rank")).withColumn("rank", F.explode(F.sequence(F.col("own") - k, F.col("own") + k))).select(*keys, "id", "region", "reliability", "reputation", F.lit(1).alias("side"))
+        order = Window.partitionBy(*keys).orderBy("reputation", "side").rowsBetween(Window.unboundedPreceding, 0)
+        swept = ranked.select(*keys, "id", "region", "reliability", "reputation", F.lit(0).alias("side")).unionByName(probes).withColumn("seen", F.sum(1 - F.col("side")).over(order)).where("side = 1")
+        # Of equal reputations the smaller ids count as nearer, on both sides.
+        within = Window.partitionBy(*keys)
+        found = ranked.select(*keys, F.col("id").alias("other"), F.col("region").alias("o_region"), F.col("reliability").alias("o_rel"), F.col("reputation").alias("o_rep"), F.row_number().over(within.orderBy("reputation", F.desc("id"))).alias("down"), F.row_number().over(within.orderBy("reputation", "id")).alias("up"))
+        left = swept.withColumn("down", F.explode(F.sequence(F.col("seen") - k, F.col("seen")))).join(found.drop("up"), [*keys, "down"])
+        right = swept.withColumn("up", F.explode(F.sequence(F.col("seen") + 1, F.col("seen") + k))).join(found.drop("down"), [*keys, "up"])
+        pick = ("id", "region", "reliability", "reputation", "other", "o_region", "o_rel", "o_rep")
+        return left.select(*pick).unionByName(right.select(*pick)).where("id <> other")
+
+    small = rows.join(rows.groupBy("region").count().where(F.col("count") <= k).select("region"), "region", "left_semi")
+    both = near(rows, F.col("region"), k).unionByName(near(small, F.lit(0), 2 * k)).dropDuplicates(["id", "other"])
+    order = (F.col("region") != F.col("o_region"), F.abs(F.col("reliability") - F.col("o_rel")), F.abs(F.col("reputation") - F.col("o_rep")), F.col("other"))
+    return both.select("id", "other", F.row_number().over(Window.partitionBy("id").orderBy(*order)).alias("place")).where(F.col("place") <= k)
+
+
+@query("""WITH s AS (SELECT s_suppkey AS id, n_regionkey AS region, s_suppkey % 10 / 10.0::DOUBLE AS rel, s_acctbal AS rep FROM supplier JOIN nation ON n_nationkey = s_nationkey)
+SELECT a.id AS supplier, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY a.region <> b.region, abs(a.rel - b.rel), abs(a.rep - b.rep), b.id) AS place FROM s a JOIN s b ON a.id <> b.id QUALIFY place <= 3""")
+def similar_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reliability is a stand-in, the reputation the balance."""
+    s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = s.select(F.col("s_suppkey").alias("id"), F.col("n_regionkey").alias("region"), (F.col("s_suppkey") % 10 / 10.0).alias("reliability"), F.col("s_acctbal").alias("reputation"))
+    return similar_rows(rows).select(F.col("id").alias("supplier"), "other", "place")
+
+
 def provenance(decided: DataFrame, key: str) -> DataFrame:
     """Decisions as (s, p, o) triples; arrays fan out, nulls are left out."""
     said = F.array(F.struct(F.lit("type").alias("p"), F.lit("Decision").alias("o")), F.struct(F.lit("rule").alias("p"), F.col("rule").alias("o")), F.struct(F.lit("confidence").alias("p"), F.col("confidence").cast("string").alias("o")))

@@ -235,6 +235,16 @@ def test_methods_of_forecasts(spark):
     assert {r["method"] for r in by_method(parts, series.limit(0)).collect()} == {"categoria_cold_start"} and by_method(parts.limit(0), series).count() == 0
 
 
+def test_similar_rows(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, int(min(rng.integers(0, 9), 4)) if k < 56 else 5 + k % 2, float(rng.integers(0, 4)), float(rng.integers(0, 3))) for k in range(60)]
+    want = {a[0]: [b[0] for b in sorted((b for b in rows if b[0] != a[0]), key=lambda b: (a[1] != b[1], abs(a[2] - b[2]), abs(a[3] - b[3]), b[0]))][:3] for a in rows}
+    got = {}
+    for r in C.similar_rows(spark.createDataFrame(rows, "id long, region int, reliability double, reputation double")).orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append(r["other"])
+    assert got == want
+
+
 def test_contracts(spark):
     shape = "part long, mean array<double>, std array<double>, p5 array<double>, p50 array<double>, p95 array<double>, source string, donor long, n_own int, confidence double"
     one = ([1.0],) * 5
