@@ -287,8 +287,8 @@ def _demand_sum(rng: np.random.Generator, x: NamedTuple, n_sims: int, n: int) ->
     """Demand of n of an item's weeks: a sum of normal weeks, each clipped at 0.
 
     Weeks that are never clipped add up to a normal number; else a normal
-    number is bent to the distribution of the sum (interpolated, exact to a
-    hundredth of a week's spread).  Means below 0 are drawn week by week.
+    number is bent to the distribution of the sum (interpolated, off by less
+    than a hundredth of a week's spread).  Means below 0 are drawn week by week.
     """
     weeks = int(x.weeks)
     unit, mean = x.std / math.sqrt(weeks), x.mean / weeks
