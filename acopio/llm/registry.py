@@ -16,10 +16,11 @@ from .packing import op4_best_fit_packing
 from .pii import op1_pii_surrogates
 from .quality_classifier import op5_quality_classifier
 from .quality_rules import op2_quality_rules
+from .repeats import OP11_SQL, op11_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_pii_surrogates, op2_quality_rules, op3_line_dedup, op4_best_fit_packing, op5_quality_classifier, op6_minhash_near_dedup, op7_license_scan, op8_language_id, op9_benchmark_decontamination, op10_html_extraction)
+    for f in (op1_pii_surrogates, op2_quality_rules, op3_line_dedup, op4_best_fit_packing, op5_quality_classifier, op6_minhash_near_dedup, op7_license_scan, op8_language_id, op9_benchmark_decontamination, op10_html_extraction, op11_suffix_dedup)
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_line_dedup": OP3_SQL, "op11_suffix_dedup": OP11_SQL}
