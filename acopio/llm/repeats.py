@@ -43,7 +43,7 @@ from .words import Chunk, chunks, mix
 SIZE = 200
 HASHED = 16  # bytes of the rolling hash
 RADII = (32, 8)  # neighbourhoods of the first and of the second parse
-GROUP = 4096  # anchors of one key that one task compares
+GROUP = 1 << 15  # anchors of one key that one task compares: some 10 MB
 HEAVY = 1024  # keys that have more than one in HEAVY of all rows are dealt to SALTS tasks
 SALTS = 256
 SINGLE, PURE, MIXED, LARGE = range(4)  # one occurrence; one context; several; several, too many to gather
@@ -434,7 +434,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     spans = gone.groupBy("r1", "r2").agg(F.collect_set(F.struct("a", "b")).alias("parts")).select("r1", "r2", F.pandas_udf(_spans, "array<struct<start:long,end:long>>")("parts").alias("spans"))
     others = [c for c in docs.columns if c not in (text_col, "kept", "spans", "n_bytes", "n_removed", "n_spans")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    left = docs.select(F.struct(F.lit(0), *(F.col(c) for c in others)).alias("row"), F.pandas_udf(_pack, "binary")(text).alias("packed"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("r1"), F.crc32(text).alias("r2"))
+    left = docs.select(F.struct(F.lit(0).alias("_" + "".join(others)), *(F.col(c) for c in others)).alias("row"), F.pandas_udf(_pack, "binary")(text).alias("packed"), F.octet_length(text).cast("long").alias("size"), F.xxhash64(F.col(id_col), text).alias("r1"), F.crc32(text).alias("r2"))
     none = F.array().cast("array<struct<start:long,end:long>>")
     out = left.join(spans, ["r1", "r2"], "left").withColumn("spans", F.coalesce("spans", none))
     return out.select(
