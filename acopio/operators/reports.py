@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import trends as X
 from ..plans import affine, restrictions
+from ..plans.inference import closure
 from ..registry import query
 from ..sources.files import signal_errors
 from ..sources.readers import table
@@ -152,17 +153,12 @@ def affine_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH RECURSIVE e AS (SELECT 'customer/' || c_custkey AS child, 'nation/' || c_nationkey AS parent FROM customer UNION ALL SELECT 'nation/' || n_nationkey, 'region/' || n_regionkey FROM nation UNION ALL SELECT 'region/' || r_regionkey, 'world' FROM region),
 t AS (SELECT child AS member, parent AS ancestor, 1 AS hops FROM e UNION ALL SELECT t.member, e.parent, hops + 1 FROM t JOIN e ON e.child = t.ancestor) SELECT member, ancestor, hops FROM t""")
 def transitive_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that each member belongs to; the hierarchy's depth is fixed, so are the joins."""
+    """Everything that each member belongs to, at any depth, and how many steps away it is."""
     t = lambda name: table(spark, sf_dir, name)
     key = lambda kind, c: F.concat(F.lit(f"{kind}/"), F.col(c).cast("string"))
-    edge = lambda df, a, b: df.select(a.alias("member"), b.alias("ancestor"), F.lit(1).alias("hops"))
-    first = edge(t("customer"), key("customer", "c_custkey"), key("nation", "c_nationkey")).unionByName(edge(t("nation"), key("nation", "n_nationkey"), key("region", "n_regionkey"))).unionByName(edge(t("region"), key("region", "r_regionkey"), F.lit("world")))
-    up = first.select(F.col("member").alias("ancestor"), F.col("ancestor").alias("above"))
-    out, level = first, first
-    for _ in range(2):
-        level = level.join(up, "ancestor").select("member", F.col("above").alias("ancestor"), (F.col("hops") + 1).alias("hops"))
-        out = out.unionByName(level)
-    return out
+    edge = lambda df, a, b: df.select(a.alias("member"), b.alias("ancestor"))
+    edges = edge(t("customer"), key("customer", "c_custkey"), key("nation", "c_nationkey")).unionByName(edge(t("nation"), key("nation", "n_nationkey"), key("region", "n_regionkey"))).unionByName(edge(t("region"), key("region", "r_regionkey"), F.lit("world")))
+    return closure(edges)
 
 
 @query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, first_value(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_suppkey, l_partkey, l_linenumber) AS main FROM lineitem)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 TRIPLE = "s string, p string, o string, o_kind string, datatype string, lang string"
 XSD, RDF = "http://www.w3.org/2001/XMLSchema#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
 _TOKEN = re.compile(
-    r'\s+|#[^\n]*|(?P<text>"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*")|(?P<uri><[^>\s]*>)|(?P<word>@prefix|@base|PREFIX\b|BASE\b)|(?P<lang>@[A-Za-z-]+)|(?P<mark>\^\^|[;,\[\]]|\.(?!\w))'
+    r'\s+|#[^\n]*|(?P<text>"""(?:[^\\]|\\.)*?"""|"(?:[^"\\\n]|\\.)*")|(?P<uri><[^>\s]*>)|(?P<word>@prefix|@base|PREFIX\b|BASE\b)|(?P<lang>@[A-Za-z-]+)|(?P<mark>\^\^|[;,\[\]()]|\.(?!\w))'
     r"|(?P<number>[+-]?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<name>_:[\w-]+|(?:[\w-]+(?:\.[\w-]+)*)?:[\w%-]*(?:\.[\w%-]+)*|a\b|true\b|false\b)",
     re.S,
 )
@@ -33,7 +33,7 @@ def _tokens(text: str) -> Iterator[tuple[str, str]]:
 
 
 def parse_turtle(text: str) -> list[tuple]:
-    """(s, p, o, kind, datatype, language); prefixes, lists by ; and , and nested [] are read, collections are not."""
+    """(s, p, o, kind, datatype, language); prefixes, lists by ; and , nested [] and collections (rdf:first, rdf:rest) are read."""
     todo, at, prefixes, base, out, blanks = [*_tokens(text), ("end", "")], 0, {}, "", [], 0
 
     def take(want: str | None = None) -> tuple[str, str]:
@@ -75,6 +75,19 @@ def parse_turtle(text: str) -> list[tuple]:
             facts(node, "]")
             take("]")
             return node, "uri", None, None
+        if value == "(":
+            head = last = None
+            while todo[at][1] != ")":
+                blanks += 1
+                node = f"_:n{blanks}"
+                if last:
+                    out.append((last, f"{RDF}rest", node, "uri", None, None))
+                head, last = head or node, node
+                out.append((node, f"{RDF}first", *term()))
+            take(")")
+            if last:
+                out.append((last, f"{RDF}rest", f"{RDF}nil", "uri", None, None))
+            return head or f"{RDF}nil", "uri", None, None
         raise TurtleError(f"{value!r} is no term")
 
     def facts(subject: str, end: str) -> None:
