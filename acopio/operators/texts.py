@@ -71,7 +71,7 @@ UNION ALL SELECT 'supplier_balance', s_suppkey::VARCHAR, 'negative balance' FROM
 UNION ALL SELECT 'line_key', l_orderkey || '-' || l_linenumber, 'key is not unique' FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 UNION ALL SELECT 'order_customer', o_orderkey::VARCHAR, 'unknown customer' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
 def shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q1, Q2, Q6, Q11, Q18: each shape is a query for its violations."""
+    """Q11, Q18: each rule is a query for its violations."""
     t = lambda n: table(spark, sf_dir, n)
     row = lambda df, shape, node, message: df.select(F.lit(shape).alias("shape"), node.cast("string").alias("node"), F.lit(message).alias("message"))
     out = row(t("part").where("p_size not between 2 and 48"), "part_size", F.col("p_partkey"), "size out of range")
@@ -84,7 +84,7 @@ def shape_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, array_to_string(list_filter([CASE WHEN value < 0 THEN 'value below 0' END, CASE WHEN value > 90 THEN 'value over 90' END, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'unknown type' END, CASE WHEN user_id % 10 = 0 THEN 'blocked user' END], lambda x: x IS NOT NULL), '; ') AS messages FROM events""")
 def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q7-Q9, Q14, Q16, Q20: the rules each row breaks, as messages."""
+    """The rules each row breaks, as messages."""
     broken = F.array(F.when(F.col("value") < 0, "value below 0"), F.when(F.col("value") > 90, "value over 90"), F.when(~F.col("event_type").isin("click", "view", "purchase"), "unknown type"), F.when(F.col("user_id") % 10 == 0, "blocked user"))
     return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_compact(broken), "; ").alias("messages"))
 
@@ -166,7 +166,7 @@ def graph_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH f AS (SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN p_type = 'PROMO' END AS perishable, CASE WHEN p_size % 7 <> 0 THEN p_size > 25 END AS fast, CASE WHEN p_size % 3 <> 0 THEN p_size > 10 END AS history FROM part)
 SELECT p_partkey, array_to_string(list_filter([CASE WHEN fast THEN 'AltaRotacion' END, CASE WHEN NOT history THEN 'ColdStart' END, CASE WHEN perishable OR fast THEN 'Critico' END, CASE WHEN perishable THEN 'Perecedero' END], lambda x: x IS NOT NULL), ',') AS classes FROM f""")
 def derived_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Class membership in an open world; a null flag belongs nowhere."""
+    """Class membership in an open world; a null flag belongs nowhere."""
     size = F.col("p_size")
     flags = table(spark, sf_dir, "part").select("p_partkey", F.when(size % 5 != 0, F.col("p_type") == "PROMO").alias("perishable"), F.when(size % 7 != 0, size > 25).alias("fast"), F.when(size % 3 != 0, size > 10).alias("history"))
     held = F.array(F.when(F.col("fast"), "AltaRotacion"), F.when(~F.col("history"), "ColdStart"), F.when(F.col("perishable") | F.col("fast"), "Critico"), F.when(F.col("perishable"), "Perecedero"))

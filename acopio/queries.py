@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from .operators import catalog, contracts, decisions, matching, planning, reasoning, recommend, reports, robust, scenarios, similarity, texts, weekly  # noqa: F401
+from .operators import catalog, contracts, decisions, matching, planning, reasoning, recommend, reports, robust, scenarios, similarity, texts, validation, weekly  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES  # noqa: F401
