@@ -59,7 +59,7 @@ def robust_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     menu = written(robust.lots(wanted, held), "lots")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("plan"), F.floor(F.col("o_totalprice") * 60).cast("long").alias("budget"))
     bounds = robust.limits(menu, orders)
-    state = written(robust.bounded(menu, bounds, steps=4), "bounded")
+    state = written(robust.bounded(menu, bounds, steps=2), "bounded")
     best = robust.chosen(robust.closed(menu, bounds, state))
     met = state.groupBy("plan").agg(F.min("found").alias("found"))
     offered = wanted.join(held.select("sku").distinct(), "sku", "left_semi").select("plan").distinct().withColumn("offered", F.lit(True))

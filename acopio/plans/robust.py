@@ -18,7 +18,10 @@ objective in 1/10,000 of that.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -161,30 +164,31 @@ def bounded(menu: DataFrame, bounds: DataFrame, steps: int = STEPS) -> DataFrame
 def closed(menu: DataFrame, bounds: DataFrame, state: DataFrame, exact: int = EXACT) -> DataFrame:
     """The best plan of each plan and policy with at most exact combinations of lots; those without one are left out.
 
-    A combination that, at the best prices, cannot come under the best plan
-    found so far is dropped as soon as that shows.  Of equal plans the one with
-    the smaller lots in the order of sku wins.
+    Lots are multiplied out part by part.  A combination goes as soon as the
+    least that its other parts add breaks a constraint, or, at the best prices,
+    brings it over the best plan found so far.  Of equal plans the one with the
+    smaller lots in the order of sku wins.
     """
     reduced = F.col("obj") + sum((F.col(f"best{k}") * F.col(a) / F.col(f"s{k}") for k, a in enumerate(AMOUNTS, 1)), F.lit(0.0))
     held = menu.join(state.drop(*(f"l{k}" for k in range(1, 5))), list(KEYS)).withColumn("reduced", reduced)
-    lot = F.struct("share", "reduced", "obj", *AMOUNTS, "short")
-    parts = held.groupBy(*KEYS, "sku").agg(F.array_sort(F.collect_list(lot)).alias("lots"))
-    plans = parts.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("sku", "lots"))).alias("parts"), F.aggregate(F.collect_list(F.size("lots").cast("double")), F.lit(1.0), lambda x, y: x * y).alias("combinations"))
-    plans = plans.where(F.col("combinations") <= exact).join(state, list(KEYS)).join(bounds.select(*KEYS, "target", "n_parts", "budget"), list(KEYS))
-    least = lambda p: F.array_min(F.transform(p["lots"], lambda o: o["reduced"]))
-    # What the parts from each one on cost at least.
-    rest = F.reverse(F.aggregate(F.reverse("parts"), F.array(F.lit(0.0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + least(p)))))
-    plans = plans.withColumn("rest", rest).withColumn("ceiling", F.coalesce(F.col("found").cast("double") * (1 + 1e-9) + 1, F.lit(float("inf"))) + sum((F.col(f"best{k}") * F.col(f"b{k}") / F.col(f"s{k}") for k in range(1, 5)), F.lit(0.0)))
-    zero = F.lit(0).cast("long")
-    start = F.array(F.struct(zero.alias("obj"), F.expr("cast(array() as array<int>)").alias("shares"), *(zero.alias(a) for a in AMOUNTS), zero.alias("short"), F.lit(0.0).alias("reduced")))
-
-    def grow(acc: Column, p: Column) -> Column:
-        done = F.flatten(F.transform(acc, lambda s: F.transform(p["lots"], lambda o: F.struct(
-            (s["obj"] + o["obj"]).alias("obj"), F.concat(s["shares"], F.array(o["share"])).alias("shares"), *((s[a] + o[a]).alias(a) for a in AMOUNTS), (s["short"] + o["short"]).alias("short"), (s["reduced"] + o["reduced"]).alias("reduced")))))
-        return F.filter(done, lambda s: s["reduced"] + F.element_at(F.col("rest"), F.size(s["shares"]) + 1) <= F.col("ceiling"))
-
-    fits = F.filter(F.aggregate("parts", start, grow), lambda s: F.forall(F.array(*((s[a] <= F.col(f"b{k}")) for k, a in enumerate(AMOUNTS, 1))), lambda x: x))
-    return plans.withColumn("best", F.array_min(fits)).where("best is not null").select(*KEYS, "target", "n_parts", "budget", "bound", "best.*", F.transform("parts", lambda p: p["sku"]).alias("skus")).drop("reduced")
+    part = held.groupBy(*KEYS, "sku").agg(F.min("reduced").alias("least0"), *(F.min(a).alias(f"least{k}") for k, a in enumerate(AMOUNTS, 1)), F.log(F.count(F.lit(1))).alias("size"))
+    place, after = Window.partitionBy(*KEYS).orderBy("sku"), Window.partitionBy(*KEYS).orderBy("sku").rowsBetween(1, Window.unboundedFollowing)
+    part = part.select(*KEYS, "sku", F.row_number().over(place).alias("place"), F.sum("size").over(Window.partitionBy(*KEYS)).alias("size"), *(F.coalesce(F.sum(f"least{k}").over(after), F.lit(0)).alias(f"later{k}") for k in range(5)))
+    part = part.where(F.col("size") <= math.log(exact) + 1e-9).drop("size")
+    ceiling = F.coalesce(F.col("found").cast("double") * (1 + 1e-9) + 1, F.lit(float("inf"))) + sum((F.col(f"best{k}") * F.col(f"b{k}") / F.col(f"s{k}") for k in range(1, 5)), F.lit(0.0))
+    names = ("obj", "short", "reduced", *AMOUNTS)
+    lots = held.join(part, [*KEYS, "sku"]).select(*KEYS, "place", F.lpad(F.col("share").cast("string"), 3, "0").alias("code"), *names, (ceiling - F.col("later0")).alias("room0"), *((F.col(f"b{k}") - F.col(f"later{k}")).alias(f"room{k}") for k in range(1, 5)))
+    lots = written(lots, "places")
+    grown = lots.where("place = 1").select(*KEYS, "code", *names, *(f"room{k}" for k in range(5)))
+    fits = (F.col("reduced") <= F.col("room0")) & reduce(and_, (F.col(a) <= F.col(f"room{k}") for k, a in enumerate(AMOUNTS, 1)))
+    grown = grown.where(fits)
+    for p in range(2, (lots.agg(F.max("place")).first()[0] or 0) + 1):
+        # Plans that are done have no lot at this place and stay as they are.
+        here = lots.where(F.col("place") == p).select(*KEYS, *(F.col(c).alias(f"new_{c}") for c in ("code", *names, *(f"room{k}" for k in range(5)))))
+        zero = lambda c: F.coalesce(F.col(f"new_{c}"), F.lit(0))
+        grown = grown.join(here, list(KEYS), "left").select(*KEYS, F.concat("code", F.coalesce("new_code", F.lit(""))).alias("code"), *((F.col(c) + zero(c)).alias(c) for c in names), *(F.coalesce(f"new_room{k}", f"room{k}").alias(f"room{k}") for k in range(5))).where(fits)
+    best = grown.groupBy(*KEYS).agg(F.min(F.struct("obj", "code", *AMOUNTS, "short")).alias("best"))
+    return best.join(bounds.select(*KEYS, "target", "n_parts", "budget"), list(KEYS)).join(state.select(*KEYS, "bound"), list(KEYS)).select(*KEYS, "target", "n_parts", "budget", "bound", "best.*")
 
 
 def chosen(solved: DataFrame, policies: tuple[Policy, ...] = POLICIES, wanted: Policy = NOMINAL) -> DataFrame:
