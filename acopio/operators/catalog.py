@@ -57,7 +57,7 @@ def card(customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame
 @query("""SELECT c_custkey, trim(c_name) AS name, n_name AS nation, r_name AS region FROM customer
 LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
 def hierarchy_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Outer hierarchy of each customer."""
+    """Outer hierarchy of each customer."""
     return card(*(table(spark, sf_dir, t) for t in ("customer", "nation", "region")))
 
 

@@ -16,7 +16,7 @@ FROM lineitem GROUP BY 1, 2), x AS (SELECT d.*, p_size, p_type, s_nationkey, cou
 
 
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One purchase decision for each part and supplier, built from the tables."""
+    """One purchase decision for each part and supplier, built from the tables."""
     d = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier")).agg(F.max("l_extendedprice").alias("monto_usd"), F.max("l_quantity").alias("cantidad"), (F.max("l_discount") * 200).alias("descuento_volumen_pct"), F.count(F.lit(1)).alias("n"), F.min("l_linenumber").alias("line"))
     n_suppliers = d.groupBy("part").agg(F.count(F.lit(1)).alias("proveedores_disponibles"))
     x = d.join(n_suppliers, "part").join(table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "part"), "part").join(table(spark, sf_dir, "supplier").withColumnRenamed("s_suppkey", "supplier"), "supplier")

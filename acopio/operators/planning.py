@@ -90,7 +90,7 @@ def operator_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH i AS (SELECT l_orderkey AS plan, l_partkey AS sku, l_suppkey AS supplier, l_quantity AS q, l_extendedprice AS cost, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS tq, sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS tc FROM lineitem)
 SELECT plan, 'evento:' || plan AS source, 'sku:' || sku AS target, 'AFECTA' AS kind, round(sum(q) / max(tq), 4) AS weight FROM i GROUP BY 1, 2, 3 UNION ALL SELECT plan, 'sku:' || sku, 'prov:' || supplier, 'PROVEIDO_POR', round(sum(cost) / max(tc), 4) FROM i GROUP BY 1, 2, 3""")
 def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges event -> part by quantity and part -> supplier by cost, with one pass for the totals."""
+    """Edges event -> part by quantity and part -> supplier by cost, with one pass for the totals."""
     lines = table(spark, sf_dir, "lineitem")
     totals = Window.partitionBy("l_orderkey")
     i = lines.select(F.col("l_orderkey").alias("plan"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.sum("l_quantity").over(totals).alias("tq"), F.sum("l_extendedprice").over(totals).alias("tc"))
@@ -215,7 +215,7 @@ def sourced_series(parts: DataFrame, series: DataFrame, edges: DataFrame, donors
 
 @query()
 def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eight weeks ahead of each part of the catalogue, with the band of seeded samples.  Rows only."""
+    """Eight weeks ahead of each part of the catalogue, with the band of seeded samples.  Rows only."""
     from .similarity import top_k_edges
 
     def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

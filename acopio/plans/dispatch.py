@@ -96,7 +96,7 @@ def dispatch(contexts: DataFrame, rules: tuple[Rule, ...] = RULES, blocked: Colu
     for r in sorted(rules, key=lambda r: (-r.priority, r.id)):
         held = F.lit(True)
         for text in r.when:
-            held &= F.coalesce(compile_column(text, names).cast("boolean"), F.lit(False))
+            held &= F.coalesce(compile_column(text, names).try_cast("boolean"), F.lit(False))
         fires.append((r, held))
     stopped = F.coalesce(blocked, F.lit(False)) if blocked is not None else F.lit(False)
     pick = lambda value: _case([(stopped, F.lit(None)), *((held, value(r)) for r, held in fires)])

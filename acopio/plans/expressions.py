@@ -1,6 +1,7 @@
 """Safe expressions: a small part of Python's syntax, compiled once to Spark columns or run on dictionaries.
 
-B6, B7, B8.  Names are bound to columns; attributes are struct fields.
+B6, B7, B8.  Names are bound to columns; attributes are struct fields.  What
+cannot be converted is null, which rules and norms take for false.
 """
 
 from __future__ import annotations
@@ -12,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NODES = (ast.Expression, ast.BoolOp, ast.And, ast.Or, ast.UnaryOp, ast.Not, ast.USub, ast.UAdd, ast.Compare, ast.Eq, ast.NotEq, ast.Lt, ast.LtE, ast.Gt, ast.GtE, ast.In, ast.NotIn, ast.Is, ast.IsNot, ast.IfExp, ast.Name, ast.Attribute, ast.Constant, ast.List, ast.Tuple, ast.Set, ast.Dict, ast.Subscript, ast.Slice, ast.Call, ast.Load)
-_CALLS = {"abs": F.abs, "min": lambda *a: F.least(*a), "max": lambda *a: F.greatest(*a), "len": F.size, "round": F.bround, "float": lambda c: c.cast("double"), "int": lambda c: c.cast("long"), "str": lambda c: c.cast("string"), "bool": lambda c: c.cast("boolean"),
-          "sum": lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double")), "any": lambda a: F.exists(a, lambda x: x.cast("boolean")), "all": lambda a: F.forall(a, lambda x: x.cast("boolean"))}
+_CALLS = {"abs": F.abs, "min": lambda *a: F.least(*a), "max": lambda *a: F.greatest(*a), "len": F.size, "round": F.bround, "float": lambda c: c.try_cast("double"), "int": lambda c: c.try_cast("long"), "str": lambda c: c.cast("string"), "bool": lambda c: c.try_cast("boolean"),
+          "sum": lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.try_cast("double")), "any": lambda a: F.exists(a, lambda x: x.try_cast("boolean")), "all": lambda a: F.forall(a, lambda x: x.try_cast("boolean"))}
 
 
 TEMPLATE = re.compile(r"\s*\{\{(.+)\}\}\s*", re.S)
