@@ -9,8 +9,13 @@ a word and, by a random bit that depends on step and word, moves on or stays,
 which turns edit distance into Hamming distance.  Windows and items that agree
 in a few sampled steps of a walk are candidates; walks and samples repeat as
 often as a simulation with that many edits, and with the windows as they are
-found (below; off by some words), needs for the target recall.  Exact edit
-distance decides.
+found (below; off by some words), needs for the target recall.  There is one
+simulation for each class of lengths (CLASSES), whatever the benchmark.  Exact
+edit distance decides.
+
+Longer items, and those for which WALKS walks would not reach the recall, need
+no walks: every window that holds enough of an item's words is verified, and
+windows that overlap are verified as one stretch.
 
 Which windows are walked: an item with at most k edits, cut into k + 1 parts,
 has at least one part left unchanged, so only windows around an occurrence of
@@ -37,7 +42,9 @@ from .common import materialise, table
 from .words import chunks, mix, windows
 
 MAX_EDITS, RECALL, SAMPLED, MIN_WORDS, BLOCK = 0.2, 0.99, 3, 8, 16_000_000
-WALKS = 256  # a simulation that needs more is an error
+WALKS = 256  # lengths that need more are verified without walks
+CLASSES = (8, 12, 16, 24, 32, 48, 64)  # an item has the walks of the next of these lengths; longer ones have none
+CELLS = 1 << 21  # words of contexts that are held at once
 _END = np.uint64(0)
 
 _WORD = np.zeros(256, bool)
@@ -93,26 +100,52 @@ class Index:
                     self.words.append(own)
                     self.edits.append(int(max_edits * len(own) + 1e-9) if len(own) >= min_words else 0)
         self.max_edits, self.recall, self.sampled = max_edits, recall, sampled
-        parts = defaultdict(list)  # part length -> (hash, item length, place in the item)
         self.by_length = defaultdict(list)
+        for k, own in enumerate(self.words):
+            self.by_length[len(own)].append(k)
+        plans: dict[int, list | None] = {}
+        self.tables, self.whole = {}, set()  # lengths with walks; items without
+        for n, own in self.by_length.items():
+            size = min((c for c in CLASSES if c >= n), default=None)
+            if size is not None and size not in plans:
+                plans[size] = self._repetitions(size, int(max_edits * size + 1e-9) if size >= min_words else 0)
+            if size is None or plans[size] is None:
+                self.whole.update(own)
+            else:
+                self.tables[n] = self._table(n, plans[size])
+        parts, whole_parts = defaultdict(list), defaultdict(list)  # part length -> (hash, item length or item, place in the item)
         for k, (own, edits) in enumerate(zip(self.words, self.edits, strict=True)):
             size = len(own) // (edits + 1)
             h, at = windows(own, np.zeros(len(own), int), size)
-            parts[size] += [(int(h[p * size]), len(own), p * size) for p in range(edits + 1)]
-            self.by_length[len(own)].append(k)
-        self.parts = {}
-        for size, found in parts.items():
-            found = sorted(set(found))
-            keys = np.array([f[0] for f in found], np.uint64)
-            seen = np.zeros(1 << 20, bool)
-            seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.parts[size] = keys, np.array([f[1:] for f in found], np.int64), seen
-        self.tables = {n: self._table(n) for n in self.by_length}
-
-    def _table(self, n: int) -> tuple[list[tuple[int, list[np.ndarray]]], list[dict[int, list[int]]]]:
+            (whole_parts if k in self.whole else parts)[size] += [(int(h[p * size]), k if k in self.whole else len(own), p * size) for p in range(edits + 1)]
+        self.parts, self.whole_parts = ({size: self._sorted(found) for size, found in x.items()} for x in (parts, whole_parts))
+        self.bags = {k: np.unique(self.words[k]) for k in self.whole}
+
+    @staticmethod
+    def _sorted(found: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys in order, what they stand for, and a filter of them."""
+        found = sorted(set(found))
+        keys = np.array([f[0] for f in found], np.uint64)
+        seen = np.zeros(1 << 20, bool)
+        seen[(keys & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        return keys, np.array([f[1:] for f in found], np.int64), seen
+
+    @staticmethod
+    def _hits(held: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which hashes are keys, and a row of what the key stands for, for each of its rows."""
+        keys, values, seen = held
+        near = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
+        low, high = np.searchsorted(keys, h[near], "left"), np.searchsorted(keys, h[near], "right")
+        n = high - low
+        which = np.repeat(np.arange(len(near)), n)
+        return near[which], values[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]]
+
+    def _table(self, n: int, plan: list[tuple[int, list[np.ndarray]]]) -> tuple[list[tuple[int, list[np.ndarray]]], list[dict[int, list[int]]]]:
         """The (seed, sampled steps) repetitions for items of n words, and key -> items for each repetition."""
         items = np.stack([self.words[k] for k in self.by_length[n]])
-        plan = self._repetitions(n, items)
+        # Steps were drawn for the class; a shorter item takes them in proportion.
+        size = min(c for c in CLASSES if c >= n)
+        plan = [(seed, [steps * n // size for steps in groups]) for seed, groups in plan]
         tables = []
         for seed, groups in plan:
             walked = walk(items, seed)
@@ -123,16 +156,15 @@ class Index:
                 tables.append(dict(table))
         return plan, tables
 
-    def _repetitions(self, n: int, items: np.ndarray, draws: int = 192, per_walk: int = 4) -> list[tuple[int, list[np.ndarray]]]:
-        """As many walks, with per_walk samples each, as reach the recall for items with all allowed edits.
+    def _repetitions(self, n: int, edits: int, draws: int = 192, per_walk: int = 4) -> list[tuple[int, list[np.ndarray]]] | None:
+        """As many walks, with per_walk samples each, as reach the recall for items of n words with all allowed edits; None if WALKS do not.
 
         A drawn item is edited and put among other words; what is walked are
         the windows that its unchanged parts give, as in windows_near().
         """
         draw = np.random.default_rng(n)
-        edits = self.edits[self.by_length[n][0]]
         size, pad = n // (edits + 1), n + edits
-        base = items[draw.integers(0, len(items), draws)]
+        base = np.stack([_fresh(n, draw) for _ in range(draws)])
         of, rows = [], []
         for k, x in enumerate(base):
             text = np.concatenate((_fresh(pad, draw), _edited(x, edits, draw), _fresh(pad, draw)))
@@ -145,7 +177,7 @@ class Index:
         met, plan = np.zeros(draws, bool), []
         while met.mean() < self.recall or len(plan) < 4:
             if len(plan) == WALKS:
-                raise ValueError(f"{WALKS} walks find only {met.mean():.3f} of the edited items of {n} words; allow fewer edits or sample fewer steps")
+                return None
             seed = len(plan) + 1
             groups = [np.sort(draw.choice(2 * n, min(self.sampled, 2 * n), replace=False)) for _ in range(per_walk)]
             a, b = walk(base, seed), walk(near, seed)
@@ -158,29 +190,60 @@ class Index:
         """Item length; documents, first words and contexts of the windows around parts of items.
 
         A context is the window and as many words on both sides as edits are
-        allowed; places outside the document are 2, which is no word.
+        allowed; places outside the document are 2, which is no word.  Contexts
+        come in blocks of CELLS words at most.
         """
         starts = []  # document, item length, first word of the window in the document
-        for size, (keys, values, seen) in self.parts.items():
+        for size, held in self.parts.items():
             h, at = windows(words, docs, size)
-            near = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            low, high = np.searchsorted(keys, h[near], "left"), np.searchsorted(keys, h[near], "right")
-            n = high - low
-            if n.sum():
-                which = np.repeat(np.arange(len(near)), n)
-                place = values[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]]
-                word = at[near][which]
+            near, place = self._hits(held, h)
+            if len(near):
+                word = at[near]
                 starts.append((place[:, 0] << 44) | ((word - place[:, 1] + (1 << 20)) << 12) | docs[word])
         if not starts:
             return
         found = np.unique(np.concatenate(starts))
         length, start, of = found >> 44, ((found >> 12) & ((1 << 32) - 1)) - (1 << 20), found & 0xFFF
         for n in np.unique(length).tolist():
-            own = length == n
-            doc, at, edits = of[own], start[own], self.edits[self.by_length[n][0]]
-            place = at[:, None] + np.arange(-edits, n + edits)
-            inside = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
-            yield n, doc, at - first[doc], np.where(inside, words[np.where(inside, place, 0)], np.uint64(2))
+            own, edits = np.flatnonzero(length == n), self.edits[self.by_length[n][0]]
+            for some in np.array_split(own, 1 + len(own) * (n + 2 * edits) // CELLS):
+                doc, at = of[some], start[some]
+                place = at[:, None] + np.arange(-edits, n + edits)
+                inside = (place >= first[doc][:, None]) & (place < first[doc + 1][:, None])
+                yield n, doc, at - first[doc], np.where(inside, words[np.where(inside, place, 0)], np.uint64(2))
+
+    def whole_near(self, words: np.ndarray, docs: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+        """Document, item, and (least edits, stretch) for the items without walks.
+
+        Starts of windows around unchanged parts are merged where the windows
+        overlap.  A stretch is verified where some place of it has, within an
+        item's words and edits, as many words of the item as must be left.
+        """
+        starts = defaultdict(list)
+        for size, held in self.whole_parts.items():
+            h, at = windows(words, docs, size)
+            near, value = self._hits(held, h)
+            for k in np.unique(value[:, 0]).tolist():
+                own = value[:, 0] == k
+                starts[k].append(np.stack((docs[at[near[own]]], at[near[own]] - value[own, 1])))
+        for k, found in starts.items():
+            n, edits = len(self.words[k]), self.edits[k]
+            of, at = np.unique(np.concatenate(found, axis=1), axis=1)
+            low, high = np.maximum(at - edits, first[of]), np.minimum(at + n + edits, first[of + 1])
+            new = np.ones(len(of), bool)
+            new[1:] = (of[1:] != of[:-1]) | (low[1:] > np.maximum.accumulate(high)[:-1])
+            head = np.flatnonzero(new)
+            for a, b in zip(head.tolist(), [*head[1:].tolist(), len(of)], strict=True):
+                doc, begin, end = int(of[a]), int(low[a]), int(high[a:b].max())
+                text = words[begin:end]
+                in_item = np.concatenate(([0], np.cumsum(np.isin(text, self.bags[k]))))
+                width = min(n + edits, len(text))  # a match has at most so many words
+                if (in_item[width:] - in_item[: len(in_item) - width]).max() < n - edits:
+                    continue
+                cost, x, y = edit_distance(self.words[k], text)
+                if cost <= edits:
+                    shift = begin - int(first[doc])
+                    yield doc, k, (cost, shift + x, shift + y)
 
     def decide(self, found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(document, item) -> least edits and the stretch (word places in the document)."""
@@ -253,15 +316,19 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block: int) ->
 
 def _matcher(index: Index) -> Callable:
     def scan(texts: pa.Array) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
-        found = defaultdict(list)
         for c in chunks(texts, lower=True):
             starts, ends, docs = c.spans(_WORD[c.buf])
             words = c.hashes(starts, ends) | np.uint64(1)
             first = np.searchsorted(docs, np.arange(c.n + 1))
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for n, of, at, context in index.windows_near(words, docs, first):
-                found[n].append((of + c.first, at, context))
-        for (doc, item), match in index.decide(found).items():
-            yield doc, item, match
+                for key, match in index.decide({n: [(of + c.first, at, context)]}).items():
+                    best[key] = min(best.get(key, match), match)
+            for doc, item, match in index.whole_near(words, docs, first):
+                key = (doc + c.first, item)
+                best[key] = min(best.get(key, match), match)
+            for (doc, item), match in best.items():
+                yield doc, item, match
 
     return scan
 
