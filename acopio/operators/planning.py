@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import product
 from typing import NamedTuple
 
 import numpy as np
@@ -100,45 +101,80 @@ def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("plan", "e.source", "e.target", "e.kind").agg(F.round(F.sum("e.x") / F.max("e.t"), 4).alias("weight"))
 
 
-def _smoothed(y: np.ndarray, steps: int, m: int, multiplicative: bool, rates: tuple[float, float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Means ahead (steps) and residuals (n) of each series in y (n, or series x n), with the rates of a small grid that have the least squared error; m is the season's length, 0 for none.
+def smoothed(y: np.ndarray, m: int, multiplicative: bool, rates: np.ndarray, steps: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Squared error, means ahead (steps) and residuals of each series in y (series x n), smoothed with its row of rates (level, trend, season); m is the season's length, 0 for none.
 
     The recursion goes over the points once for all series together.
     """
-    rows = np.atleast_2d(y).astype(float)
-    count, n = rows.shape
-    best, means, residuals = np.full(count, np.inf), np.zeros((count, steps)), np.zeros((count, n))
-    for alpha in (0.1, rates[0], 0.6):
-        for beta in ((0.0, rates[1]) if n >= 8 else (0.0,)):
-            level = rows[:, : m or 1].mean(1)
-            trend = (rows[:, m : 2 * m].mean(1) - rows[:, :m].mean(1)) / m if m else np.zeros(count)
-            index = (rows[:, :m] / level[:, None] if multiplicative else rows[:, :m] - level[:, None]) if m else np.zeros((count, 1))
-            errors = np.empty((count, n))
-            for t in range(n):
-                s, base = index[:, t % (m or 1)].copy(), level + trend
-                if m and multiplicative:
-                    e = rows[:, t] - base * s
-                    level, trend = base + alpha * e / np.maximum(s, 1e-6), trend + alpha * beta * e / np.maximum(s, 1e-6)
-                    index[:, t % m] = s + rates[2] * (1 - alpha) * e / np.maximum(base, 1e-6)
-                else:
-                    e = rows[:, t] - (base + s)
-                    level, trend = base + alpha * e, trend + alpha * beta * e
-                    if m:
-                        index[:, t % m] = s + rates[2] * (1 - alpha) * e
-                errors[:, t] = e
-            sse = np.square(errors).sum(1)
-            ahead = level[:, None] + trend[:, None] * np.arange(1, steps + 1)
+    count, n = y.shape
+    alpha, beta, gamma = rates.T
+    level = y[:, : m or 1].mean(1)
+    trend = (y[:, m : 2 * m].mean(1) - y[:, :m].mean(1)) / m if m else np.zeros(count)
+    index = (y[:, :m] / level[:, None] if multiplicative else y[:, :m] - level[:, None]) if m else np.zeros((count, 1))
+    errors = np.empty((count, n))
+    for t in range(n):
+        s, base = index[:, t % (m or 1)].copy(), level + trend
+        if m and multiplicative:
+            e = y[:, t] - base * s
+            level, trend = base + alpha * e / np.maximum(s, 1e-6), trend + alpha * beta * e / np.maximum(s, 1e-6)
+            index[:, t % m] = s + gamma * (1 - alpha) * e / np.maximum(base, 1e-6)
+        else:
+            e = y[:, t] - (base + s)
+            level, trend = base + alpha * e, trend + alpha * beta * e
             if m:
-                season = index[:, (n + np.arange(steps)) % m]
-                ahead = ahead * season if multiplicative else ahead + season
-            better = sse < best
-            best = np.where(better, sse, best)
-            means[better], residuals[better] = np.maximum(ahead, 0.0)[better], errors[better]
+                index[:, t % m] = s + gamma * (1 - alpha) * e
+        errors[:, t] = e
+    ahead = level[:, None] + trend[:, None] * np.arange(1, steps + 1)
+    if m and steps:
+        season = index[:, (n + np.arange(steps)) % m]
+        ahead = ahead * season if multiplicative else ahead + season
+    return np.square(errors).sum(1), np.maximum(ahead, 0.0), errors
+
+
+def fitted_rates(y: np.ndarray, m: int, multiplicative: bool, starts: int = 8, rounds: int = 20, cells: int = 1 << 20) -> np.ndarray:
+    """the rates of each series (series x 3) with the least squared error that a search finds.
+
+    A coarse grid gives each series its best starts; from each, rates move (one
+    or several) by a step that halves when no move helps.  All series and all moves of
+    a round go through the recursion together, in blocks of about cells
+    numbers.  Without season its rate is 0, and under eight points the trend's.
+    """
+    grid = np.array([(a, b, c) for a in (0.01, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0) for b in ((0.0, 0.02, 0.06, 0.15, 0.35, 0.65, 1.0) if y.shape[1] >= 8 else (0.0,)) for c in ((0.0, 0.1, 0.25, 0.5, 0.75, 1.0) if m else (0.0,))])
+    free = [k for k, on in enumerate((True, y.shape[1] >= 8, bool(m))) if on]
+
+    def error(rows: np.ndarray, rates: np.ndarray) -> np.ndarray:
+        """Of each of rows with each of its rates (rows x tried x 3)."""
+        tried = rates.shape[1]
+        return np.concatenate([smoothed(np.repeat(part, tried, 0), m, multiplicative, r.reshape(-1, 3))[0].reshape(len(part), tried) for part, r in zip(*(np.array_split(x, 1 + rows.size * tried // cells) for x in (rows, rates)), strict=True) if len(part)])
+
+    first = error(y, np.broadcast_to(grid, (len(y), *grid.shape)))
+    starts = min(starts, len(grid))
+    order = np.argsort(first, axis=1, kind="stable")[:, :starts]
+    rates, best = grid[order].reshape(-1, 3), np.take_along_axis(first, order, 1).ravel()
+    rows, step = np.repeat(y, starts, 0), np.full(len(best), 0.1)
+    ways = np.array([w for w in product((-1, 0, 1), repeat=3) if any(w) and all(x == 0 for k, x in enumerate(w) if k not in free)])
+    for _ in range(rounds):
+        moves = rates[:, None] + step[:, None, None] * ways[None]
+        moves = np.clip(moves, 0.0, 1.0)
+        found = error(rows, moves)
+        at = found.argmin(1)
+        better = found[np.arange(len(at)), at] < best
+        rates[better], best[better] = moves[better, at[better]], found[better, at[better]]
+        step = np.where(better, step, step / 2)
+    place = best.reshape(len(y), starts).argmin(1)
+    return rates.reshape(len(y), starts, 3)[np.arange(len(y)), place]
+
+
+def _smoothed(y: np.ndarray, steps: int, m: int, multiplicative: bool, rates: tuple[float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Means ahead and residuals of each series in y (n, or series x n), with these rates or, without any, fitted ones."""
+    rows = np.atleast_2d(y).astype(float)
+    held = fitted_rates(rows, m, multiplicative) if rates is None else np.tile(np.array(rates), (len(rows), 1))
+    _, means, residuals = smoothed(rows, m, multiplicative, held, steps)
     return (means, residuals) if np.ndim(y) == 2 else (means[0], residuals[0])
 
 
-def holt_winters(y: np.ndarray, steps: int, season: int = 52, rates: tuple[float, float, float] = (0.3, 0.05, 0.2)) -> tuple[np.ndarray, float]:
-    """level, trend (from eight points) and multiplicative season (from two cycles); mean and residual spread.
+def holt_winters(y: np.ndarray, steps: int, season: int = 52, rates: tuple[float, float, float] | None = None) -> tuple[np.ndarray, float]:
+    """level, trend (from eight points) and multiplicative season (from two cycles), with fitted rates; mean and residual spread.
 
     Under four points, and with a season but values that are not positive,
     the mean is the forecast.
@@ -147,7 +183,7 @@ def holt_winters(y: np.ndarray, steps: int, season: int = 52, rates: tuple[float
     return mean[0], float(std[0])
 
 
-def forecast_many(series: list[np.ndarray], steps: int, season: int = 52, rates: tuple[float, float, float] = (0.3, 0.05, 0.2)) -> tuple[np.ndarray, np.ndarray]:
+def forecast_many(series: list[np.ndarray], steps: int, season: int = 52, rates: tuple[float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """holt_winters() of many series; those of one length go together."""
     means, spread = np.zeros((len(series), steps)), np.ones(len(series))
     by_length: dict[int, list[int]] = {}
@@ -170,7 +206,7 @@ def forecast_many(series: list[np.ndarray], steps: int, season: int = 52, rates:
 
 def ets_samples(y: np.ndarray, steps: int, n_samples: int, seed: int, season: int = 52) -> np.ndarray:
     """the last step of an additive model (season from two cycles) plus residuals drawn with replacement."""
-    mean, errors = _smoothed(y, steps, season if len(y) >= 2 * season else 0, False, (0.3, 0.05, 0.2))
+    mean, errors = _smoothed(y, steps, season if len(y) >= 2 * season else 0, False)
     if np.allclose(np.std(errors), 0):
         errors = np.array([0.0, 1.0, -1.0])
     return np.maximum(0, mean[-1] + np.random.default_rng(seed).choice(errors, n_samples))
@@ -187,12 +223,13 @@ def confidence(y: np.ndarray, source: str) -> float:
     return min(1.0, max(0.0, 0.3 * min(1.0, len(y) / 104) + 0.25 * max(0.0, 1 - cv) + 0.15 * (cycle + 1) / 2 + 0.3 * kind))
 
 
-def sourced_series(parts: DataFrame, series: DataFrame, edges: DataFrame, donors: DataFrame | None = None, least: int = 12, low: float = 0.6) -> DataFrame:
+def sourced_series(parts: DataFrame, series: DataFrame, edges: DataFrame, donors: DataFrame | None = None, least: int = 12, low: float = 0.6, find: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The series each part (part, category) is forecast from: part, n_own, y, source, donor.
 
     An explicit donor (part, donor) goes first, then the part's own series of
-    least weeks or more, the best edge (id, other, score) of low or more, the
-    mean of the category's parts that sold in a week, and nothing.
+    least weeks or more, what find gives (part, donor; it gets the parts that
+    have neither), the best edge (id, other, score) of low or more, the mean of
+    the category's parts that sold in a week, and nothing.
     """
     listed = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("year", "week", x.alias("x")))), lambda r: r["x"])
     own = series.groupBy("part").agg(listed(F.col("units").cast("double")).alias("y"))
@@ -203,6 +240,9 @@ def sourced_series(parts: DataFrame, series: DataFrame, edges: DataFrame, donors
     rows = parts.join(own, "part", "left").join(best, "part", "left").withColumn("y", F.coalesce("y", none)).withColumn("n_own", F.size("y"))
     rows = rows.join(donors, "part", "left") if donors is not None else rows.withColumn("donor", F.lit(None).cast("long"))
     has_own = F.col("n_own") >= least
+    if find is not None:
+        own_finds = find(rows.where(F.col("donor").isNull() & ~has_own).select("part", "category", "n_own")).groupBy("part").agg(F.min("donor").alias("special"))
+        rows = rows.join(own_finds, "part", "left").withColumn("found", F.coalesce("special", "found")).drop("special")
     donor = F.coalesce("donor", F.when(~has_own, F.col("found")))
     # Parts without a donor, most of them, are dealt by their own key: a null donor is one key.
     rows = rows.withColumn("donor", donor).withColumn("deal", F.when(donor.isNull(), F.col("part")))
@@ -216,7 +256,7 @@ def sourced_series(parts: DataFrame, series: DataFrame, edges: DataFrame, donors
 @query()
 def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight weeks ahead of each part of the catalogue, with the band of seeded samples.  Rows only."""
-    from .similarity import top_k_edges
+    from .neighbours import nearest
 
     def forecast(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -225,11 +265,11 @@ def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = []
             for r, y, mean, std in zip(pdf.itertuples(index=False), series, means, spread, strict=True):
                 draws = np.maximum(0, np.random.default_rng(r.part).normal(mean, std, (1000, 8)))
-                low, high = np.percentile(draws, [5, 95], axis=0)
-                out.append((r.part, mean, low, high, r.source, None if pd.isna(r.donor) else int(r.donor), r.n_own, confidence(y, r.source)))
+                low, middle, high = np.percentile(draws, [5, 50, 95], axis=0)
+                out.append((r.part, mean, low, middle, high, r.source, None if pd.isna(r.donor) else int(r.donor), r.n_own, confidence(y, r.source)))
             if out:
-                part, mean, low, high, source, donor, n_own, sure = zip(*out, strict=True)
-                rows = {"part": np.repeat(part, 8), "step": np.tile(np.arange(1, 9), len(part)), "mean": np.concatenate(mean), "p05": np.concatenate(low), "p95": np.concatenate(high)}
+                part, mean, low, middle, high, source, donor, n_own, sure = zip(*out, strict=True)
+                rows = {"part": np.repeat(part, 8), "step": np.tile(np.arange(1, 9), len(part)), "mean": np.concatenate(mean), "p05": np.concatenate(low), "p50": np.concatenate(middle), "p95": np.concatenate(high)}
                 rows |= {"source": np.repeat(source, 8), "donor": pd.array([d for d in donor for _ in range(8)], "Int64"), "n_own": np.repeat(n_own, 8), "confidence": np.repeat(sure, 8)}
                 yield pd.DataFrame(rows)
 
@@ -237,10 +277,10 @@ def demand_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
     series, vectors = weekly(spark, sf_dir), table(spark, sf_dir, "embeddings")
     # Only parts of under 12 weeks look for a donor.
     long = series.groupBy(F.col("part").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).where("n >= 12")
-    edges = top_k_edges(vectors, "vec_id", "embedding", "label", k=1, wanted=vectors.join(long, "vec_id", "left_anti"))
+    edges = nearest(vectors, "vec_id", "embedding", "label", k=1, wanted=vectors.join(long, "vec_id", "left_anti"))
     # The forecasts are the work, not the rows: as many tasks as shuffle partitions, which adaptive execution leaves alone.
     dealt = sourced_series(parts, series, edges).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part")
-    return dealt.mapInPandas(forecast, "part long, step int, mean double, p05 double, p95 double, source string, donor long, n_own int, confidence double")
+    return dealt.mapInPandas(forecast, "part long, step int, mean double, p05 double, p50 double, p95 double, source string, donor long, n_own int, confidence double")
 
 
 class Restriction(NamedTuple):

@@ -187,6 +187,7 @@ def closed(menu: DataFrame, bounds: DataFrame, state: DataFrame, exact: int = EX
         here = lots.where(F.col("place") == p).select(*KEYS, *(F.col(c).alias(f"new_{c}") for c in ("code", *names, *(f"room{k}" for k in range(5)))))
         zero = lambda c: F.coalesce(F.col(f"new_{c}"), F.lit(0))
         grown = grown.join(here, list(KEYS), "left").select(*KEYS, F.concat("code", F.coalesce("new_code", F.lit(""))).alias("code"), *((F.col(c) + zero(c)).alias(c) for c in names), *(F.coalesce(f"new_room{k}", f"room{k}").alias(f"room{k}") for k in range(5))).where(fits)
+        grown = written(grown, "grown") if p % 4 == 0 else grown
     best = grown.groupBy(*KEYS).agg(F.min(F.struct("obj", "code", *AMOUNTS, "short")).alias("best"))
     return best.join(bounds.select(*KEYS, "target", "n_parts", "budget"), list(KEYS)).join(state.select(*KEYS, "bound"), list(KEYS)).select(*KEYS, "target", "n_parts", "budget", "bound", "best.*")
 
