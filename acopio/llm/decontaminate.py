@@ -316,19 +316,29 @@ def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block: int) ->
 
 def _matcher(index: Index) -> Callable:
     def scan(texts: pa.Array) -> Iterator[tuple[int, int, tuple[int, int, int]]]:
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        found, cells = defaultdict(list), 0
+
+        def note(key: tuple[int, int], match: tuple[int, int, int]) -> None:
+            best[key] = min(best.get(key, match), match)
+
         for c in chunks(texts, lower=True):
             starts, ends, docs = c.spans(_WORD[c.buf])
             words = c.hashes(starts, ends) | np.uint64(1)
             first = np.searchsorted(docs, np.arange(c.n + 1))
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for n, of, at, context in index.windows_near(words, docs, first):
-                for key, match in index.decide({n: [(of + c.first, at, context)]}).items():
-                    best[key] = min(best.get(key, match), match)
+                found[n].append((of + c.first, at, context))
+                cells += context.size
+                if cells >= CELLS:  # windows of many chunks are walked together
+                    for key, match in index.decide(found).items():
+                        note(key, match)
+                    found, cells = defaultdict(list), 0
             for doc, item, match in index.whole_near(words, docs, first):
-                key = (doc + c.first, item)
-                best[key] = min(best.get(key, match), match)
-            for (doc, item), match in best.items():
-                yield doc, item, match
+                note((doc + c.first, item), match)
+        for key, match in index.decide(found).items():
+            note(key, match)
+        for (doc, item), match in best.items():
+            yield doc, item, match
 
     return scan
 
