@@ -102,14 +102,15 @@ def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def smoothed(y: np.ndarray, m: int, multiplicative: bool, rates: np.ndarray, steps: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Squared error, means ahead (steps) and residuals of each series in y (series x n), smoothed with its row of rates (level, trend, season); m is the season's length, 0 for none.
+    """Squared error, means ahead (steps) and residuals of each series in y (series x n), smoothed with its row of rates (level, trend, season, and the share of the first two cycles' trend that it starts with, 1 if left out); m is the season's length, 0 for none.
 
     The recursion goes over the points once for all series together.
     """
     count, n = y.shape
-    alpha, beta, gamma = rates.T
+    alpha, beta, gamma = rates.T[:3]
+    share = rates[:, 3] if rates.shape[1] > 3 else 1.0
     level = y[:, : m or 1].mean(1)
-    trend = (y[:, m : 2 * m].mean(1) - y[:, :m].mean(1)) / m if m else np.zeros(count)
+    trend = share * (y[:, m : 2 * m].mean(1) - y[:, :m].mean(1)) / m if m else np.zeros(count)
     index = (y[:, :m] / level[:, None] if multiplicative else y[:, :m] - level[:, None]) if m else np.zeros((count, 1))
     errors = np.empty((count, n))
     for t in range(n):
@@ -132,27 +133,28 @@ def smoothed(y: np.ndarray, m: int, multiplicative: bool, rates: np.ndarray, ste
 
 
 def fitted_rates(y: np.ndarray, m: int, multiplicative: bool, starts: int = 8, rounds: int = 20, cells: int = 1 << 20) -> np.ndarray:
-    """the rates of each series (series x 3) with the least squared error that a search finds.
+    """the rates of each series (series x 4) with the least squared error that a search finds.
 
     A coarse grid gives each series its best starts; from each, rates move (one
     or several) by a step that halves when no move helps.  All series and all moves of
     a round go through the recursion together, in blocks of about cells
-    numbers.  Without season its rate is 0, and under eight points the trend's.
+    numbers.  Without season its rate is 0 and the share 1, and under eight points
+    the trend's rate is 0.
     """
-    grid = np.array([(a, b, c) for a in (0.01, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0) for b in ((0.0, 0.02, 0.06, 0.15, 0.35, 0.65, 1.0) if y.shape[1] >= 8 else (0.0,)) for c in ((0.0, 0.1, 0.25, 0.5, 0.75, 1.0) if m else (0.0,))])
-    free = [k for k, on in enumerate((True, y.shape[1] >= 8, bool(m))) if on]
+    grid = np.array([(a, b, c, d) for a in (0.01, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.75, 0.9, 1.0) for b in ((0.0, 0.02, 0.06, 0.15, 0.35, 0.65, 1.0) if y.shape[1] >= 8 else (0.0,)) for c in ((0.0, 0.1, 0.25, 0.5, 0.75, 1.0) if m else (0.0,)) for d in ((0.0, 0.5, 1.0) if m else (1.0,))])
+    free = [k for k, on in enumerate((True, y.shape[1] >= 8, bool(m), bool(m))) if on]
 
     def error(rows: np.ndarray, rates: np.ndarray) -> np.ndarray:
-        """Of each of rows with each of its rates (rows x tried x 3)."""
+        """Of each of rows with each of its rates (rows x tried x 4)."""
         tried = rates.shape[1]
-        return np.concatenate([smoothed(np.repeat(part, tried, 0), m, multiplicative, r.reshape(-1, 3))[0].reshape(len(part), tried) for part, r in zip(*(np.array_split(x, 1 + rows.size * tried // cells) for x in (rows, rates)), strict=True) if len(part)])
+        return np.concatenate([smoothed(np.repeat(part, tried, 0), m, multiplicative, r.reshape(-1, 4))[0].reshape(len(part), tried) for part, r in zip(*(np.array_split(x, 1 + rows.size * tried // cells) for x in (rows, rates)), strict=True) if len(part)])
 
     first = error(y, np.broadcast_to(grid, (len(y), *grid.shape)))
     starts = min(starts, len(grid))
     order = np.argsort(first, axis=1, kind="stable")[:, :starts]
-    rates, best = grid[order].reshape(-1, 3), np.take_along_axis(first, order, 1).ravel()
+    rates, best = grid[order].reshape(-1, 4), np.take_along_axis(first, order, 1).ravel()
     rows, step = np.repeat(y, starts, 0), np.full(len(best), 0.1)
-    ways = np.array([w for w in product((-1, 0, 1), repeat=3) if any(w) and all(x == 0 for k, x in enumerate(w) if k not in free)])
+    ways = np.array([w for w in product((-1, 0, 1), repeat=4) if any(w) and all(x == 0 for k, x in enumerate(w) if k not in free)])
     for _ in range(rounds):
         moves = rates[:, None] + step[:, None, None] * ways[None]
         moves = np.clip(moves, 0.0, 1.0)
@@ -162,7 +164,7 @@ def fitted_rates(y: np.ndarray, m: int, multiplicative: bool, starts: int = 8, r
         rates[better], best[better] = moves[better, at[better]], found[better, at[better]]
         step = np.where(better, step, step / 2)
     place = best.reshape(len(y), starts).argmin(1)
-    return rates.reshape(len(y), starts, 3)[np.arange(len(y)), place]
+    return rates.reshape(len(y), starts, 4)[np.arange(len(y)), place]
 
 
 def _smoothed(y: np.ndarray, steps: int, m: int, multiplicative: bool, rates: tuple[float, float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -2,9 +2,10 @@
 
 Rows lie in buckets by the hash of their key, each bucket a folder of Parquet
 files that is never changed.  A version is a manifest, a small file that names
-the folder of each bucket; a writer makes new folders first and then creates the
-next manifest.  Creating a file that exists fails, so of two writers one wins,
-and a reader has either version whole.
+the folder of each bucket; a writer makes new folders first and then the next
+manifest, which takes its name in one step and only where the name is free (the
+store must rename files in one step).  So of two writers one wins, and a reader
+has either version whole.
 """
 
 from __future__ import annotations
