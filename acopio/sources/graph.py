@@ -1,10 +1,12 @@
-"""Turtle files (vocabularies, norms, catalogues: small, read on the driver) as triples, and what is read from them."""
+"""Turtle files (vocabularies, norms, catalogues) as triples, and what is read from them."""
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,10 +120,33 @@ def parse_turtle(text: str) -> list[tuple]:
     return out
 
 
+def _parsed(spark: SparkSession, path: str) -> DataFrame:
+    """file, error (null if the file was read) and a triple for each row; every file is parsed by a task."""
+    texts = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for file, text in zip(pdf["file"], pdf["value"], strict=True):
+                # Blank nodes of different files are different nodes.
+                own = lambda x, tag=f"_:f{zlib.crc32(file.encode()):08x}": tag + x[2:] if x and x.startswith("_:") else x
+                try:
+                    rows = [(file, None, own(s), p, own(o) if kind == "uri" else o, kind, datatype, lang) for s, p, o, kind, datatype, lang in parse_turtle(text)]
+                except TurtleError as error:
+                    rows = [(file, str(error), *[None] * 6)]
+                yield pd.DataFrame(rows, columns=["file", "error", "s", "p", "o", "o_kind", "datatype", "lang"], dtype=object)
+
+    return texts.mapInPandas(run, f"file string, error string, {TRIPLE}")
+
+
 def turtle(spark: SparkSession, path: str) -> DataFrame:
-    """A Turtle file as triples."""
-    text = spark.read.text(path, wholetext=True).first()
-    return spark.createDataFrame(parse_turtle(text["value"] if text else ""), TRIPLE)
+    """The triples of a Turtle file or of all files of a folder, read in parallel; a file that breaks the grammar is an error that names it."""
+    rows = _parsed(spark, path)
+    return rows.where(F.when(F.col("error").isNotNull(), F.raise_error(F.concat_ws(": ", "file", "error")).cast("boolean")).otherwise(True)).select(*(c.split()[0] for c in TRIPLE.split(", ")))
+
+
+def turtle_faults(spark: SparkSession, path: str) -> DataFrame:
+    """(file, error) for the files that break the grammar."""
+    return _parsed(spark, path).where("error is not null").select("file", "error")
 
 
 def world(*parts: DataFrame) -> DataFrame:
