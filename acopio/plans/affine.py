@@ -61,5 +61,5 @@ def items(solution: DataFrame, today: Column, event: Column) -> DataFrame:
 
 
 def solve(plans: DataFrame, key: str, schema: str, solver: Callable[[pd.DataFrame], pd.DataFrame] | None, fallback: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Each plan by the solver that is supplied, else by the heuristic plan; no solver comes with the engine."""
+    """Each plan by a solver that is supplied, else by the heuristic plan; the engine's own way is plans/robust.py."""
     return fallback(plans) if solver is None else plans.groupBy(key).applyInPandas(solver, schema)
