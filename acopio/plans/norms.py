@@ -6,6 +6,7 @@ explicit defeats, conflicts of one target by priority, verdict.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 class Norm:
     id: str
     kind: str  # prohibition, obligation, permission
-    when: str  # SQL over the decision's columns
+    when: str  # SQL over the decision's columns, or @name of a registered predicate
     target: str
     priority: int
     defeasible: bool = True
@@ -25,6 +26,30 @@ class Norm:
     valid_to: str | None = None
 
 
+#: Predicates by name; each gives a column over the decision's columns.
+PREDICATES: dict[str, Callable[[], Column]] = {}
+
+
+def register_predicate(name: str) -> Callable[[Callable[[], Column]], Callable[[], Column]]:
+    """@register_predicate("name"); the same function may come again, another one under its name is an error."""
+
+    def add(f: Callable[[], Column]) -> Callable[[], Column]:
+        if PREDICATES.setdefault(name, f) is not f:
+            raise ValueError(f"the predicate {name!r} is registered already")
+        return f
+
+    return add
+
+
+def _condition(n: Norm) -> Column:
+    """When a norm applies; a predicate that nobody registered is an error."""
+    if not n.when.startswith("@"):
+        return F.expr(n.when)
+    if n.when[1:] not in PREDICATES:
+        raise ValueError(f"{n.id} asks for the predicate {n.when[1:]!r}, which is unknown")
+    return PREDICATES[n.when[1:]]()
+
+
 _BUY = "tipo = 'compra' and "
 
 #: Identifiers, targets, priorities and limits of the catalogue.
@@ -78,7 +103,7 @@ def evaluate(decisions: DataFrame, norms: tuple[Norm, ...] = CATALOGUE) -> DataF
     check(norms)
     missing = [F.lit(None).cast(kind).alias(c) for c, kind in DECISION.items() if c not in decisions.columns]
     df = decisions.select("*", *missing) if missing else decisions
-    fired = {n.id: F.coalesce(F.expr(n.when) & _valid(n), F.lit(False)) for n in norms}
+    fired = {n.id: F.coalesce(_condition(n) & _valid(n), F.lit(False)) for n in norms}
     beaten = {n.id: F.lit(False) for n in norms}
     for n in norms:
         for d in n.defeats:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,7 +48,11 @@ def document_files(spark: SparkSession, path: str, extract: Callable[[bytes], st
     without one the bytes are read as UTF-8.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.regexp_extract("path", r"[^/]+$", 0).alias("file"), "content")
-    text = F.decode("content", "UTF-8") if extract is None else F.udf(lambda b: extract(bytes(b)), "string")("content")
+
+    def read(held: pd.Series) -> pd.Series:
+        return held.map(lambda b: None if b is None else extract(bytes(b)))
+
+    text = F.decode("content", "UTF-8") if extract is None else F.pandas_udf(read, "string")("content")
     return files.select("file", text.alias("text")).where(F.length(F.trim("text")) > 0)
 
 

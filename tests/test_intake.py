@@ -75,3 +75,29 @@ def test_turtle_folder(spark, tmp_path):
     assert len(faults) == 1 and faults[0]["file"].endswith("bad.ttl") and "prefix" in faults[0]["error"]
     with pytest.raises(Exception, match="bad.ttl"):
         turtle(spark, f"{tmp_path}").collect()
+
+
+def test_named_predicates(spark):
+    from acopio.plans.norms import PREDICATES, Norm, evaluate, register_predicate
+
+    @register_predicate("large")
+    def large():
+        return F.col("monto_usd") > 100
+
+    assert register_predicate("large")(large) is large
+    with pytest.raises(ValueError):
+        register_predicate("large")(lambda: F.lit(True))
+    norms = (Norm("F_large", "prohibition", "@large", "compra", 10), Norm("P_all", "permission", "tipo = 'compra'", "otro", 5))
+    rows = spark.createDataFrame([(1, "compra", 50.0), (2, "compra", 500.0), (3, "compra", None)], "k int, tipo string, monto_usd double").withColumn("now", F.to_timestamp(F.lit("2026-06-01 00:00:00")))
+    assert {r["k"]: r["verdict"] for r in evaluate(rows, norms).collect()} == {1: "permitted", 2: "blocked", 3: "permitted"}
+    with pytest.raises(ValueError):
+        evaluate(rows, (Norm("F_x", "prohibition", "@nobody", "compra", 10),))
+    del PREDICATES["large"]
+
+
+def test_document_files_with_an_extractor(spark, tmp_path):
+    from acopio.sources.files import document_files
+
+    (tmp_path / "a.bin").write_bytes(b"abc")
+    (tmp_path / "b.bin").write_bytes(b"")
+    assert [tuple(r) for r in document_files(spark, f"{tmp_path}", lambda b: b.decode()[::-1]).collect()] == [("a.bin", "cba")]
