@@ -109,17 +109,31 @@ def category_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT a.s_suppkey AS supplier, b.s_suppkey AS other, row_number() OVER (PARTITION BY a.s_suppkey ORDER BY abs(a.s_acctbal - b.s_acctbal), b.s_suppkey) AS place FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey QUALIFY place <= 3""")
 def nearest_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The three suppliers of a supplier's nation with the nearest balance.
+    """The three suppliers of a supplier's nation with the nearest balance, of equally near ones the smallest keys.
 
-    They are among the three on either side of it in balance order, so a
-    window gives them and no pairs are formed.
+    They are among the four smallest keys of its own balance and the three of
+    each of the three balances on either side, so a window over the balances
+    gives them and no pairs are formed.  Unknown balances come last; to a
+    supplier without one all others are equally near.
     """
-    s = table(spark, sf_dir, "supplier")
-    w = Window.partitionBy("s_nationkey").orderBy("s_acctbal", "s_suppkey")
-    near = [F.struct(f(c, k).over(w).alias("other"), f("s_acctbal", k).over(w).alias("balance")) for c in ("s_suppkey",) for f in (F.lag, F.lead) for k in (1, 2, 3)]
-    rows = s.select(F.col("s_suppkey").alias("supplier"), "s_acctbal", F.array(*near).alias("near")).select("supplier", "s_acctbal", F.explode("near").alias("n")).where("n.other is not null")
-    place = F.row_number().over(Window.partitionBy("supplier").orderBy(F.abs(F.col("s_acctbal") - F.col("n.balance")), "n.other"))
-    return rows.select("supplier", F.col("n.other").alias("other"), place.alias("place")).where("place <= 3")
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance")).where("nation is not null")
+
+    def smallest(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        kept = rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("supplier"))).where("place <= 4")
+        return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("supplier")).alias(name))
+
+    known = smallest(s.where("balance is not null"), ["nation", "balance"], "same")
+    w = Window.partitionBy("nation").orderBy("balance")
+    sides = [F.struct(f("balance", k).over(w).alias("balance"), f("same", k).over(w).alias("others")) for f in (F.lag, F.lead) for k in (1, 2, 3)]
+    known = known.select("nation", "balance", F.array(F.struct("balance", F.col("same").alias("others")), *sides).alias("near"))
+    no_balance = smallest(s.where("balance is null"), ["nation"], "unknown")
+    some = s.where("balance is not null").join(known, ["nation", "balance"]).join(F.broadcast(no_balance), "nation", "left")
+    some = some.select("supplier", "balance", F.explode(F.array_append("near", F.struct(F.lit(None).cast("double").alias("balance"), F.col("unknown").alias("others")))).alias("n"))
+    none = s.where("balance is null").join(F.broadcast(smallest(s, ["nation"], "others")), "nation")
+    none = none.select("supplier", "balance", F.struct(F.lit(None).cast("double").alias("balance"), "others").alias("n"))
+    rows = some.unionByName(none).select("supplier", F.abs(F.col("balance") - F.col("n.balance")).alias("apart"), F.explode("n.others").alias("other")).where("other <> supplier")
+    place = F.row_number().over(Window.partitionBy("supplier").orderBy(F.asc_nulls_last("apart"), "other"))
+    return rows.select("supplier", "other", place.alias("place")).where("place <= 3")
 
 
 def similar_rows(rows: DataFrame, k: int = 3) -> DataFrame:
