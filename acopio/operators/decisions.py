@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantile, ranked
 from ..plans.dispatch import dispatch
 from ..plans.norms import evaluate
 from ..plans.purchase import order, score_suppliers
@@ -73,7 +74,7 @@ def open_loop_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open-loop quantities under a buffer and a budget."""
     # Counted by quantity first: a part's percentiles need its distinct quantities, not its rows.
     w = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("part"), F.col("l_quantity").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("l_extendedprice") / F.col("l_quantity")).alias("p"))
-    f = w.groupBy("part").agg((F.sum(F.col("q") * F.col("n")) / F.sum("n")).alias("mean"), F.percentile("q", 0.05, F.col("n")).alias("p5"), F.percentile("q", 0.95, F.col("n")).alias("p95"), F.round(F.sum("p") / F.sum("n"), 2).alias("price"))
+    f = ranked(w, ["part"], "q", "n").groupBy("part").agg((F.sum(F.col("q") * F.col("n")) / F.sum("n")).alias("mean"), quantile("q", 0.05).alias("p5"), quantile("q", 0.95).alias("p95"), F.round(F.sum("p") / F.sum("n"), 2).alias("price"))
     f = f.withColumns({"p50": F.col("mean"), "std": F.lit(0.0), "confidence": F.lit(0.8), "budget": F.lit(40000.0), "buffer": F.lit(1.2), "perishable": F.lit(False)})
     return order(f, "open_loop").select("part", "quantity", "quantity_p5", "quantity_p95", "cost", "var")
 
