@@ -88,11 +88,12 @@ def idf_table(docs: DataFrame, text_col: str) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(counts.ravel()[at], n))], names=["counter", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toPandas()  # 2 * COUNTERS + 1 rows at most
-    total = max(1, int(rows.loc[rows["counter"] < 0, "n"].sum()))
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))
+    held = rows.toArrow()  # 2 * COUNTERS + 1 rows at most, 12 bytes each; as Row objects they would take hundreds of MB
+    at, n = held["counter"].to_numpy(), held["n"].to_numpy()
+    total = max(1, int(n[at < 0].sum()))
     df = np.zeros(2 * COUNTERS)
-    rows = rows[rows["counter"] >= 0]
-    df[rows["counter"].to_numpy()] = rows["n"].to_numpy()
+    df[at[at >= 0]] = n[at >= 0]
     # Counters that many rare shingles share must not look like a frequent one.
     floor = min(0.5, max(FLOOR, 1 / total, 4 * float(np.median(df)) / total))
     return (1 + np.log(1 / np.clip(df / total, floor, 1)) / np.log(1 / floor)).astype(np.float32).reshape(2, COUNTERS)

@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import time
+import tracemalloc
 import zlib
 
 import duckdb
@@ -626,3 +627,13 @@ def test_line_dedup_of_regular_lines(spark):
     assert {r["n_dropped"] for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == {0}
     got = quality_rules.document_features(spark.createDataFrame([(1, f"{thue_morse(2048)}\n{thue_morse(2048, 1)}\n{thue_morse(2048)}")], "doc_id long, text string")).first()
     assert got["n_dup_lines"] == 1 and got["n_distinct_words"] == 2
+
+
+def test_document_frequencies_on_the_driver(spark):
+    # Half a million counters as Row objects took hundreds of MB of the driver's memory.
+    docs = spark.range(8000).selectExpr("concat_ws(' ', transform(sequence(1, 80), k -> sha2(cast(id * 100 + k as string), 256))) AS text")
+    tracemalloc.start()
+    idf = near_dedup.idf_table(docs, "text")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert idf.shape == (2, near_dedup.COUNTERS) and peak < 64e6
