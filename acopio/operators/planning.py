@@ -5,13 +5,14 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import product
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -297,6 +298,10 @@ class Restriction(NamedTuple):
 CLEAR = 5.0
 #: Items of a plan that one task simulates at once.
 CHUNK = 4096
+#: Normal numbers that a process keeps for the plans that follow (16 bytes each).
+HELD = 12_000_000
+#: Items whose demand is added up at once.
+BLOCK = 16
 
 
 class _Outcome(NamedTuple):
@@ -325,8 +330,22 @@ def _clipped_sum(n: int, step: int) -> np.ndarray:
     return np.interp(below(np.linspace(-5.5, 5.5, 1025)), total, edges, left=0.0)
 
 
-def _demand_sum(rng: np.random.Generator, x: NamedTuple, n_sims: int, n: int) -> np.ndarray:
-    """Demand of n of an item's weeks: a sum of normal weeks, each clipped at 0.
+class _Draws:
+    """Standard normal numbers, one for each simulation, and where they lie in the tables of _clipped_sum()."""
+
+    def __init__(self, rng: np.random.Generator, n_sims: int):
+        self.z = rng.standard_normal(n_sims, np.float32)
+        self.top = float(self.z.max(initial=-math.inf))
+
+    @cached_property
+    def place(self) -> tuple[np.ndarray, np.ndarray]:
+        at = np.clip((self.z + np.float32(5.5)) * np.float32(1024 / 11), 0, np.float32(1023.99))
+        cell = at.astype(np.intp)
+        return cell, at - cell.astype(np.float32)
+
+
+def _excess(x: NamedTuple, n: int, draws: _Draws, rng: np.random.Generator | None, out: np.ndarray) -> None:
+    """What the demand of n of an item's weeks exceeds n means by: a sum of normal weeks, each clipped at 0.
 
     Weeks that are never clipped add up to a normal number; else a normal
     number is bent to the distribution of the sum (interpolated, off by less
@@ -334,83 +353,121 @@ def _demand_sum(rng: np.random.Generator, x: NamedTuple, n_sims: int, n: int) ->
     """
     weeks = int(x.weeks)
     unit, mean = x.std / math.sqrt(weeks), x.mean / weeks
-    if mean >= CLEAR * unit:
-        return rng.standard_normal(n_sims, np.float32) * float(unit * math.sqrt(n)) + mean * n
     if not mean >= 0:
-        return np.maximum(0, rng.standard_normal((n, n_sims)) * unit + mean).sum(0)
-    step, part = divmod(mean / unit * 32, 1)
-    bent = unit * ((1 - part) * _clipped_sum(n, int(step)) + part * _clipped_sum(n, int(step) + 1))
-    place = np.clip((rng.standard_normal(n_sims, np.float32) + np.float32(5.5)) * np.float32(1024 / 11), 0, np.float32(1023.99))
-    cell = place.astype(np.intp)
-    place -= cell
-    return bent[cell] + place * np.diff(bent)[cell]
+        out[:] = np.maximum(0, rng.standard_normal((n, len(out))) * unit + mean).sum(0) - mean * n
+    elif mean >= CLEAR * unit:
+        np.multiply(draws.z, np.float32(unit * math.sqrt(n)), out=out)
+    else:
+        step, part = divmod(mean / unit * 32, 1)
+        bent = unit * ((1 - part) * _clipped_sum(n, int(step)) + part * _clipped_sum(n, int(step) + 1)) - mean * n
+        cell, rest = draws.place
+        np.take(np.diff(bent).astype(np.float32), cell, out=out, mode="clip")
+        out *= rest
+        out += bent.astype(np.float32)[cell]
 
 
 def _weekly_demand(rng: np.random.Generator, x: NamedTuple, n_sims: int, within: int) -> tuple[np.ndarray, np.ndarray | None]:
     """Demand of all weeks and, if within is not 0, of the first so many."""
-    if not within:
-        return np.asarray(_demand_sum(rng, x, n_sims, int(x.weeks)), float), None
-    early = np.asarray(_demand_sum(rng, x, n_sims, within), float)
-    return early + _demand_sum(rng, x, n_sims, int(x.weeks) - within), early
-
-
-def _keyed(generator: np.random.Generator, seed: int, key: str) -> np.random.Generator:
-    """The generator (of SFC64 bits), set to the start of a key's own draws."""
+    total = np.zeros(n_sims)
+    upto = []
+    for n in filter(None, (within, int(x.weeks) - within)):
+        part = np.empty(n_sims, np.float32)
+        _excess(x, n, _Draws(rng, n_sims), rng, part)
+        total = total + part + x.mean / int(x.weeks) * n
+        upto.append(total)
+    return total, upto[0] if within else None
+
+
+def _keyed(seed: int, key: str) -> np.random.Generator:
+    """A generator (of SFC64 bits) at the start of a key's own draws."""
     words = np.frombuffer(hashlib.blake2b(f"{seed}:{key}".encode(), digest_size=24).digest(), np.uint64)
+    generator = np.random.Generator(np.random.SFC64(0))
     generator.bit_generator.state = {"bit_generator": "SFC64", "state": {"state": np.append(words, np.uint64(1))}, "has_uint32": 0, "uinteger": 0}
     generator.bit_generator.random_raw(18, output=False)
     return generator
 
 
+_drawn: dict[tuple[int, int, int, int], _Draws] = {}
+
+
+def _draws(seed: int, n_sims: int, place: int, part: int) -> _Draws:
+    """The draws of a place in a plan, of its early (0) or late (1) weeks; a process keeps HELD numbers of them."""
+    key = (seed, n_sims, place, part)
+    if key in _drawn:
+        return _drawn[key]
+    out = _Draws(_keyed(seed, f"{place}:{part}"), n_sims)
+    if (len(_drawn) + 1) * n_sims <= HELD:
+        _drawn[key] = out
+    return out
+
+
 def _simulated(items: pd.DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...]) -> _Outcome:
     """Profit, revenue and validity of each simulation of a plan's items, and violations by norm; the budget is not looked at.
 
-    Each item has draws of its own, seeded by plan and part, and is added in
-    the order of parts, so that results depend on neither partitions nor the
-    order of rows.
+    Each item has draws of its own within its plan, those of its place there,
+    and is added in the order of places, so that results depend on neither
+    partitions nor the order of rows.
     """
-    profit, revenue, valid, fixed = np.zeros(n_sims), np.zeros(n_sims), np.ones(n_sims, bool), []
+    profit, revenue, valid, certain, taken = np.zeros(n_sims), np.zeros(n_sims), np.ones(n_sims, bool), [], []
     violations: dict[str, int] = {}
-    generator = np.random.Generator(np.random.SFC64(0))
+    if _drawn and next(iter(_drawn))[:2] != (seed, n_sims):
+        _drawn.clear()
 
-    def mark(norm: str, ok: np.ndarray) -> None:
-        if not ok.all():
-            violations[norm] = violations.get(norm, 0) + int((~ok).sum())
+    def mark(norm: str, n_ok: int, ok: np.ndarray | bool) -> None:
+        if n_ok < n_sims:
+            violations[norm] = violations.get(norm, 0) + n_sims - n_ok
             valid[:] &= ok
 
     shelf = [r.norm for r in restrictions if r.kind == "no_exceder_dias_validez"]
-    for x in items.sort_values("sku", kind="stable").itertuples(index=False):
-        within = max(1, int(x.shelf_days) // 7) if shelf and x.perishable and not pd.isna(x.shelf_days) else 0
-        demand, early = _weekly_demand(_keyed(generator, seed, f"{x.plan}:{x.sku}"), x, n_sims, within if within < x.weeks else 0)
-        if early is not None:
-            for norm in shelf:
-                mark(norm, early >= x.quantity)
+    # Rows of BLOCK items: what demand exceeds its mean by; of that what is sold; what a unit of either is worth.
+    over, late = np.empty((BLOCK, n_sims), np.float32), np.empty(n_sims, np.float32)
+    room, (gain, price, missed) = np.empty((BLOCK, 1), np.float32), np.empty((3, BLOCK), np.float32)
+    items = items.sort_values("place", kind="stable")
+    for at, x in enumerate(items.itertuples(index=False)):
         for r in restrictions:
             if r.kind == "cantidad_minima_proveedor":
                 least = r.limit if r.limit is not None else getattr(x, "min_order", None)
                 if least is not None and not pd.isna(least):
-                    mark(r.norm, np.full(n_sims, x.quantity >= int(least)))
+                    mark(r.norm, n_sims if x.quantity >= int(least) else 0, False)
+        within = max(1, int(x.shelf_days) // 7) if shelf and x.perishable and not pd.isna(x.shelf_days) else 0
+        weeks, within = int(x.weeks), within if within < x.weeks else 0
+        k, draws, rng = at % BLOCK, _draws(seed, n_sims, x.place, 0), None if x.mean >= 0 else _keyed(seed, f"{x.place}:2")
+        _excess(x, within or weeks, draws, rng, over[k])
+        if within:
+            least = x.quantity - x.mean / weeks * within
+            never = x.mean / weeks >= CLEAR * x.std / math.sqrt(weeks) and draws.top * x.std * math.sqrt(within / weeks) < least
+            ok = False if never else over[k] >= least
+            for norm in shelf:
+                mark(norm, 0 if never else int(np.count_nonzero(ok)), ok)
+            _excess(x, weeks - within, _draws(seed, n_sims, x.place, 1), rng, late)
+            over[k] += late
         # What is left over loses its cost or a share of it, what is missed its margin.
         lost, margin = x.cost * (1.0 if x.perishable else 0.7), max(0.0, x.price - x.cost)
-        sold = np.minimum(demand, x.quantity)
-        revenue += sold * x.price
-        sold *= x.price + lost + margin
-        demand *= margin
-        sold -= demand
-        profit += sold
-        fixed.append(x.quantity * (x.cost + lost))
-    return _Outcome(profit - math.fsum(fixed), revenue, valid, violations, math.fsum(items["quantity"] * items["cost"]))
+        room[k], gain[k], price[k], missed[k] = x.quantity - x.mean, x.price + lost + margin, x.price, margin
+        certain += [x.mean * (x.price + lost), -x.quantity * (x.cost + lost)]
+        taken.append(x.mean * x.price)
+        if k + 1 == BLOCK or at + 1 == len(items):
+            held = over[: k + 1]
+            profit -= missed[: k + 1] @ held
+            np.minimum(held, room[: k + 1], out=held)
+            profit += gain[: k + 1] @ held
+            revenue += price[: k + 1] @ held
+    return _Outcome(profit + math.fsum(certain), revenue + math.fsum(taken), valid, violations, math.fsum(items["quantity"] * items["cost"]))
 
 
 def _by_plan(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restriction, ...], finish: Callable[[pa.Scalar, _Outcome], pa.Table], schema: str, chunk: int = CHUNK) -> DataFrame:
     """finish(plan, outcome) of each plan.
 
     Plans of over chunk items are dealt to several tasks, whose sums are added
-    afterwards, in the order of the chunks.
+    afterwards, in the order of the chunks.  An item's draws are those of its
+    place in its plan, in the order of sku: within a plan all are independent,
+    while the n-th items of any two plans share theirs (common random numbers),
+    which a task then draws once and not for each plan.
     """
     plan = items.schema["plan"].dataType.simpleString()
-    sizes = items.groupBy(F.col("plan").alias("_of")).agg(F.ceil(F.count(F.lit(1)) / chunk).alias("_chunks"))
-    dealt = items.join(sizes, F.col("plan").eqNullSafe(F.col("_of"))).withColumn("_chunk", F.pmod(F.xxhash64("sku"), "_chunks").cast("int")).drop("_of")
+    dealt = items.withColumn("place", F.dense_rank().over(Window.partitionBy("plan").orderBy("sku"))).withColumn("_chunk", F.floor((F.col("place") - 1) / chunk).cast("int"))
+    # The draws are the work, not the rows: as many tasks as shuffle partitions, which adaptive execution leaves alone.
+    dealt = dealt.repartition(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), "plan", "_chunk")
     sums = {"_chunk": pa.int32(), "_profit": pa.binary(), "_revenue": pa.binary(), "_valid": pa.binary(), "_violations": pa.map_(pa.string(), pa.int64()), "_total": pa.float64()}
 
     def closed(key: pa.Scalar, o: _Outcome) -> pa.Table:
@@ -421,9 +478,9 @@ def _by_plan(items: DataFrame, n_sims: int, seed: int, restrictions: tuple[Restr
         return finish(key, o)
 
     def part(rows: pa.Table) -> pa.Table:
-        key, many, place = rows["plan"][0], rows["_chunks"][0].as_py() > 1, rows["_chunk"][0].as_py()
-        o = _simulated(rows.drop_columns(["_chunks", "_chunk"]).to_pandas(), n_sims, seed, restrictions)
-        if not many:
+        key, place = rows["plan"][0], rows["_chunk"][0].as_py()
+        o = _simulated(rows.drop_columns(["_chunk"]).to_pandas(), n_sims, seed, restrictions)
+        if pc.max(rows["place"]).as_py() < chunk:
             done = closed(key, o)
             return pa.table({c: done[c] for c in done.column_names} | {c: pa.nulls(len(done), kind) for c, kind in sums.items()})
         told = (place, o.profit.tobytes(), o.revenue.tobytes(), o.valid.tobytes(), list(o.violations.items()), o.total)
