@@ -234,3 +234,27 @@ def test_conversions_that_fail_are_false(spark):
     rules = (Rule("r", 9, ("float(context.x) > 3", "int(context.x) > 3"), "open_loop", 0.5), Rule("rest", 1, (), "open_loop", 0.5))
     assert {(r["x"], r["rule"]) for r in dispatch(contexts, rules).collect()} == {("abc", "rest"), ("4", "r")}
     assert contexts.select(compile_column("bool(context.x)", {"context": {"x": F.col("x")}}).alias("b")).where("b").count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_whole_plans_as_rows_of_lots(spark, seed):
+    # Plans as rows, without a shuffle in each superstep, give what the rows of lots give; parts that a plan names twice count once.
+    rnd = random.Random(seed)
+    offers, wanted = robust_problem(rnd, 12, 40)
+    budgets = {plan: rnd.randrange(1000, 900_000) for plan, _ in wanted}
+    frame = spark.createDataFrame(offers, "sku long, supplier long, cents long, moq long, rate long, demand long, sell long, last long, total long")
+    wanted, money = spark.createDataFrame(wanted, "plan long, sku long"), spark.createDataFrame(sorted(budgets.items()), "plan long, budget long")
+    menu = robust.written(robust.lots(wanted, frame), "lots")
+    bounds = robust.limits(menu, money)
+    plans = robust.nested(wanted.union(wanted.limit(5)).union(spark.createDataFrame([(999, 10**6)], "plan long, sku long")), robust.part_lots(frame), money)
+    for exact in (robust.EXACT, 9):
+        state = robust.written(robust.bounded(menu, bounds, steps=3), "state")
+        want = {r["plan"]: (r["policy"], r["objective"], r["a1"], r["short"], r["target"]) for r in robust.chosen(robust.closed(menu, bounds, state, exact)).collect()}
+        rows = {r["plan"]: r for r in robust.whole_plans(plans, 3, exact).collect()}
+        assert set(rows) == set(budgets) | {999} and rows[999]["n_parts"] == 0
+        assert {k: (r["policy"], r["objective"], r["a1"], r["short"], r["target"]) for k, r in rows.items() if r["objective"] is not None} == want
+    held = {(r["plan"], r["policy"]): r for r in state.collect()}
+    got = {(r["plan"], r["policy"]): r for r in robust.whole_bounds(plans, 3).collect()}
+    assert set(got) == set(held)
+    for key, r in got.items():
+        assert r["found"] == held[key]["found"] and abs(r["bound"] - held[key]["bound"]) <= 1e-6 * max(1, abs(r["bound"]))
