@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +26,19 @@ def normal(seed: int, *keys: Column) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *keys))) * F.cos(2 * math.pi * uniform(seed + 1, *keys))
 
 
+def normals(seed: int, *keys: np.ndarray) -> np.ndarray:
+    """normal() of arrays of keys, in tasks; equal to it but for the last bits."""
+
+    def uniforms(seed: int) -> np.ndarray:
+        x = np.fmod(sum((np.asarray(k, np.int64) * f for k, f in zip(keys, _FACTORS, strict=False)), np.int64(seed)), _PRIME)
+        x = np.fmod(x * 48271, _PRIME)
+        for shift, factor in ((15, 69621), (13, 40692)):
+            x = np.fmod((x ^ (x >> shift)) * factor, _PRIME)
+        return (x + 0.5) / 2147483648.0
+
+    return np.sqrt(-2 * np.log(uniforms(seed))) * np.cos(2 * math.pi * uniforms(seed + 1))
+
+
 def uniform_sql(seed: int, *keys: str) -> str:
     """uniform() in the SQL of the comparison."""
     x = f"(({seed} + " + " + ".join(f"{k} * {f}" for k, f in zip(keys, _FACTORS, strict=False)) + f") % {_PRIME} * 48271 % {_PRIME})"
