@@ -225,18 +225,17 @@ def closure(edges: DataFrame) -> DataFrame:
     """Edges (member, ancestor) with those of any depth, and hops, the fewest between the two.
 
     Path doubling: after k rounds all pairs up to 2 ** k hops apart are known, so
-    a hierarchy of depth d takes log2(d) + 1 rounds.  A node of a cycle is its own
-    ancestor; a cycle ends as its shortest ways are known.
+    a hierarchy of depth d takes log2(d) + 1 rounds.  The shortest way of a pair
+    up to twice as far apart begins with one of exactly 2 ** k hops, so only
+    pairs that far apart are lengthened, and a tree's pairs are each met once.
+    A node of a cycle is its own ancestor; a cycle ends as its shortest ways are known.
     """
     held = written(edges.where("member is not null and ancestor is not null").select("member", "ancestor").distinct().withColumn("hops", F.lit(1)), "closure")
-    size = held.count()
-    while size:
+    reach = 1
+    while True:
         ahead = held.select(F.col("member").alias("ancestor"), F.col("ancestor").alias("above"), F.col("hops").alias("more"))
-        longer = held.join(ahead, "ancestor").select("member", F.col("above").alias("ancestor"), (F.col("hops") + F.col("more")).alias("hops"))
-        wider = written(held.unionByName(longer).groupBy("member", "ancestor").agg(F.min("hops").alias("hops")), "closure")
-        # A round that adds no pair has only confirmed ways twice as long as the longest: all are the shortest.
-        grown = wider.count()
-        held, done, size = wider, grown == size, grown
-        if done:
-            break
-    return held
+        longer = held.where(F.col("hops") == reach).join(ahead, "ancestor").groupBy("member", F.col("above").alias("ancestor")).agg((F.min("more") + reach).alias("hops"))
+        new = written(longer.join(held, ["member", "ancestor"], "left_anti"), "closure")
+        if new.isEmpty():
+            return held
+        held, reach = held.unionByName(new), 2 * reach
