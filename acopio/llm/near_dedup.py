@@ -220,9 +220,13 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, dict]:
-    """The members, with their classes, of the buckets that hold more than one class."""
+    """The members, with their classes, of the buckets that hold more than one class; top is a bucket's largest class (size, class).
+
+    A bucket has one row in split, so no member is met twice.
+    """
     placed = members.join(classes, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("class"))
-    split = placed.groupBy("bucket").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("bucket")
+    sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket")
+    split = sizes.agg(F.max(F.struct("size", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("bucket", "top")
     return materialise_counted(placed.join(split, "bucket"), "open", large=F.count_if(F.col("n") > SMALL_BUCKET), all=F.count(F.lit(1)))
 
 
@@ -245,10 +249,8 @@ def _blocks(open_: DataFrame) -> DataFrame:
     The nodes of the largest class of a bucket meet only blocks of the rest,
     so that a bucket of copies costs as much as it has nodes.
     """
-    large = open_.where(F.col("n") > SMALL_BUCKET)
-    top = large.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket").agg(F.max(F.struct("size", "class")).alias("top"))
     most, rest = (F.ceil(x / BLOCK).cast("int") for x in (F.col("top.size"), F.col("n") - F.col("top.size")))
-    rows = large.join(top, "bucket").select("bucket", "node", "class", (F.col("class") == F.col("top.class")).alias("in_top"), most.alias("most"), rest.alias("rest"))
+    rows = open_.where(F.col("n") > SMALL_BUCKET).select("bucket", "node", "class", (F.col("class") == F.col("top.class")).alias("in_top"), most.alias("most"), rest.alias("rest"))
     place = F.when(F.col("in_top"), F.pmod(F.xxhash64("node"), F.col("most"))).otherwise(F.col("most") + F.pmod(F.xxhash64("node"), F.col("rest"))).cast("int")
     others = F.sequence(F.when(F.col("in_top"), F.col("most")).otherwise(F.lit(0)), F.col("most") + F.col("rest") - 1)
     rows = rows.select("bucket", "node", "class", place.alias("block"), F.explode(others).alias("other"))
@@ -431,7 +433,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if left["all"]:
             link(_across(open_).unionByName(_class_stars(open_)) if left["large"] else _across(open_))
         if left["large"]:
-            open_, left = _open(deep, classes)
+            open_, left = _open(open_.where(F.col("n") > SMALL_BUCKET), classes)
         if left["large"]:
             merge(*materialise_counted(verify_blocks(_blocks(open_), banded, sets, idf, threshold), "links", n=F.count(F.lit(1))))
     elif left["all"]:
