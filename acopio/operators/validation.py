@@ -12,6 +12,7 @@ from ..plans.vocabulary import VOCABULARY
 from ..registry import query
 from ..sources.graph import XSD
 from ..sources.readers import table
+from ..sources.shared import tasks_for
 
 _PREFIXES = """@prefix : <urn:catalogue#> . @prefix sh: <http://www.w3.org/ns/shacl#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix prov: <http://www.w3.org/ns/prov#> ."""
 # What products, suppliers, norms, decisions and trend signals must have.
@@ -92,7 +93,8 @@ UNION ALL SELECT 'TrendSignalShape', 'signal/' || event_id, 'confianzaExtraccion
 SELECT * FROM t""")
 def shape_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Q1-Q6: what breaks the catalogue's shapes, subclasses and inferred members included."""
-    return shacl.violations(catalogue_triples(spark, sf_dir), shacl.shapes(CATALOGUE_SHAPES), inference.axioms(VOCABULARY))
+    rows = sum(n * table(spark, sf_dir, x).count() for x, n in (("part", 7), ("supplier", 3), ("orders", 4), ("events", 2)))  # triples, about
+    return shacl.violations(catalogue_triples(spark, sf_dir), shacl.shapes(CATALOGUE_SHAPES), inference.axioms(VOCABULARY), tasks_for(spark, rows))
 
 
 _SIGNAL = """SELECT event_id, CASE WHEN user_id % 7 = 0 THEN event_type ELSE event_type || ' seen by user ' || user_id END AS description, CASE event_type WHEN 'view' THEN 'TIKTOK' WHEN 'click' THEN 'PINTEREST' WHEN 'error' THEN 'FAX' ELSE 'OTHER' END AS source, value * 12 AS growth, value / 90 AS confidence FROM events"""
@@ -111,7 +113,7 @@ def trend_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         _say(e.where("event_id % 19 <> 0"), s, "fechaDeteccion", at("ts"), "dateTime"), _say(e.where("event_id % 19 <> 0 and event_id % 23 = 0"), s, "fechaDeteccion", at(F.col("ts") + F.expr("interval 1 day")), "dateTime"),
         _say(e, s, "velocidadCrecimiento", F.col("value") * 12, "float"), _say(e, s, "confianzaExtraccion", F.col("value") / 90, "float"), _say(e, s, "provisional", F.lit("true"), F.when(k % 29 == 0, XSD + "string").otherwise(XSD + "boolean")),
     ))
-    found = shacl.messages(shacl.violations(said, shacl.shapes(TREND_SHAPE)))
+    found = shacl.messages(shacl.violations(said, shacl.shapes(TREND_SHAPE), tasks=tasks_for(spark, 7 * e.count())))
     joined = e.select("event_id", s.alias("node")).join(found, "node", "left").withColumn("messages", F.coalesce("messages", F.array().cast("array<string>")))
     return joined.select("event_id", (F.size("messages") == 0).alias("valid"), F.array_join("messages", "; ").alias("messages"))
 

@@ -101,8 +101,12 @@ def shapes(text: str) -> list[Shape]:
     return out
 
 
+def _member(name: str) -> Column:
+    return F.coalesce(F.col(f"`is:{name}`"), F.lit(False))
+
+
 def _value_checks(p: Property) -> dict[str, Column]:
-    """component -> what holds for a value (o, datatype, classes) that keeps it."""
+    """component -> what holds for a value (o, datatype, and is:C for each class C) that keeps it."""
     o, number = F.col("o"), F.col("o").try_cast("double")
     held = {
         "Datatype": None if p.datatype is None else F.coalesce(F.regexp_extract("datatype", r"[^#/]+$", 0), F.lit("string")) == p.datatype,
@@ -112,12 +116,22 @@ def _value_checks(p: Property) -> dict[str, Column]:
         "MinInclusive": None if p.min_inclusive is None else number >= p.min_inclusive,
         "MaxInclusive": None if p.max_inclusive is None else number <= p.max_inclusive,
         "In": None if p.among is None else o.isin(list(p.among)),
-        "Class": None if p.of_class is None else F.array_contains("classes", p.of_class),
+        "Class": None if p.of_class is None else _member(p.of_class),
     }
     return {k: F.coalesce(v, F.lit(False)) for k, v in held.items() if v is not None}
 
 
-def violations(triples: DataFrame, asked: list[Shape], given: Axioms | None = None) -> DataFrame:
+def _linked(values: DataFrame, members: DataFrame, tasks: int) -> DataFrame:
+    """values and what their objects are members of (s, is:C ...), without bringing the values of one object into one task.
+
+    Values are dealt to as many salts as tasks; what meets at an object is one row for each of its salts, and goes back to them.
+    """
+    dealt = values.withColumn("salt", F.pmod(F.xxhash64("s"), F.lit(tasks)).cast("int"))
+    found = dealt.select("o", "salt").distinct().join(members.withColumnRenamed("s", "o"), "o")
+    return dealt.join(found, ["o", "salt"], "left").drop("salt")
+
+
+def violations(triples: DataFrame, asked: list[Shape], given: Axioms | None = None, tasks: int | None = None) -> DataFrame:
     """(shape, node, path, component, n, message) for each constraint that a node breaks, n values or times.
 
     triples: s, p, o, datatype (null: a plain string); rows that repeat count
@@ -126,23 +140,26 @@ def violations(triples: DataFrame, asked: list[Shape], given: Axioms | None = No
     of its shape's author gets one of its path and component.
 
     All shapes share one aggregation by node; only values that must be of a
-    class meet the classes of their nodes, in one more join.
+    class meet the classes of their nodes, in one more join.  Nodes are dealt
+    to so many tasks (shuffle partitions, if left out) and stay there.
     """
+    tasks = tasks or int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     facts = triples.select("s", "p", "o")
     types = (infer(facts, given)[0] if given else facts).where(F.col("p") == TYPE).select("s", F.col("o").alias("class"))
-    wanted = sorted({c for x in asked for c in (x.target, *x.any_class, *(p.of_class for p in x.properties if p.of_class))})
-    types = types.where(F.col("class").isin(wanted)).groupBy("s").agg(F.collect_set("class").alias("classes"))
+    member = lambda names: types.where(F.col("class").isin(names)).repartition(tasks, "s").groupBy("s").agg(*(F.max(F.col("class") == c).alias(f"is:{c}") for c in names))
+    ends = sorted({p.of_class for x in asked for p in x.properties if p.of_class})
     paths = sorted({q for x in asked for p in x.properties for q in (p.path, p.not_after) if q})
     linked = sorted({p.path for x in asked for p in x.properties if p.of_class})
-    values = triples.where(F.col("p").isin(paths)).select("s", "p", "o", "datatype").distinct()
-    none = F.lit(None).cast("array<string>")
-    links = values.where(F.col("p").isin(linked)).join(types.withColumnRenamed("s", "o"), "o", "left").select("s", "p", "o", "datatype", "classes")
-    values = values.where(~F.col("p").isin(linked)).withColumn("classes", none).unionByName(links) if linked else values.withColumn("classes", none)
+    values = triples.where(F.col("p").isin(paths)).select("s", "p", "o", "datatype")
+    if linked:
+        links = _linked(values.where(F.col("p").isin(linked)), member(ends), tasks)
+        values = values.where(~F.col("p").isin(linked)).unionByName(links, allowMissingColumns=True)
+    values = values.repartition(tasks, "s").distinct()
     counts, broken = {}, []
     said = lambda shape, path, component, n, message: F.struct(F.lit(shape.name).alias("shape"), F.lit(path).cast("string").alias("path"), F.lit(component).alias("component"), n.cast("long").alias("n"), F.lit(message or f"{path or shape.target}: {component}").alias("message"))
     number = F.col("o").try_cast("double")
     for shape in asked:
-        target = F.array_contains("classes", shape.target)
+        target = _member(shape.target)
         for p in shape.properties:
             here = F.col("p") == p.path
             counts[f"n:{p.path}"] = F.count_if(here)
@@ -161,9 +178,9 @@ def violations(triples: DataFrame, asked: list[Shape], given: Axioms | None = No
                 first, last = (lambda kind, p=p: (F.col(f"`{kind}:{p.path}:max`"), F.col(f"`{kind}:{p.not_after}:min`")))("number"), (lambda kind, p=p: (F.col(f"`{kind}:{p.path}:max`"), F.col(f"`{kind}:{p.not_after}:min`")))("text")
                 broken.append(F.when(target & F.coalesce(first[0] > first[1], last[0] > last[1], F.lit(False)), said(shape, p.path, "LessThanOrEquals", F.lit(1), p.message)))
         if shape.any_class:
-            broken.append(F.when(target & ~F.arrays_overlap("classes", F.array(*map(F.lit, shape.any_class))), said(shape, None, "Or", F.lit(1), shape.message)))
+            broken.append(F.when(target & ~reduce(lambda a, b: a | b, map(_member, shape.any_class)), said(shape, None, "Or", F.lit(1), shape.message)))
     found = values.groupBy("s").agg(*(c.alias(k) for k, c in counts.items())) if counts else values.select("s").distinct()
-    nodes = types.where(reduce(lambda a, b: a | b, (F.array_contains("classes", x.target) for x in asked)))
+    nodes = member(sorted({c for x in asked for c in (x.target, *x.any_class)})).where(reduce(lambda a, b: a | b, (_member(x.target) for x in asked)))
     out = nodes.join(found, "s", "left").select(F.col("s").alias("node"), F.explode(F.array_compact(F.array(*broken))).alias("x"))
     return out.select("x.shape", "node", "x.path", "x.component", "x.n", "x.message")
 
