@@ -20,6 +20,7 @@ from pyspark.sql.types import StructType
 
 from ..registry import query
 from ..sources.readers import table
+from ..sources.shared import tasks_for
 from .weekly import weekly
 
 
@@ -92,14 +93,18 @@ def operator_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH i AS (SELECT l_orderkey AS plan, l_partkey AS sku, l_suppkey AS supplier, l_quantity AS q, l_extendedprice AS cost, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS tq, sum(l_extendedprice) OVER (PARTITION BY l_orderkey) AS tc FROM lineitem)
 SELECT plan, 'evento:' || plan AS source, 'sku:' || sku AS target, 'AFECTA' AS kind, round(sum(q) / max(tq), 4) AS weight FROM i GROUP BY 1, 2, 3 UNION ALL SELECT plan, 'sku:' || sku, 'prov:' || supplier, 'PROVEIDO_POR', round(sum(cost) / max(tc), 4) FROM i GROUP BY 1, 2, 3""")
 def causal_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges event -> part by quantity and part -> supplier by cost, with one pass for the totals."""
+    """Edges event -> part by quantity and part -> supplier by cost, with one pass for the totals.
+
+    A plan's lines are dealt to their task once; edges are added up there by numbers and named last.
+    """
     lines = table(spark, sf_dir, "lineitem")
-    totals = Window.partitionBy("l_orderkey")
-    i = lines.select(F.col("l_orderkey").alias("plan"), "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", F.sum("l_quantity").over(totals).alias("tq"), F.sum("l_extendedprice").over(totals).alias("tc"))
-    sku = F.concat(F.lit("sku:"), "l_partkey")
-    ends = F.explode(F.array(F.struct(F.concat(F.lit("evento:"), "plan").alias("source"), sku.alias("target"), F.lit("AFECTA").alias("kind"), F.col("l_quantity").alias("x"), F.col("tq").alias("t")), F.struct(sku.alias("source"), F.concat(F.lit("prov:"), "l_suppkey").alias("target"), F.lit("PROVEIDO_POR").alias("kind"), F.col("l_extendedprice").alias("x"), F.col("tc").alias("t"))))
-    e = i.select("plan", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "tq", "tc", ends.alias("e"))
-    return e.groupBy("plan", "e.source", "e.target", "e.kind").agg(F.round(F.sum("e.x") / F.max("e.t"), 4).alias("weight"))
+    totals = Window.partitionBy("plan")
+    i = lines.select(F.col("l_orderkey").alias("plan"), F.col("l_partkey").alias("sku"), F.col("l_suppkey").alias("supplier"), F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("cost")).repartition(tasks_for(spark, lines.count()), "plan")
+    i = i.withColumn("tq", F.sum("q").over(totals)).withColumn("tc", F.sum("cost").over(totals))
+    ends = F.array(F.struct(F.lit(True).alias("event"), F.lit(None).cast("long").alias("to"), F.col("q").alias("x"), F.col("tq").alias("t")), F.struct(F.lit(False).alias("event"), F.col("supplier").alias("to"), F.col("cost").alias("x"), F.col("tc").alias("t")))
+    e = i.select("plan", "sku", F.inline(ends)).groupBy("plan", "sku", "event", "to").agg(F.round(F.sum("x") / F.max("t"), 4).alias("weight"))
+    sku, named = F.concat(F.lit("sku:"), "sku"), lambda a, b: F.when(F.col("event"), a).otherwise(b)
+    return e.select("plan", named(F.concat(F.lit("evento:"), "plan"), sku).alias("source"), named(sku, F.concat(F.lit("prov:"), "to")).alias("target"), named(F.lit("AFECTA"), F.lit("PROVEIDO_POR")).alias("kind"), "weight")
 
 
 def smoothed(y: np.ndarray, m: int, multiplicative: bool, rates: np.ndarray, steps: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
