@@ -12,30 +12,37 @@ from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources.readers import table
-from .similarity import LEXICAL, STRUCTURAL, top_k_edges
+from .similarity import LEXICAL, SCORES, STRUCTURAL, top_k_edges
 
 SAMPLE = 65_536  # vectors that the cells are fitted on, at most
 CELLS = 1024  # cells, at most
 PROBES = 32  # cells of its own attribute that a search reads, at most
 NEAR = 2  # cells of all attributes that a search reads
 PART = 4096  # vectors of a cell that one task scores
+ASKED = 16_384  # searches of a cell that one task answers, about
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def fit_cells(vectors: DataFrame, vec_col: str, count: int | None = None, sample: int = SAMPLE, rounds: int = 10, seed: int = 7) -> np.ndarray:
-    """Unit centres of the cells (spherical k-means), from the sample with the smallest hashes of their vectors.
+def sampled(vectors: DataFrame, vec_col: str, sample: int = SAMPLE) -> np.ndarray:
+    """The vectors with the smallest hashes, sample at most, as columns and not as Row objects."""
+    held = vectors.where(F.col(vec_col).isNotNull()).select(vec_col).orderBy(F.xxhash64(vec_col)).limit(sample).toArrow()
+    return np.asarray(held.column(0).combine_chunks().flatten()).astype(float).reshape(held.num_rows, -1) if held.num_rows else np.zeros((0, 0))
+
+
+def fit_cells(vectors: DataFrame, vec_col: str, count: int | None = None, sample: int = SAMPLE, rounds: int = 10, seed: int = 7, held: np.ndarray | None = None) -> np.ndarray:
+    """Unit centres of the cells (spherical k-means), from the sample with the smallest hashes of their vectors (held, if it was taken before).
 
     Of n vectors there are about sqrt(n) cells, CELLS at most.  The sample bounds
     what reaches the driver; every vector is indexed, whether sampled or not.
     """
     n = vectors.count()
-    held = vectors.where(F.col(vec_col).isNotNull()).select(vec_col).orderBy(F.xxhash64(vec_col)).limit(sample).collect()
-    if not held:
+    held = sampled(vectors, vec_col, sample) if held is None else held
+    if not len(held):
         return np.zeros((0, 0))
-    x = _unit(np.array([r[0] for r in held], float))
+    x = _unit(held)
     k = min(count or max(1, min(CELLS, round(n**0.5))), len(x))
     centres = x[np.random.default_rng(seed).choice(len(x), k, replace=False)]
     for _ in range(rounds):
@@ -73,7 +80,7 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, attr_col: str, k: int
 
     A vector is written twice, into a cell of each kind, and a search goes to
     probes + near cells.  Cells with more than PART vectors are dealt to several
-    tasks, so rows grow with vectors and searches, not with their product.
+    tasks, and so are more than ASKED searches, so rows grow with vectors and searches, not with their product.
     """
     wanted = vectors if wanted is None else wanted
     schema = "id long, other long, lexical double, structural double, score double"
@@ -82,7 +89,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, attr_col: str, k: int
     if not n:
         return vectors.sparkSession.createDataFrame([], f"{schema}, place int")
     many = max(1, min(CELLS, round(n**0.5)))
-    kinds = ((fit_cells(vectors, vec_col, max(1, round(many / max(1, attributes)))), probes, F.coalesce(F.concat(F.lit("="), F.col("a")), F.lit(""))), (fit_cells(vectors, vec_col, many), near, F.lit("*")))
+    some = sampled(vectors, vec_col)
+    kinds = ((fit_cells(vectors, vec_col, max(1, round(many / max(1, attributes))), held=some), probes, F.coalesce(F.concat(F.lit("="), F.col("a")), F.lit(""))), (fit_cells(vectors, vec_col, many, held=some), near, F.lit("*")))
     held = asked = None
     for centres, most, kind in kinds:
         if not len(centres):
@@ -91,13 +99,17 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, attr_col: str, k: int
         held, asked = (one, two) if held is None else (held.unionByName(one), asked.unionByName(two))
     parts = held.groupBy("cell").agg((F.count(F.lit(1)) / PART).cast("int").alias("parts"))  # a row for each cell
     held = held.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts") + 1).cast("int"))
+    # A cell that many ask is met by them in turns.
+    turns = asked.groupBy("cell").agg((F.count(F.lit(1)) / ASKED).cast("int").alias("turns"))
+    held = held.join(turns, "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns"))))
+    asked = asked.join(turns, "cell").withColumn("turn", F.pmod(F.xxhash64("id"), F.col("turns") + 1).cast("int"))
     asked = asked.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts"))))
     w = lexical_share
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y = pdf[pdf["side"] == 0].sort_values("id"), pdf[pdf["side"] == 1].sort_values("id")
         out = []
-        for some in np.array_split(np.arange(len(x)), 1 + len(x) // 1024) if len(x) and len(y) else ():
+        for some in np.array_split(np.arange(len(x)), 1 + len(x) * len(y) // SCORES) if len(x) and len(y) else ():
             q = x.iloc[some]
             lexical = np.clip(np.stack(q["v"]).astype(float) @ np.stack(y["v"]).astype(float).T, 0, 1)
             equal = (q["a"].to_numpy()[:, None] == y["a"].to_numpy()[None, :]).astype(float)
@@ -109,8 +121,8 @@ def nearest(vectors: DataFrame, id_col: str, vec_col: str, attr_col: str, k: int
         found = pd.concat(out) if out else pd.DataFrame({c: [] for c in ("id", "other", "lexical", "structural", "score")})
         return found[found["score"] >= 0]
 
-    met = asked.select("cell", "part", "id", "v", "a", F.lit(0).alias("side")).unionByName(held.select("cell", "part", "id", "v", "a", F.lit(1).alias("side")))
-    found = met.groupBy("cell", "part").applyInPandas(best, schema).dropDuplicates(["id", "other"])
+    met = asked.select("cell", "part", "turn", "id", "v", "a", F.lit(0).alias("side")).unionByName(held.select("cell", "part", "turn", "id", "v", "a", F.lit(1).alias("side")))
+    found = met.groupBy("cell", "part", "turn").applyInPandas(best, schema).dropDuplicates(["id", "other"])
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return found.withColumn("place", place).where(F.col("place") <= k)
 
@@ -134,9 +146,8 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     asked = vectors.where("vec_id % 50 = 0")
     out = None
+    found, truth = (find(vectors, "vec_id", "embedding", "label", k=10, wanted=asked) for find in (nearest, top_k_edges))
     for k, low in ((1, 0.6), (10, 0.0)):
-        found = nearest(vectors, "vec_id", "embedding", "label", k=k, wanted=asked)
-        truth = top_k_edges(vectors, "vec_id", "embedding", "label", k=k, wanted=asked)
-        one = recall(found, truth, low).select(F.lit(k).alias("k"), F.lit(low).alias("low"), "n", "found", "recall")
+        one = recall(found.where(F.col("place") <= k), truth.where(F.col("place") <= k), low).select(F.lit(k).alias("k"), F.lit(low).alias("low"), "n", "found", "recall")
         out = one if out is None else out.unionByName(one)
     return out
