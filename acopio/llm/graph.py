@@ -5,48 +5,63 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_materialised, materialise_counted
+from .common import drop_materialised, materialise, materialise_counted
 
 
-def _least(rows: DataFrame) -> DataFrame:
-    """rows (u, v) and m, the smallest v of each u, without bringing the rows of one u into one task.
-
-    Rows are dealt to as many salts as there are shuffle partitions; what
-    meets at u is one minimum for each salt that u has, and goes back to it.
-    """
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-    by_salt = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
-    least = by_salt.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("salt").alias("salts"))
-    return dealt.join(least.select("u", "m", F.explode("salts").alias("salt")), ["u", "salt"]).select("u", "v", "m")
+def _nearest(edges: DataFrame) -> DataFrame:
+    """u, m, most: each node with the smallest and the largest of its neighbours."""
+    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
 
 
-def _large(e: DataFrame) -> DataFrame:
+def _large(e: DataFrame, nearest: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the smallest of u and its neighbours."""
-    both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+    up = e.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return up.join(nearest.select("u", "m"), "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small(e: DataFrame) -> DataFrame:
-    """u and its smaller neighbours are linked to the smallest of these."""
-    down = _least(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v"))
+def _small(down: DataFrame, least: DataFrame) -> DataFrame:
+    """u and its smaller neighbours, which are all that down holds, are linked to the smallest of these."""
     # The smallest neighbour is itself among the rows: it gives (u, m).
-    return down.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+    return down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for the nodes of edges (u, v); a component is named by its smallest node.
 
-    A node without edges is not returned: it is a component of its own.  Each
-    round is written to the shared folder; rounds grow with the logarithm of
-    a component's width.  The edges of a hot node are dealt to salts.
+    A node without edges is not returned: it is a component of its own.  A
+    round has as many edges as the one before, and rounds grow with the
+    logarithm of a component's width.  They end when the edges are stars:
+    whoever has a smaller neighbour has no other neighbour.  The same
+    aggregation tells this and starts the next round.  Every step is written
+    to the shared folder, so that minima are combined before they are dealt,
+    and adaptive execution splits the join at a hot node.
+    """
+    now = materialise(edges.select("u", "v").where("u <> v"), "edges")
+    while True:
+        nearest, found = materialise_counted(_nearest(now), "nearest", broken=F.count_if((F.col("m") < F.col("u")) & (F.col("most") > F.col("m"))))
+        if not found["broken"]:
+            drop_materialised(now)
+            return nearest.select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
+        down = materialise(_large(now, nearest), "edges")
+        least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "least")
+        after = materialise(_small(down, least), "edges")
+        for gone in (now, nearest, down, least):
+            drop_materialised(gone)
+        now = after
+
+
+def merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (node, component) as they are after links (u, v) between any nodes.
+
+    Links are taken between classes, so that the stars that classes are
+    already need no rounds again.
     """
-    count, mark = F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)
-    now, before = materialise_counted(edges.select("u", "v").where("u <> v").distinct(), "edges", n=count, mark=mark)
-    while before["n"]:
-        after, state = materialise_counted(_small(_large(now)), "edges", n=count, mark=mark)
-        drop_materialised(now)
-        now, done, before = after, state == before, state
-        if done:
-            break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    of = lambda c: classes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_class"))
+    between = links.join(of("u"), "u", "left").join(of("v"), "v", "left").select(
+        F.coalesce("u_class", "u").alias("u"), F.coalesce("v_class", "v").alias("v"), F.col("u_class").isNull().alias("u_new"), F.col("v_class").isNull().alias("v_new"))
+    between = materialise(between, "between")
+    held = components(between)
+    new = between.where("u_new").select(F.col("u").alias("node")).unionByName(between.where("v_new").select(F.col("v").alias("node")))
+    moved = classes.join(held.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return materialise(moved.unionByName(held.join(new, "node", "left_semi")), "classes")

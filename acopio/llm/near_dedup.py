@@ -34,8 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import key128, materialise, materialise_counted, table
-from .graph import components
+from .common import drop_materialised, key128, materialise, materialise_counted, table
+from .graph import components, merged
 from .words import Chunk, chunks, doc_keys, mix, windows
 
 SIZE, BANDS, ROWS, THRESHOLD = 5, 16, 5, 0.8
@@ -224,10 +224,12 @@ def _open(members: DataFrame, classes: DataFrame) -> tuple[DataFrame, dict]:
 
     A bucket has one row in split, so no member is met twice.
     """
-    placed = members.join(classes, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("class"))
+    placed = materialise(members.join(classes, "node", "left").select("bucket", "n", "node", F.coalesce("component", "node").alias("class")), "placed")
     sizes = placed.groupBy("bucket", "class").agg(F.count(F.lit(1)).alias("size")).groupBy("bucket")
     split = sizes.agg(F.max(F.struct("size", "class")).alias("top"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("bucket", "top")
-    return materialise_counted(placed.join(split, "bucket"), "open", large=F.count_if(F.col("n") > SMALL_BUCKET), all=F.count(F.lit(1)))
+    out = materialise_counted(placed.join(split, "bucket"), "open", large=F.count_if(F.col("n") > SMALL_BUCKET), all=F.count(F.lit(1)))
+    drop_materialised(placed)
+    return out
 
 
 def _across(open_: DataFrame) -> DataFrame:
@@ -413,7 +415,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def merge(more: DataFrame, found: dict) -> None:
         nonlocal classes
         if found["n"]:
-            classes = components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+            classes = merged(classes, more)
 
     def link(pairs: DataFrame) -> None:
         """Verify pairs that were not tried before, and merge the classes they link."""
