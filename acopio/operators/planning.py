@@ -24,8 +24,8 @@ from ..sources.shared import tasks_for
 from .weekly import weekly
 
 
-def trim_to_budget(plans: DataFrame, keys: list[str], budget: Column, cost: Callable[[Column], Column] = lambda q: F.round(q * F.col("price"), 2)) -> DataFrame:
-    """O2: items (sku, quantity, price) of each plan cut to its budget; cost: what a quantity costs.
+def budget_cuts(plans: DataFrame, keys: list[str], budget: Column, cost: Callable[[Column], Column] = lambda q: F.round(q * F.col("price"), 2)) -> DataFrame:
+    """O2: items (sku, quantity, price) of each plan with quantity and cost within its budget, and whether they are kept; cost: what a quantity costs.
 
     From the most costly item down, quantities are halved while the total is
     too high; if it still is, items are dropped from the top until it fits.
@@ -39,7 +39,12 @@ def trim_to_budget(plans: DataFrame, keys: list[str], budget: Column, cost: Call
     over = F.sum("cost").over(every) - before("saves") > F.col("most")
     rows = rows.withColumn("cut", over & (F.col("saves") > 0)).withColumn("quantity", F.when(F.col("cut"), F.col("half")).otherwise(F.col("quantity"))).withColumn("left", F.when(F.col("cut"), F.col("cost") - F.col("saves")).otherwise(F.col("cost")))
     kept = F.sum("left").over(every) - before("left") <= F.col("most")
-    return rows.withColumn("kept", kept).where("kept").drop("half", "saves", "cut", "kept", "most", "cost").withColumnRenamed("left", "cost")
+    return rows.withColumn("kept", kept).drop("half", "saves", "cut", "most", "cost").withColumnRenamed("left", "cost")
+
+
+def trim_to_budget(plans: DataFrame, keys: list[str], budget: Column, cost: Callable[[Column], Column] = lambda q: F.round(q * F.col("price"), 2)) -> DataFrame:
+    """O2: the items that budget_cuts() keeps."""
+    return budget_cuts(plans, keys, budget, cost).where("kept").drop("kept")
 
 
 @query("""WITH p AS (SELECT l_orderkey AS plan, l_partkey AS sku, sum(l_quantity)::BIGINT AS quantity, floor(max(l_extendedprice / l_quantity) * 100) / 100 AS price FROM lineitem GROUP BY 1, 2), c AS (SELECT *, round(quantity * price, 2) AS cost, greatest(1, floor(quantity * 0.5))::BIGINT AS half FROM p),
